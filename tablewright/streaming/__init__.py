@@ -1,0 +1 @@
+"""Deliberately empty: none of the analyses this library covers is a streaming one."""
