@@ -150,7 +150,7 @@ def _number_functions(given: Tables) -> DataFrame:
         numbers.bubble_size(F.col("o_totalprice")).alias("size"),
         numbers.leading_digit((F.col("o_custkey") % 60 + 11).cast("int")).alias("digit"),
         numbers.text_to_float(F.concat_ws("", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", F.lit(":")))).alias("number"),
-        numbers.change_rate(F.col("o_totalprice"), F.col("o_custkey")).alias("rate"),
+        numbers.change_rate(F.col("o_totalprice"), F.log1p("o_custkey")).alias("rate"),
         numbers.direction(numbers.change_rate(F.col("o_totalprice"), F.col("o_custkey") * 300)).alias("direction"),
     )
 

@@ -631,7 +631,7 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
             "",
             """SELECT o_orderkey, sqrt(o_totalprice * 2.666051223553066e-05) AS size, (o_custkey % 60 + 11) // 10 AS digit,
                  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS FLOAT) END AS number,
-                 (o_totalprice - o_custkey) / nullif(o_custkey, 0) AS rate,
+                 (o_totalprice - ln(1 + o_custkey)) / nullif(ln(1 + o_custkey), 0) AS rate,
                  CASE WHEN (o_totalprice - o_custkey * 300) / nullif(o_custkey * 300, 0) > 0 THEN 'increase'
                       ELSE 'decrease' END AS direction FROM orders""",
             "o_orderkey:i size:n digit:i number:n rate:n direction:s",
