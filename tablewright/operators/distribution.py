@@ -1,8 +1,9 @@
 """Exact quantiles, histograms and density curves per group.
 
 All of them start from ``value_counts``: one row per (group, value) with its number of rows,
-which a map-side combine builds.  A frequent value or a dominant group is thereby just a number,
-and no step gathers the values of a group in one place.
+which a map-side combine builds.  A frequent value is thereby just a number.  The counts are
+salted by value, so the steps that look up something about a group work on many parts of a
+dominant group at once; no step gathers the values of a group in one place.
 """
 
 from __future__ import annotations
@@ -13,97 +14,95 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+from tablewright.operators.joins import join_per_key, salt
+
 GRID_POINTS = 200
-# exp(-z*z/2) is exactly zero in double precision beyond this distance.
-REACH = 39.0
+QUARTILES = (0.25, 0.75)
+# Relative rank error of the sketch is 1 / ACCURACY; smaller groups need no sketch.
+ACCURACY = 10_000
+SMALL_GROUP = 100_000
+# At this distance, in bandwidths, a kernel is 5e-32 of its peak: even 1e12 rows further away add
+# less than 1e-19 to a grid point.
+REACH = 12.0
 
 
 def value_counts(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """``(group, value, n)``; missing values are left out."""
-    rows = frame.select(F.col(f"`{group}`").alias("group"), F.col(f"`{value}`").cast("double").alias("value"))
-    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("group", "value").agg(
-        F.count("*").alias("n")
-    )
+    """``(group, salt, value, n)``; missing values are left out."""
+    rows = _present(frame, group, value).withColumn("salt", salt(F.col("value")))
+    return rows.groupBy("group", "salt", "value").agg(F.count("*").alias("n"))
 
 
-def moments(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """Row count, bounds and sample deviation per group."""
+def _present(frame: DataFrame, group: str, value: str) -> DataFrame:
     rows = frame.select(F.col(f"`{group}`").alias("group"), F.col(f"`{value}`").cast("double").alias("value"))
+    return rows.filter(F.col("group").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def moments(frame: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+    """Row count, bounds and sample deviation per group, and a bracket around each quantile.
+
+    A bracket is a pair of sketched quantiles a few sketch errors below and above the wanted one,
+    so the exact value is certain to lie inside.  A small group's bracket is its whole range, as
+    a few ranks matter there.
+    """
+    margin = 3.0 / ACCURACY
+    ends = [end for p in probabilities for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketched = F.percentile_approx("value", ends, ACCURACY)
+    low, high = F.min("value"), F.max("value")
+    whole = F.array(*[bound for _ in probabilities for bound in (low, high)])
     return (
-        rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        _present(frame, group, value)
         .groupBy("group")
         .agg(
             F.count("*").alias("total"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
+            low.alias("low"),
+            high.alias("high"),
             F.stddev_samp("value").alias("deviation"),
+            F.when(F.count("*") > SMALL_GROUP, sketched).otherwise(whole).alias("brackets"),
         )
     )
 
 
-def group_quantiles(
-    counts: DataFrame, stats: DataFrame, probabilities: Sequence[float], rounds: int = 2, cells: int = CELLS
-) -> DataFrame:
+def group_quantiles(counts: DataFrame, stats: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact, linearly interpolated quantiles: ``(group, probability, quantile)``.
 
-    A quantile is one or two order statistics.  Each round cuts the value range that holds a
-    wanted rank into ``cells`` equal cells, counts them, and keeps the one cell the rank falls
-    in, narrowed to the values present.  The last step sorts only what is left in that cell.
+    ``stats`` comes from ``moments`` with the same probabilities.  Values below a bracket are only
+    counted and those above are dropped, so no more than the values inside a bracket, a small
+    fixed share of a large group, are put in order.
     """
-    spots = F.array(*[F.lit(float(p)) for p in probabilities])
-    place = F.col("probability") * (F.col("total") - 1)
-    wanted = (
-        stats.select("group", "total", "low", "high", F.explode(spots).alias("probability"))
-        .select("group", "probability", "low", "high", place.alias("place"))
-        .select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("spot"))
-        .withColumn("rank", F.col("spot"))
-    )
-    for _ in range(rounds):
-        wanted = _narrow(counts, wanted, cells)
-
-    inside = _rows_in_cells(counts, wanted)
-    order = Window.partitionBy("group", "low").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("n").over(order))
-    picked = (
-        ranked.join(wanted, ["group", "low", "high"])
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .withColumn("weight", 1 - F.abs(F.col("place") - F.col("spot")))
-    )
-    return picked.groupBy("group", "probability").agg(
-        F.sum(F.col("value") * F.col("weight")).alias("quantile")
-    )
-
-
-def _rows_in_cells(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Counted values that lie in a wanted cell; the cells of a group do not overlap."""
-    cells = wanted.select("group", "low", "high").distinct()
-    return counts.join(cells, "group").filter(F.col("value").between(F.col("low"), F.col("high")))
-
-
-def _narrow(counts: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
-    span = F.col("high") - F.col("low")
-    cell = F.least(F.lit(cells - 1), F.floor(F.try_divide(F.col("value") - F.col("low"), span) * cells))
-    counted = (
-        _rows_in_cells(counts, wanted)
-        .withColumn("cell", F.coalesce(cell, F.lit(0)))
-        .groupBy("group", "low", "high", "cell")
-        .agg(F.sum("n").alias("n"), F.min("value").alias("cell_low"), F.max("value").alias("cell_high"))
-    )
-    order = Window.partitionBy("group", "low", "high").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = counted.withColumn("upto", F.sum("n").over(order))
+    asked = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("probability"),
+                F.col("brackets")[2 * i].alias("from"),
+                F.col("brackets")[2 * i + 1].alias("to"),
+                (F.lit(float(p)) * (F.col("total") - 1)).alias("place"),
+            )
+            for i, p in enumerate(probabilities)
+        ]
+    )
+    keys = ["group", "probability", "place"]
+    inside = F.when(F.col("value") >= F.col("from"), F.col("value"))
+    kept = (
+        join_per_key(counts, stats.select("group", F.inline(asked)), "group")
+        .filter(F.col("value") <= F.col("to"))
+        .groupBy(*keys, inside.alias("value"))
+        .agg(F.sum("n").alias("n"))
+    )
+    order = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fraction = F.col("place") - F.floor("place")
+
+    def holds(rank):
+        return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+
+    weight = F.when(holds(F.floor("place")), 1 - fraction).otherwise(0.0) + F.when(
+        holds(F.floor("place") + 1), fraction
+    ).otherwise(0.0)
     return (
-        wanted.join(cumulated, ["group", "low", "high"])
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .select(
-            "group",
-            "probability",
-            F.col("cell_low").alias("low"),
-            F.col("cell_high").alias("high"),
-            "place",
-            "spot",
-            (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
-        )
+        kept.withColumn("upto", upto)
+        .filter(F.col("value").isNotNull())
+        .groupBy("group", "probability")
+        .agg(F.sum(F.col("value") * weight).alias("quantile"))
     )
 
 
@@ -114,7 +113,7 @@ def automatic_bins(counts: DataFrame, stats: DataFrame) -> DataFrame:
     one bin of width 1 around the value.
     """
     quartiles = (
-        group_quantiles(counts, stats, [0.25, 0.75])
+        group_quantiles(counts, stats)
         .groupBy("group")
         .agg((F.max("quantile") - F.min("quantile")).alias("iqr"))
     )
@@ -157,7 +156,7 @@ def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
         .otherwise(F.col("guess"))
     )
     return (
-        counts.join(binned, "group")
+        join_per_key(counts, binned.select("group", "bins", "start", "width"), "group")
         .withColumn("guess", guess)
         .withColumn("bin", bin_number)
         .groupBy("group", "bins", "start", "width", "bin")
@@ -180,7 +179,7 @@ def density(counts: DataFrame, binned: DataFrame, points: int = GRID_POINTS, ban
     deviation.  The curve is scaled to the area of the histogram, so both share one axis.  Groups
     with fewer than two rows or without spread have no curve.
 
-    Each counted value meets only the grid points where its kernel is not exactly zero, and those
+    Each counted value meets only the grid points within ``REACH`` bandwidths, and those
     contributions are summed in the same stage before anything is shuffled.
     """
     factor = F.lit(bandwidth) if bandwidth else F.pow(F.col("total").cast("double"), F.lit(-0.2))
@@ -188,7 +187,7 @@ def density(counts: DataFrame, binned: DataFrame, points: int = GRID_POINTS, ban
         binned.filter((F.col("total") > 1) & (F.col("deviation") > 0))
         .withColumn("h", F.col("deviation") * factor)
         .withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
-        .select("group", "total", "low", "step", "h", "width")
+        .select("group", "low", "step", "h", "width")
     )
     first = F.greatest(F.lit(0), F.ceil((F.col("value") - REACH * F.col("h") - F.col("low")) / F.col("step")))
     last = F.least(
@@ -196,7 +195,7 @@ def density(counts: DataFrame, binned: DataFrame, points: int = GRID_POINTS, ban
     )
     z = (F.col("low") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
     sums = (
-        counts.join(curves, "group")
+        join_per_key(counts, curves.select("group", "low", "step", "h"), "group")
         .select("group", "value", "n", "low", "step", "h", F.explode(F.sequence(first, last)).alias("point"))
         .groupBy("group", "point")
         .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("mass"))

@@ -68,7 +68,7 @@ def brush(frame: DataFrame, ranges: Mapping[str, tuple[Any, Any]]) -> DataFrame:
 
 def matching_keys(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` occurs in the one-column frame ``keys``."""
-    return frame.join(keys.distinct(), column, "left_semi")
+    return frame.join(keys, column, "left_semi")
 
 
 def first_match(frame: DataFrame, column: str, value: Any, wanted: str) -> DataFrame:

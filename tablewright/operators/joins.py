@@ -1,31 +1,89 @@
 """Join shapes shared by the analyses.
 
-No function here forces a broadcast.  Whether a dimension is small enough is decided from its
-measured size: by the optimizer from file statistics and by adaptive execution at run time.
-Beyond the limit the joins shuffle, and adaptive execution splits a skewed partition.
+A side is broadcast on request only where the plan itself bounds its rows.  Everywhere else the
+choice is left to measured sizes: file statistics before the run, stage sizes during it.  What
+those cannot help with is a key that owns a large share of one side, hence the shapes below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def keep_existing(frame: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows of ``frame`` with at least one match in ``keys`` (an EXISTS subquery).
+SALTS = 256
+CODES = 1000
 
-    ``keys`` is reduced to its distinct key values first.  Spark combines that on the map side,
-    so a key with very many copies costs one row per task in the shuffle.
+
+def keep_existing(frame: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``frame`` with a match among the many copies in ``keys`` (an EXISTS subquery).
+
+    ``keys`` is reduced to distinct values first, which Spark combines on the map side, so a key
+    with very many copies costs one row per task in the shuffle.  ``frame`` should itself have
+    few rows per key.
     """
-    names = [on] if isinstance(on, str) else on
-    return frame.join(keys.select(*names).distinct(), names, "left_semi")
+    return frame.join(keys.select(on).distinct(), on, "left_semi")
+
 
+def keep_known(frame: DataFrame, dimension: DataFrame, on: str) -> DataFrame:
+    """Rows of ``frame`` whose key is in a dimension that lists each key once.
+
+    Both sides meet straight from their shuffles, the form in which adaptive execution can split
+    a key that owns much of ``frame``.
+    """
+    return frame.join(dimension.select(on), on, "left_semi")
 
-def flagged_bridge(bridge: DataFrame, dimension: DataFrame, bridge_key: str, dimension_key: str) -> DataFrame:
-    """Bridge rows whose code occurs in the (already filtered) dimension."""
-    codes = dimension.select(dimension[dimension_key].alias(bridge_key))
-    return keep_existing(bridge, codes, bridge_key)
+
+def with_codes(frame: DataFrame, dimension: DataFrame, on: str, key: str, chosen: Sequence) -> DataFrame:
+    """Rows of ``frame`` whose code ``on`` is in ``dimension[key]`` and, if any is chosen, among ``chosen``.
+
+    A chosen list bounds the codes to its own length, so that case broadcasts them and the fact is
+    not shuffled by code, of which there are few.
+    """
+    codes = dimension.select(F.col(key).alias(on))
+    if not chosen:
+        return keep_known(frame, codes, on)
+    known = codes.filter(F.col(on).isin(list(chosen))).distinct()
+    return frame.join(F.broadcast(known) if len(chosen) <= CODES else known, on, "left_semi")
 
 
 def band_lookup(frame: DataFrame, bands: DataFrame, key: str) -> DataFrame:
     """Inner equi-join to a band table that has one row per integer value."""
     return frame.join(bands, key, "inner")
+
+
+def salt(*spread: Column | str, salts: int = SALTS) -> Column:
+    """A number below ``salts`` that scatters the rows of one key by the values of ``spread``."""
+    return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+
+
+def join_per_key(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of salted ``rows`` to a frame with a few rows per key; a NULL key matches NULL.
+
+    ``rows`` carries a ``salt`` column; each row of ``facts`` is repeated once per salt.  A key
+    that owns a large share of the rows is thereby spread over ``salts`` partitions, and whatever
+    is grouped by that key afterwards is combined in each of them first.  The build side is fixed
+    to ``facts``: its size cannot be estimated before it has been aggregated.
+    """
+    repeated = facts.select(
+        F.col(key).alias("__key"),
+        *[name for name in facts.columns if name != key],
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
+    )
+    match = F.col(key).eqNullSafe(F.col("__key")) & (F.col("salt") == F.col("__salt"))
+    return rows.join(repeated.hint("shuffle_hash"), match).drop("__key", "__salt", "salt")
+
+
+def join_hot_safe(
+    rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, spread: Sequence[str]
+) -> DataFrame:
+    """Inner join to ``facts``, one row per key, where ``hot`` lists the keys with very many rows.
+
+    Needed where ``facts`` comes out of an aggregate or join already partitioned by the key:
+    adaptive execution cannot split ``rows`` there.  Hot rows are salted by ``spread`` instead; the
+    list of hot keys, and so the repeated part of ``facts``, is short by construction.
+    """
+    plain = rows.join(hot, key, "left_anti").join(facts, key)
+    salted = rows.join(hot, key, "left_semi").withColumn("salt", salt(*spread))
+    return plain.unionByName(join_per_key(salted, facts.join(hot, key, "left_semi"), key))

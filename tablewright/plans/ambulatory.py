@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import completed_months
-from tablewright.operators.filters import optional_in, recent_years
-from tablewright.operators.joins import band_lookup, flagged_bridge
+from tablewright.operators.filters import as_list, recent_years
+from tablewright.operators.joins import band_lookup, with_codes
 from tablewright.plans.hospital import watermark_year
 
 FRONT = "ambulatorial"
@@ -35,12 +35,12 @@ def care_of_interest(
 
     Without a chosen procedure the rows need none at all.
     """
-    picked = optional_in(diagnoses, "id_cid", cids, on_empty="none")
-    rows = flagged_bridge(production, picked, "id_cid_principal", "id_cid")
-    wanted = list(chosen)
-    if wanted:
-        known = optional_in(procedures, "id_procedimento", wanted)
-        rows = flagged_bridge(rows, known, "id_procedimento_principal", "id_procedimento")
+    diagnosed, treated = as_list(cids), as_list(chosen)
+    if not diagnosed:
+        return production.filter(F.lit(False))
+    rows = with_codes(production, diagnoses, "id_cid_principal", "id_cid", diagnosed)
+    if treated:
+        rows = with_codes(rows, procedures, "id_procedimento_principal", "id_procedimento", treated)
     return rows
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.text import full_name
 from tablewright.operators.aggregates import group_or_whole
 from tablewright.operators.filters import excluding, first_match, first_row, optional_eq, within
-from tablewright.operators.joins import keep_existing
+from tablewright.operators.joins import keep_known
 from tablewright.operators.reshape import labelled_counts
 from tablewright.operators.windows import HOT_ROWS, hot_keys, id_block, running_totals
 
@@ -96,9 +96,9 @@ def _race_points(
     constructor_id: int | None,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    facts = _selected(results, driver_id, constructor_id).select(
-        "driverId", "raceId", "constructorId", "points", *extra
-    )
+    columns = ["driverId", "raceId", "constructorId", "points"]
+    extra = [name for name in extra if name not in columns[:2]]
+    facts = _selected(results, driver_id, constructor_id).select(*dict.fromkeys([*columns, *extra]))
     return (
         facts.join(races.select("raceId", "year", F.col("name").alias("race_name"), "date"), "raceId")
         .join(constructors.select("constructorId", F.col("name").alias("constructor_name")), "constructorId")
@@ -128,7 +128,7 @@ def career_scorecard(
 
     For one selected driver there is always one row, with zero counts if they never raced.
     """
-    facts = keep_existing(_selected(results, driver_id, constructor_id), races, "raceId")
+    facts = keep_known(_selected(results, driver_id, constructor_id), races, "raceId")
     grouped, fixed = group_or_whole(facts, ["driverId"], {"driverId": driver_id})
     return grouped.agg(
         F.count_if(F.col("positionOrder") == 1).alias("total_wins"),

@@ -11,6 +11,7 @@ from tablewright.functions.numbers import text_to_float
 from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
 from tablewright.operators.filters import optional_eq
+from tablewright.operators.joins import join_hot_safe
 from tablewright.operators.windows import HOT_ROWS, hot_keys, previous_value, running_totals
 
 # Status texts that hint at an incident.
@@ -145,24 +146,39 @@ def race_scorecard(
     driver_id: int | None = None,
     incidents: Sequence[str] = INCIDENTS,
     length: int = SERIES_LENGTH,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The single-value part of the drill-down: one row per start.
 
-    Laps, stops and race totals are each aggregated once per key and then joined.  As in the
+    Laps, stops and race totals are each aggregated once per key and then joined.  Races with more
+    than ``hot_rows`` starts are joined to their totals in salted parts.  As in the
     analysis this follows, ``positions_lost`` counts laps with a *smaller* place number than
     before, which is a gain on track; the two names are kept as they are.
     """
-    pick = _picker(race_id, driver_id)
-    laps = _lap_totals(_lap_segments(pick(lap_times), length))
-    return _scorecard(results, races, constructors, status, qualifying, laps, pick(pit_stops), race_id, driver_id, incidents)
+    tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
+    return _scorecard(*tables, race_id, driver_id, incidents, length, hot_rows).drop("has_series")
 
 
 def _picker(race_id: int | None, driver_id: int | None):
     return lambda frame: optional_eq(optional_eq(frame, "raceId", race_id), "driverId", driver_id)
 
 
-def _scorecard(results, races, constructors, status, qualifying, laps, pit_stops, race_id, driver_id, incidents):
+def _scorecard(
+    results,
+    races,
+    constructors,
+    status,
+    qualifying,
+    lap_times,
+    pit_stops,
+    race_id,
+    driver_id,
+    incidents,
+    length,
+    hot_rows,
+) -> DataFrame:
     pick = _picker(race_id, driver_id)
+    laps = _lap_totals(_lap_segments(pick(lap_times), length))
     race = (
         optional_eq(races, "raceId", race_id)
         .select("raceId", F.col("name").alias("race_name"), F.col("date").alias("race_date"))
@@ -188,11 +204,12 @@ def _scorecard(results, races, constructors, status, qualifying, laps, pit_stops
         F.col("position").alias("qualifying_position"),
     )
     zero = F.lit(0).cast("bigint")
+    hot = hot_keys(pick(results), ["raceId"], hot_rows)
     return (
-        starts.join(session, PAIR, "left")
+        join_hot_safe(starts, race, "raceId", hot, ["driverId"])
+        .join(session, PAIR, "left")
         .join(laps, PAIR, "left")
-        .join(pit_summary(pit_stops), PAIR, "left")
-        .join(race, "raceId")
+        .join(pit_summary(pick(pit_stops)), PAIR, "left")
         .join(constructors.select("constructorId", F.col("name").alias("constructor_name")), "constructorId")
         .join(status.select("statusId", F.col("status").alias("race_status")), "statusId")
         .select(
@@ -221,6 +238,7 @@ def _scorecard(results, races, constructors, status, qualifying, laps, pit_stops
             "avg_pit_stop_duration",
             "total_drivers_in_race",
             "incidents_count",
+            F.coalesce("positions_lost", "total_pit_stops").isNotNull().alias("has_series"),
         )
     )
 
@@ -256,6 +274,7 @@ def race_drilldown(
     driver_id: int | None = None,
     incidents: Sequence[str] = INCIDENTS,
     length: int = SERIES_LENGTH,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Scorecard and ordered series together, one row per start and segment.
 
@@ -263,15 +282,10 @@ def race_drilldown(
     inner join, which adaptive execution may split when one start dominates.
     """
     pick = _picker(race_id, driver_id)
-    cards = race_scorecard(
-        results, races, constructors, status, qualifying, lap_times, pit_stops, race_id, driver_id, incidents, length
-    )
+    tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
+    cards = _scorecard(*tables, race_id, driver_id, incidents, length, hot_rows)
     series = lap_series(pick(lap_times), pick(pit_stops), length)
-    silent = cards.join(series.select(*PAIR).distinct(), PAIR, "left_anti")
-    kinds = dict(series.dtypes)
-    blank = {name: F.lit(None).cast(kinds[name]) for name in series.columns if name not in (*PAIR, "segment")}
-    return (
-        series.join(cards, PAIR)
-        .select(*cards.columns, "segment", *blank)
-        .unionByName(silent.withColumns({"segment": F.lit(0).cast(kinds["segment"]), **blank}))
-    )
+    kinds = {name: kind for name, kind in series.dtypes if name not in PAIR}
+    blank = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
+    silent = cards.filter(~F.col("has_series")).withColumns({**blank, "segment": F.lit(0).cast(kinds["segment"])})
+    return series.join(cards, PAIR).select(*silent.columns).unionByName(silent).drop("has_series")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.dates import month_start
 from tablewright.functions.numbers import leading_digit, ratio
-from tablewright.operators.filters import optional_in, recent_partitions, recent_years
-from tablewright.operators.joins import flagged_bridge, keep_existing
+from tablewright.operators.filters import as_list, recent_partitions, recent_years
+from tablewright.operators.joins import join_hot_safe, keep_existing, with_codes
+from tablewright.operators.windows import HOT_ROWS, hot_keys
 
 # Tens digit of discharge codes that end a stay, and the category labels.
 DISCHARGE_CODES = (1, 4, 5, 6)
@@ -31,18 +32,18 @@ def with_diagnosis(
     admissions: DataFrame, bridge: DataFrame, diagnoses: DataFrame, cids: Iterable[str]
 ) -> DataFrame:
     """Rows of admissions that have one of the chosen diagnoses; the choice is mandatory."""
-    chosen = optional_in(diagnoses, "id_cid", cids, on_empty="none")
-    return keep_existing(admissions, flagged_bridge(bridge, chosen, "cid", "id_cid"), "id_aih")
+    chosen = as_list(cids)
+    if not chosen:
+        return admissions.filter(F.lit(False))
+    return keep_existing(admissions, with_codes(bridge, diagnoses, "cid", "id_cid", chosen), "id_aih")
 
 
 def with_procedure(
     admissions: DataFrame, bridge: DataFrame, procedures: DataFrame, chosen: Iterable[str] = ()
 ) -> DataFrame:
     """Rows of admissions with a chosen procedure; without a choice, with any known one."""
-    picked = optional_in(procedures, "id_procedimento", chosen)
-    return keep_existing(
-        admissions, flagged_bridge(bridge, picked, "id_procedimento", "id_procedimento"), "id_aih"
-    )
+    treated = with_codes(bridge, procedures, "id_procedimento", "id_procedimento", as_list(chosen))
+    return keep_existing(admissions, treated, "id_aih")
 
 
 class Lake:
@@ -127,6 +128,7 @@ def cohort_stays(
     procedures: Iterable[str] = (),
     years: int = 1,
     discharge_codes: Iterable[int] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every stay of the cohort's admissions with its discharge category and month of entry.
 
@@ -134,13 +136,15 @@ def cohort_stays(
     so one with entries in two years keeps both.
     """
     ids = _cohort_ids(lake, cids, procedures, years, discharge_codes)
-    return lake.admissions.join(ids, "id_aih", "left_semi").select(
+    stays = lake.admissions.select(
         "id_aih",
         "id_motivo_saida_permanencia",
         "ind_obito",
         discharge_category().alias("alta_obito"),
         month_start(F.col("dt_entrada_internacao")).alias("data_internacao"),
     )
+    hot = hot_keys(lake.admissions, ["id_aih"], hot_rows)
+    return join_hot_safe(stays, ids, "id_aih", hot, ["data_internacao", "id_motivo_saida_permanencia", "ind_obito"])
 
 
 def admissions_by_year(
@@ -150,8 +154,11 @@ def admissions_by_year(
     years: int = 1,
     discharge_codes: Iterable[int] | None = None,
 ) -> DataFrame:
-    """Cohort admissions per year of entry."""
-    stays = cohort_stays(lake, cids, procedures, years, discharge_codes)
-    return stays.groupBy(F.year("data_internacao").alias("ano_internacao")).agg(
-        F.count_distinct("id_aih").alias("qtde_internacoes")
+    """Cohort admissions per year of entry; an admission with entries in two years counts in both."""
+    ids = _cohort_ids(lake, cids, procedures, years, discharge_codes)
+    entered = lake.admissions.select("id_aih", F.year("dt_entrada_internacao").alias("ano_internacao")).distinct()
+    return (
+        entered.join(ids, "id_aih", "left_semi")
+        .groupBy("ano_internacao")
+        .agg(F.count("id_aih").alias("qtde_internacoes"))
     )

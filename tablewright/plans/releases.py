@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.dates import decade_end, decade_of, decade_start, previous_range
 from tablewright.functions.numbers import change_rate, direction
 from tablewright.operators.filters import brush, within
+from tablewright.operators.joins import join_per_key, salt
 
 # Card label -> averaged measure.  "Average Budget" averages US_Gross, as the dashboard does;
 # pass another mapping to average Production_Budget.
@@ -105,9 +106,9 @@ def genre_counts(movies: DataFrame, start: datetime | None = None, end: datetime
         .groupBy("Major_Genre", "Release_Date")
         .agg(F.count("*").alias("count"))
     )
-    totals = counts.groupBy(F.col("Major_Genre").alias("genre")).agg(F.sum("count").alias("genre_total"))
+    totals = counts.groupBy("Major_Genre").agg(F.sum("count").alias("genre_total"))
     return (
-        counts.join(totals, F.col("Major_Genre").eqNullSafe(F.col("genre")))
+        join_per_key(counts.withColumn("salt", salt("Release_Date")), totals, "Major_Genre")
         .select("Major_Genre", "Release_Date", "count", "genre_total")
         .orderBy(
             F.desc("genre_total"), F.col("Major_Genre").asc_nulls_last(), F.col("Release_Date").asc_nulls_last()
