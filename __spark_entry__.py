@@ -37,19 +37,14 @@ WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def flat(frame: DataFrame) -> DataFrame:
+    forms = {"double": "round({0}, 4)", "float": "round(cast({0} AS double), 4)"}
+    forms |= dict.fromkeys(WHOLE, "cast({0} AS bigint)")
+    forms |= dict.fromkeys(("date", "timestamp", "timestamp_ntz"), "date_format({0}, 'yyyy-MM-dd')")
     columns = []
     for name, kind in frame.dtypes:
-        column = F.col(f"`{name}`")
-        if kind in WHOLE:
-            column = column.cast("bigint")
-        elif kind in ("double", "float"):
-            column = F.round(column.cast("double"), 4)
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
-            column = dates.iso_date(column)
-        elif kind.startswith("array"):
-            column = F.array_join(column.cast("array<string>"), ",", "-")
-        columns.append(column.alias(name))
-    return frame.select(*columns)
+        form = "array_join(cast({0} AS array<string>), ',', '-')" if kind.startswith("array") else forms.get(kind, "{0}")
+        columns.append(f"{form.format(f'`{name}`')} AS `{name}`")
+    return frame.selectExpr(*columns)
 
 
 def _racing(analysis: Callable, *tables: str, **choices) -> Callable[[SparkSession, str], DataFrame]:

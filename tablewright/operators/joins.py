@@ -75,15 +75,15 @@ def join_per_key(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS
     return rows.join(repeated.hint("shuffle_hash"), match).drop("__key", "__salt", "salt")
 
 
-def join_hot_safe(
-    rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, spread: Sequence[str]
-) -> DataFrame:
-    """Inner join to ``facts``, one row per key, where ``hot`` lists the keys with very many rows.
-
-    Needed where ``facts`` comes out of an aggregate or join already partitioned by the key:
-    adaptive execution cannot split ``rows`` there.  Hot rows are salted by ``spread`` instead; the
-    list of hot keys, and so the repeated part of ``facts``, is short by construction.
+def join_splittable(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join to ``facts``, few rows per key, where one key may own a large share of ``rows``.
+
+    Needed where ``facts`` comes out of an aggregate or join by the same keys.  Being partitioned
+    already, it would meet ``rows`` without a shuffle of its own, and adaptive execution splits a
+    dominant key only between two shuffles.  Comparing the keys as a struct gives ``facts``, the
+    small side, that shuffle.
     """
-    plain = rows.join(hot, key, "left_anti").join(facts, key)
-    salted = rows.join(hot, key, "left_semi").withColumn("salt", salt(*spread))
-    return plain.unionByName(join_per_key(salted, facts.join(hot, key, "left_semi"), key))
+    other = {key: f"__{key}" for key in keys}
+    known = rows.na.drop(subset=list(keys))
+    match = F.struct(*keys) == F.struct(*[F.col(other[key]).alias(key) for key in keys])
+    return known.join(facts.withColumnsRenamed(other), match).drop(*other.values())

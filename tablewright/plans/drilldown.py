@@ -11,7 +11,7 @@ from tablewright.functions.numbers import text_to_float
 from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
 from tablewright.operators.filters import optional_eq
-from tablewright.operators.joins import join_hot_safe
+from tablewright.operators.joins import join_splittable
 from tablewright.operators.windows import HOT_ROWS, hot_keys, previous_value, running_totals
 
 # Status texts that hint at an incident.
@@ -146,17 +146,15 @@ def race_scorecard(
     driver_id: int | None = None,
     incidents: Sequence[str] = INCIDENTS,
     length: int = SERIES_LENGTH,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The single-value part of the drill-down: one row per start.
 
-    Laps, stops and race totals are each aggregated once per key and then joined.  Races with more
-    than ``hot_rows`` starts are joined to their totals in salted parts.  As in the
+    Laps, stops and race totals are each aggregated once per key and then joined.  As in the
     analysis this follows, ``positions_lost`` counts laps with a *smaller* place number than
     before, which is a gain on track; the two names are kept as they are.
     """
     tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
-    return _scorecard(*tables, race_id, driver_id, incidents, length, hot_rows).drop("has_series")
+    return _scorecard(*tables, race_id, driver_id, incidents, length).drop("has_series")
 
 
 def _picker(race_id: int | None, driver_id: int | None):
@@ -175,7 +173,6 @@ def _scorecard(
     driver_id,
     incidents,
     length,
-    hot_rows,
 ) -> DataFrame:
     pick = _picker(race_id, driver_id)
     laps = _lap_totals(_lap_segments(pick(lap_times), length))
@@ -184,35 +181,29 @@ def _scorecard(
         .select("raceId", F.col("name").alias("race_name"), F.col("date").alias("race_date"))
         .join(race_context(optional_eq(results, "raceId", race_id), status, incidents), "raceId")
     )
-    starts = pick(results).select(
+    starts = pick(results).selectExpr(
         *PAIR,
         "constructorId",
         "statusId",
-        F.col("grid").alias("start_position"),
-        F.col("positionOrder").alias("finish_position"),
-        F.col("points").alias("points_earned"),
-        F.col("laps").alias("laps_completed"),
-        F.col("time").alias("race_time"),
-        F.col("fastestLapTime").alias("fastest_lap_time"),
-        F.col("fastestLapSpeed").alias("fastest_lap_speed"),
+        "grid AS start_position",
+        "positionOrder AS finish_position",
+        "points AS points_earned",
+        "laps AS laps_completed",
+        "time AS race_time",
+        "fastestLapTime AS fastest_lap_time",
+        "fastestLapSpeed AS fastest_lap_speed",
     )
-    session = pick(qualifying).select(
-        *PAIR,
-        F.col("q1").alias("qualifying_1"),
-        F.col("q2").alias("qualifying_2"),
-        F.col("q3").alias("qualifying_3"),
-        F.col("position").alias("qualifying_position"),
+    session = pick(qualifying).selectExpr(
+        *PAIR, "q1 AS qualifying_1", "q2 AS qualifying_2", "q3 AS qualifying_3", "position AS qualifying_position"
     )
-    zero = F.lit(0).cast("bigint")
-    hot = hot_keys(pick(results), ["raceId"], hot_rows)
     return (
-        join_hot_safe(starts, race, "raceId", hot, ["driverId"])
+        join_splittable(starts, race, ["raceId"])
         .join(session, PAIR, "left")
         .join(laps, PAIR, "left")
         .join(pit_summary(pick(pit_stops)), PAIR, "left")
-        .join(constructors.select("constructorId", F.col("name").alias("constructor_name")), "constructorId")
-        .join(status.select("statusId", F.col("status").alias("race_status")), "statusId")
-        .select(
+        .join(constructors.selectExpr("constructorId", "name AS constructor_name"), "constructorId")
+        .join(status.selectExpr("statusId", "status AS race_status"), "statusId")
+        .selectExpr(
             *PAIR,
             "race_name",
             "race_date",
@@ -229,16 +220,16 @@ def _scorecard(
             "fastest_lap_time",
             "fastest_lap_speed",
             "race_status",
-            F.coalesce("positions_lost", zero).alias("positions_lost"),
-            F.coalesce("positions_gained", zero).alias("positions_gained"),
+            "coalesce(positions_lost, 0L) AS positions_lost",
+            "coalesce(positions_gained, 0L) AS positions_gained",
             "best_lap_time_ms",
             "avg_lap_time_ms",
             "worst_lap_time_ms",
-            F.coalesce("total_pit_stops", zero).alias("total_pit_stops"),
+            "coalesce(total_pit_stops, 0L) AS total_pit_stops",
             "avg_pit_stop_duration",
             "total_drivers_in_race",
             "incidents_count",
-            F.coalesce("positions_lost", "total_pit_stops").isNotNull().alias("has_series"),
+            "coalesce(positions_lost, total_pit_stops) IS NOT NULL AS has_series",
         )
     )
 
@@ -274,18 +265,17 @@ def race_drilldown(
     driver_id: int | None = None,
     incidents: Sequence[str] = INCIDENTS,
     length: int = SERIES_LENGTH,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Scorecard and ordered series together, one row per start and segment.
 
-    Starts without any series keep NULL arrays in segment 0.  The series are the large side of an
-    inner join, which adaptive execution may split when one start dominates.
+    Starts without any series keep NULL arrays in segment 0.  The others take part in an inner join
+    whose large side, the series, adaptive execution may split when one start dominates.
     """
     pick = _picker(race_id, driver_id)
     tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
-    cards = _scorecard(*tables, race_id, driver_id, incidents, length, hot_rows)
+    cards = _scorecard(*tables, race_id, driver_id, incidents, length)
     series = lap_series(pick(lap_times), pick(pit_stops), length)
     kinds = {name: kind for name, kind in series.dtypes if name not in PAIR}
     blank = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
     silent = cards.filter(~F.col("has_series")).withColumns({**blank, "segment": F.lit(0).cast(kinds["segment"])})
-    return series.join(cards, PAIR).select(*silent.columns).unionByName(silent).drop("has_series")
+    return join_splittable(series, cards, PAIR).select(*silent.columns).unionByName(silent).drop("has_series")

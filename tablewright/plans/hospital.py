@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.dates import month_start
 from tablewright.functions.numbers import leading_digit, ratio
 from tablewright.operators.filters import as_list, recent_partitions, recent_years
-from tablewright.operators.joins import join_hot_safe, keep_existing, with_codes
-from tablewright.operators.windows import HOT_ROWS, hot_keys
+from tablewright.operators.joins import join_splittable, keep_existing, with_codes
 
 # Tens digit of discharge codes that end a stay, and the category labels.
 DISCHARGE_CODES = (1, 4, 5, 6)
@@ -128,7 +127,6 @@ def cohort_stays(
     procedures: Iterable[str] = (),
     years: int = 1,
     discharge_codes: Iterable[int] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every stay of the cohort's admissions with its discharge category and month of entry.
 
@@ -143,8 +141,7 @@ def cohort_stays(
         discharge_category().alias("alta_obito"),
         month_start(F.col("dt_entrada_internacao")).alias("data_internacao"),
     )
-    hot = hot_keys(lake.admissions, ["id_aih"], hot_rows)
-    return join_hot_safe(stays, ids, "id_aih", hot, ["data_internacao", "id_motivo_saida_permanencia", "ind_obito"])
+    return join_splittable(stays, ids, ["id_aih"])
 
 
 def admissions_by_year(

@@ -18,81 +18,77 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     # racing: supplier = driver, part = constructor, order = race, line = result
 
     def drivers(self) -> DataFrame:
-        parts = F.split("s_name", "#")
-        return self["supplier"].select(
-            F.col("s_suppkey").alias("driverId"), parts[0].alias("forename"), parts[1].alias("surname")
+        return self["supplier"].selectExpr(
+            "s_suppkey AS driverId", "split(s_name, '#')[0] AS forename", "split(s_name, '#')[1] AS surname"
         )
 
     def constructors(self) -> DataFrame:
-        return self["part"].select(F.col("p_partkey").alias("constructorId"), F.col("p_brand").alias("name"))
+        return self["part"].selectExpr("p_partkey AS constructorId", "p_brand AS name")
 
     def races(self) -> DataFrame:
-        day = F.col("o_orderdate").cast("date")
-        return self["orders"].select(
-            F.col("o_orderkey").alias("raceId"),
-            F.year(day).alias("year"),
-            F.col("o_custkey").alias("circuitId"),
-            F.col("o_orderpriority").alias("name"),
-            day.alias("date"),
+        return self["orders"].selectExpr(
+            "o_orderkey AS raceId",
+            "year(o_orderdate) AS year",
+            "o_custkey AS circuitId",
+            "o_orderpriority AS name",
+            "cast(o_orderdate AS date) AS date",
         )
 
     def circuits(self) -> DataFrame:
         return (
             self["customer"]
             .join(self["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.col("c_custkey").alias("circuitId"), F.col("c_name").alias("name"), F.col("n_name").alias("country")
-            )
+            .selectExpr("c_custkey AS circuitId", "c_name AS name", "n_name AS country")
         )
 
     def status(self) -> DataFrame:
-        return self["region"].select(F.col("r_regionkey").alias("statusId"), F.col("r_name").alias("status"))
+        return self["region"].selectExpr("r_regionkey AS statusId", "r_name AS status")
 
     def results(self) -> DataFrame:
-        return self["lineitem"].select(
-            F.col("l_orderkey").alias("raceId"),
-            F.col("l_suppkey").alias("driverId"),
-            F.col("l_partkey").alias("constructorId"),
-            (F.col("l_linenumber") % 5).alias("statusId"),
-            F.col("l_extendedprice").alias("points"),
-            F.col("l_linenumber").alias("positionOrder"),
-            F.col("l_quantity").cast("int").alias("grid"),
-            F.round(F.col("l_discount") * 100).cast("int").alias("rank"),
+        return self["lineitem"].selectExpr(
+            "l_orderkey AS raceId",
+            "l_suppkey AS driverId",
+            "l_partkey AS constructorId",
+            "l_linenumber % 5 AS statusId",
+            "l_extendedprice AS points",
+            "l_linenumber AS positionOrder",
+            "cast(l_quantity AS int) AS grid",
+            "cast(round(l_discount * 100) AS int) AS rank",
         )
 
     def qualifying(self) -> DataFrame:
-        return self["lineitem"].select(
-            F.col("l_orderkey").alias("raceId"),
-            F.col("l_suppkey").alias("driverId"),
-            F.col("l_quantity").cast("int").alias("position"),
+        return self["lineitem"].selectExpr(
+            "l_orderkey AS raceId", "l_suppkey AS driverId", "cast(l_quantity AS int) AS position"
         )
 
     # drill-down: week of the event log = race, user = driver, event = lap or pit stop
 
     def _events(self) -> DataFrame:
-        return self["events"].select(
-            F.call_function("div", F.dayofyear("ts"), F.lit(7)).cast("int").alias("raceId"),
-            F.col("user_id").alias("driverId"),
-            F.col("event_id"),
-            F.col("ts"),
-            F.col("event_type"),
-            F.col("value"),
-            F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+        return self["events"].selectExpr(
+            "cast(dayofyear(ts) div 7 AS int) AS raceId",
+            "user_id AS driverId",
+            "event_id",
+            "ts",
+            "event_type",
+            "cast(round(value * 100) AS bigint) AS cents",
         )
 
     def stage_races(self) -> DataFrame:
         return (
             self._events()
             .groupBy("raceId")
-            .agg(F.min("ts").cast("date").alias("date"))
-            .select("raceId", F.concat(F.lit("Stage "), F.col("raceId").cast("string")).alias("name"), "date")
+            .agg(F.min("ts").alias("ts"))
+            .selectExpr("raceId", "concat('Stage ', raceId) AS name", "cast(ts AS date) AS date")
         )
 
     def stage_results(self) -> DataFrame:
@@ -100,172 +96,166 @@ class Tables:
             self._events()
             .groupBy("raceId", "driverId")
             .agg(F.count("*").alias("laps"), F.sum("cents").alias("cents"), F.max("cents").alias("best"))
-            .select(
+            .selectExpr(
                 "raceId",
                 "driverId",
-                (F.col("driverId") % 25).cast("int").alias("constructorId"),
-                (F.col("cents") % 5).cast("int").alias("statusId"),
-                (F.col("cents") % 26).cast("int").alias("points"),
-                (F.col("cents") % 20 + 1).cast("int").alias("positionOrder"),
-                (F.col("best") % 20 + 1).cast("int").alias("grid"),
-                F.col("laps"),
-                F.col("cents").cast("string").alias("time"),
-                F.col("best").cast("string").alias("fastestLapTime"),
-                (F.col("best") / 100).alias("fastestLapSpeed"),
+                "cast(driverId % 25 AS int) AS constructorId",
+                "cast(cents % 5 AS int) AS statusId",
+                "cast(cents % 26 AS int) AS points",
+                "cast(cents % 20 + 1 AS int) AS positionOrder",
+                "cast(best % 20 + 1 AS int) AS grid",
+                "laps",
+                "cast(cents AS string) AS time",
+                "cast(best AS string) AS fastestLapTime",
+                "best / 100 AS fastestLapSpeed",
             )
         )
 
     def stage_constructors(self) -> DataFrame:
-        return self["nation"].select(F.col("n_nationkey").alias("constructorId"), F.col("n_name").alias("name"))
+        return self["nation"].selectExpr("n_nationkey AS constructorId", "n_name AS name")
 
     def stage_qualifying(self) -> DataFrame:
         return (
             self._events()
-            .filter(F.col("event_type") == "signup")
+            .filter("event_type = 'signup'")
             .groupBy("raceId", "driverId")
             .agg(F.min("cents").alias("low"), F.max("cents").alias("high"))
-            .select(
+            .selectExpr(
                 "raceId",
                 "driverId",
-                (F.col("low") % 20 + 1).cast("int").alias("position"),
-                F.col("low").cast("string").alias("q1"),
-                F.col("high").cast("string").alias("q2"),
-                F.lit(None).cast("string").alias("q3"),
+                "cast(low % 20 + 1 AS int) AS position",
+                "cast(low AS string) AS q1",
+                "cast(high AS string) AS q2",
+                "cast(NULL AS string) AS q3",
             )
         )
 
     def laps(self) -> DataFrame:
-        return self._events().select(
+        return self._events().selectExpr(
             "raceId",
             "driverId",
-            F.col("event_id").alias("lap"),
-            F.when(F.col("event_type") != "error", (F.col("cents") % 20 + 1).cast("int")).alias("position"),
-            F.col("event_type").alias("time"),
-            F.col("cents").alias("milliseconds"),
+            "event_id AS lap",
+            "CASE WHEN event_type <> 'error' THEN cast(cents % 20 + 1 AS int) END AS position",
+            "event_type AS time",
+            "cents AS milliseconds",
         )
 
     def pit_stops(self) -> DataFrame:
-        seconds = (F.col("cents") % 60).cast("string")
         return (
             self._events()
-            .filter(F.col("event_type") == "purchase")
-            .select(
+            .filter("event_type = 'purchase'")
+            .selectExpr(
                 "raceId",
                 "driverId",
-                F.col("event_id").alias("lap"),
-                F.lit(1).alias("stop"),
-                F.when(F.col("cents") > 10000, F.concat(F.lit("1:"), seconds)).otherwise(seconds).alias("duration"),
+                "event_id AS lap",
+                "1 AS stop",
+                "concat(CASE WHEN cents > 10000 THEN '1:' ELSE '' END, cents % 60) AS duration",
             )
         )
 
     # releases: line = movie
 
     def movies(self) -> DataFrame:
-        return self["lineitem"].select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("Title"),
-            F.col("l_returnflag").alias("Major_Genre"),
-            F.col("l_shipdate").alias("Release_Date"),
-            F.col("l_extendedprice").alias("Production_Budget"),
-            (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("Worldwide_Gross"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("US_Gross"),
-            (F.col("l_quantity") / 5).alias("IMDB_Rating"),
-            (F.col("l_linenumber") * 20.0).alias("Running_Time_min"),
+        return self["lineitem"].selectExpr(
+            "concat_ws('-', l_orderkey, l_partkey, l_suppkey) AS Title",
+            "l_returnflag AS Major_Genre",
+            "l_shipdate AS Release_Date",
+            "l_extendedprice AS Production_Budget",
+            "l_extendedprice * (1 + l_tax) AS Worldwide_Gross",
+            "l_extendedprice * (1 - l_discount) AS US_Gross",
+            "l_quantity / 5 AS IMDB_Rating",
+            "l_linenumber * 20D AS Running_Time_min",
         )
 
     # snapshot: order = country in a year
 
     def country_years(self) -> DataFrame:
-        return self["orders"].select(
-            F.col("o_orderkey").alias("country"),
-            F.col("o_orderpriority").alias("continent"),
-            F.year("o_orderdate").alias("year"),
-            (F.col("o_custkey") % 60 + 25.5).alias("lifeExp"),
-            (F.col("o_totalprice") / 25).alias("gdpPercap"),
-            (F.col("o_totalprice") * 100).alias("pop"),
+        return self["orders"].selectExpr(
+            "o_orderkey AS country",
+            "o_orderpriority AS continent",
+            "year(o_orderdate) AS year",
+            "o_custkey % 60 + 25.5D AS lifeExp",
+            "o_totalprice / 25 AS gdpPercap",
+            "o_totalprice * 100 AS pop",
         )
 
     # creatures: part = creature
 
     def creatures(self) -> DataFrame:
-        cents = F.round(F.col("p_retailprice") * 10).cast("int")
-        return self["part"].select(
-            F.col("p_partkey").alias("#"),
-            F.concat_ws(" ", F.col("p_name"), F.col("p_partkey").cast("string")).alias("Name"),
-            F.col("p_type").alias("Type 1"),
-            F.col("p_size").alias("HP"),
-            (cents % 191).alias("Attack"),
-            (cents % 53).alias("Defense"),
-            (F.col("p_size") * 3).alias("Sp. Atk"),
-            (cents % 71).alias("Sp. Def"),
-            (F.col("p_size") + cents % 7).alias("Speed"),
-            F.lit(1).alias("Generation"),
-            F.lit("False").alias("Legendary"),
+        priced = self["part"].selectExpr("*", "cast(round(p_retailprice * 10) AS int) AS c")
+        return priced.selectExpr(
+            "p_partkey AS `#`",
+            "concat_ws(' ', p_name, p_partkey) AS Name",
+            "p_type AS `Type 1`",
+            "p_size AS HP",
+            "c % 191 AS Attack",
+            "c % 53 AS Defense",
+            "p_size * 3 AS `Sp. Atk`",
+            "c % 71 AS `Sp. Def`",
+            "p_size + c % 7 AS Speed",
+            "1 AS Generation",
+            "'False' AS Legendary",
         )
 
     def priced_lines(self) -> DataFrame:
         """Lines as creatures: return flag as type, price as HP, for a large continuous attribute."""
-        return self["lineitem"].select(
-            F.col("l_returnflag").alias("Type 1"), F.col("l_extendedprice").alias("HP")
-        )
+        return self["lineitem"].selectExpr("l_returnflag AS `Type 1`", "l_extendedprice AS HP")
 
     # hospital: two orders = one admission, line = diagnosis and procedure
 
     def watermarks(self) -> DataFrame:
-        last = self["orders"].agg(F.max(F.year("o_orderdate")).alias("dt_max_ano"))
-        fronts = F.array(
-            F.struct(F.lit("sihsus").alias("base_origem"), F.lit("hospitalar").alias("frente")),
-            F.struct(F.lit("siasus").alias("base_origem"), F.lit("ambulatorial").alias("frente")),
+        last = self["orders"].agg(F.max("o_orderdate").alias("last"))
+        return last.selectExpr(
+            "inline(array(named_struct('base_origem', 'sihsus', 'frente', 'hospitalar'), "
+            "named_struct('base_origem', 'siasus', 'frente', 'ambulatorial')))",
+            "year(last) AS dt_max_ano",
         )
-        return last.select(F.inline(fronts), "dt_max_ano")
 
     def hospital(self) -> Lake:
-        stay = F.call_function("div", F.col("l_orderkey"), F.lit(2)).cast("string").alias("id_aih")
         lines = self["lineitem"]
-        admissions = self["orders"].select(
-            F.call_function("div", F.col("o_orderkey"), F.lit(2)).cast("string").alias("id_aih"),
-            F.col("o_orderdate").alias("dt_entrada_internacao"),
-            (F.col("o_custkey") % 60 + 11).cast("int").alias("id_motivo_saida_permanencia"),
-            F.col("o_totalprice").alias("vl_total_aih"),
-            F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("ind_obito"),
-            F.year("o_orderdate").cast("string").alias("partition_0"),
+        admissions = self["orders"].selectExpr(
+            "cast(o_orderkey div 2 AS string) AS id_aih",
+            "o_orderdate AS dt_entrada_internacao",
+            "cast(o_custkey % 60 + 11 AS int) AS id_motivo_saida_permanencia",
+            "o_totalprice AS vl_total_aih",
+            "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS ind_obito",
+            "cast(year(o_orderdate) AS string) AS partition_0",
         )
+        stay = "cast(l_orderkey div 2 AS string) AS id_aih"
         return Lake(
             watermarks=self.watermarks(),
             admissions=admissions,
-            diagnosis_bridge=lines.select(stay, F.col("l_suppkey").cast("string").alias("cid")),
-            procedure_bridge=lines.select(stay, (F.col("l_partkey") % 25).cast("string").alias("id_procedimento")),
-            diagnoses=self["supplier"].select(F.col("s_suppkey").cast("string").alias("id_cid")),
-            procedures=self["nation"].select(F.col("n_nationkey").cast("string").alias("id_procedimento")),
+            diagnosis_bridge=lines.selectExpr(stay, "cast(l_suppkey AS string) AS cid"),
+            procedure_bridge=lines.selectExpr(stay, "cast(l_partkey % 25 AS string) AS id_procedimento"),
+            diagnoses=self["supplier"].selectExpr("cast(s_suppkey AS string) AS id_cid"),
+            procedures=self["nation"].selectExpr("cast(n_nationkey AS string) AS id_procedimento"),
         )
 
     # ambulatory: customer = patient, order = care
 
     def care(self) -> DataFrame:
-        return self["orders"].select(
-            F.col("o_custkey").cast("string").alias("id_cns_paciente"),
-            F.col("o_orderpriority").alias("id_cid_principal"),
-            (F.col("o_orderkey") % 5).cast("string").alias("id_procedimento_principal"),
-            F.col("o_orderdate").alias("dt_atendimento"),
+        return self["orders"].selectExpr(
+            "cast(o_custkey AS string) AS id_cns_paciente",
+            "o_orderpriority AS id_cid_principal",
+            "cast(o_orderkey % 5 AS string) AS id_procedimento_principal",
+            "o_orderdate AS dt_atendimento",
         )
 
     def care_diagnoses(self) -> DataFrame:
-        return self["orders"].select(F.col("o_orderpriority").alias("id_cid")).distinct()
+        return self["orders"].selectExpr("o_orderpriority AS id_cid").distinct()
 
     def care_procedures(self) -> DataFrame:
-        return self["region"].select(F.col("r_regionkey").cast("string").alias("id_procedimento"))
+        return self["region"].selectExpr("cast(r_regionkey AS string) AS id_procedimento")
 
     def birth_dates(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self["customer"].select(
-            key.cast("string").alias("id_cns_paciente"),
-            F.make_date((key % 60 + 1930).cast("int"), (key % 12 + 1).cast("int"), (key % 28 + 1).cast("int")).alias(
-                "data_nascimento"
-            ),
+        return self["customer"].selectExpr(
+            "cast(c_custkey AS string) AS id_cns_paciente",
+            "make_date(cast(c_custkey % 60 + 1930 AS int), cast(c_custkey % 12 + 1 AS int), "
+            "cast(c_custkey % 28 + 1 AS int)) AS data_nascimento",
         )
 
     def age_bands(self) -> DataFrame:
         """Five-year bands by month of age, up to 60 years; older patients have no band."""
-        years = F.call_function("div", F.col("idade_meses"), F.lit(60)) * 5
-        return self.spark.range(0, 720).select(F.col("id").alias("idade_meses")).withColumn(
-            "faixa_etaria_ibge", F.concat(years.cast("string"), F.lit("-"), (years + 4).cast("string"))
+        return self.spark.range(0, 720).selectExpr(
+            "id AS idade_meses", "concat(id div 60 * 5, '-', id div 60 * 5 + 4) AS faixa_etaria_ibge"
         )

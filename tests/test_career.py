@@ -165,9 +165,8 @@ def drill(tables, **choices):
     return drilldown.race_drilldown(*[tables[name] for name in names], **choices)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 0])
-def test_drilldown(tables, hot_rows):
-    found = {(row["raceId"], row["driverId"]): row for row in drill(tables, hot_rows=hot_rows).collect()}
+def test_drilldown(tables):
+    found = {(row["raceId"], row["driverId"]): row for row in drill(tables).collect()}
     assert len(found) == 7
     first = found[1, 1]
     assert (first["positions_lost"], first["positions_gained"]) == (1, 1)

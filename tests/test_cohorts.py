@@ -67,9 +67,8 @@ def test_years_read_the_whole_admission(lake):
     assert rows == {2018: 1, 2019: 1, 2020: 2, 2021: 1}
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1, 0])
-def test_stays(lake, hot_rows):
-    stays = hospital.cohort_stays(lake, ["M32"], ["p1"], years=1, hot_rows=hot_rows).collect()
+def test_stays(lake):
+    stays = hospital.cohort_stays(lake, ["M32"], ["p1"], years=1).collect()
     got = sorted((row["id_aih"], row["alta_obito"], row["data_internacao"]) for row in stays)
     assert got == [
         ("a", "1. Alta", date(2020, 5, 1)),

@@ -93,14 +93,32 @@ def test_join_per_key_matches_null_and_keeps_every_row(spark):
     assert {r["n"] for r in joined.collect()} == {250}
 
 
-@pytest.mark.parametrize("hot_limit", [0, 100, 10_000])
-def test_join_hot_safe(spark, hot_limit):
-    rows = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    facts = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("f"))
-    hot = windows.hot_keys(rows, ["k"], hot_limit)
-    got = sorted((r["id"], r["f"]) for r in joins.join_hot_safe(rows, facts, "k", hot, ["id"]).collect())
-    expected = sorted((r["id"], r["f"]) for r in rows.join(facts, "k").collect())
-    assert got == expected
+def test_a_dominant_key_is_split(spark):
+    """With broadcasting off and small thresholds, adaptive execution splits the dominant key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 200_000, 1, 16).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), "id"
+        )
+        facts = rows.groupBy("k").agg(F.count("*").alias("n"))
+        joined = joins.join_splittable(rows, facts, ["k"]).groupBy("n").agg(F.count("*").alias("rows"))
+        got = {row["n"]: row["rows"] for row in joined.collect()}
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(got.values()) == 200_000
+    assert max(got) > 60_000 and got[max(got)] == max(got)
+    assert "SortMergeJoin(skew=true)" in text
 
 
 def test_cards(spark):
