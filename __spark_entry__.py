@@ -227,6 +227,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q11_non_finish_reasons": _racing(
             career.non_finish_reasons, "results", "races", "status", finished=NOT_REASONS
         ),
+        "q11_reasons_one_season": _racing(
+            career.non_finish_reasons, "results", "races", "status", driver_id=7, year=1998, finished=NOT_REASONS
+        ),
         "q12_qualifying_vs_race": _racing(drilldown.qualifying_vs_race, "results", "qualifying", "races"),
         "q13_venues": _racing(career.venues, "results", "races", "circuits"),
         "q13_venues_between_years": _racing(

@@ -326,6 +326,13 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
                GROUP BY driverId, year, s.status""",
             "driverId:i year:i status:s count:i",
         ),
+        "q11_reasons_one_season": (
+            "results races status",
+            """SELECT driverId, year, s.status, count(*) AS count FROM results res JOIN races r ON res.raceId = r.raceId
+               JOIN status s ON res.statusId = s.statusId WHERE driverId = 7 AND year = 1998
+               AND s.status NOT IN ('ASIA', 'EUROPE') GROUP BY driverId, year, s.status""",
+            "driverId:i year:i status:s count:i",
+        ),
         "q12_qualifying_vs_race": (
             "results races qualifying",
             """SELECT res.driverId, r.raceId, r.year, r.name AS race_name, q.position AS qualifying_position,

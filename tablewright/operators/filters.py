@@ -7,6 +7,7 @@ reach the Parquet scan.  ``None`` means "nothing selected".
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -50,15 +51,34 @@ def excluding(frame: DataFrame, column: str, values: Iterable) -> DataFrame:
     return frame.filter(~F.col(f"`{column}`").isin(list(values)))
 
 
+def bound(frame: DataFrame, column: str, value: Any) -> Column:
+    """``value`` as a literal of the column's own type.
+
+    A Python date or datetime is taken as wall-clock time, whatever zone the driver runs in.
+    """
+    if isinstance(value, date):
+        return F.lit(str(value)).cast(frame.schema[column].dataType)
+    return F.lit(value)
+
+
 def within(frame: DataFrame, column: str, low: Any, high: Any) -> DataFrame:
     """Inclusive range; a missing bound is open."""
     if low is not None:
-        frame = frame.filter(F.col(f"`{column}`") >= F.lit(low))
+        frame = frame.filter(F.col(f"`{column}`") >= bound(frame, column, low))
     if high is not None:
-        frame = frame.filter(F.col(f"`{column}`") <= F.lit(high))
+        frame = frame.filter(F.col(f"`{column}`") <= bound(frame, column, high))
     return frame
 
 
+def sorted_selection(frame: DataFrame, selected: Any | None, *order: Column) -> DataFrame:
+    """Sort the rows of one selected entity.
+
+    The result for all entities stays unsorted: a global order nobody looks at would cost one more
+    shuffle of the whole result and a second run of the stage before it.
+    """
+    return frame if selected is None else frame.orderBy(*order)
+
+
 def brush(frame: DataFrame, ranges: Mapping[str, tuple[Any, Any]]) -> DataFrame:
     """Rows inside a rectangle drawn over several measures."""
     for column, (low, high) in ranges.items():

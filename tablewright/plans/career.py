@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.text import full_name
 from tablewright.operators.aggregates import group_or_whole
-from tablewright.operators.filters import excluding, first_match, first_row, optional_eq, within
+from tablewright.operators.filters import (
+    excluding,
+    first_match,
+    first_row,
+    optional_eq,
+    sorted_selection,
+    within,
+)
 from tablewright.operators.joins import keep_known
 from tablewright.operators.reshape import labelled_counts
 from tablewright.operators.windows import HOT_ROWS, hot_keys, id_block, running_totals
@@ -50,11 +57,8 @@ def constructor_options(
     """
     pairs = _selected(results, driver_id, None).select("driverId", "constructorId").distinct()
     names = constructors.select("constructorId", F.col("name").alias("constructor_name"))
-    return (
-        pairs.join(names, "constructorId")
-        .select("driverId", "constructorId", "constructor_name")
-        .orderBy(*_ascending("constructor_name", "driverId", "constructorId"))
-    )
+    found = pairs.join(names, "constructorId").select("driverId", "constructorId", "constructor_name")
+    return sorted_selection(found, driver_id, *_ascending("constructor_name", "constructorId"))
 
 
 def constructor_id_of(options: DataFrame, constructor_name: str | None) -> DataFrame | None:
@@ -73,13 +77,13 @@ def season_points(
 ) -> DataFrame:
     """Points per driver, season and constructor."""
     facts = _selected(results, driver_id, constructor_id).select("driverId", "raceId", "constructorId", "points")
-    return (
+    season = (
         facts.join(races.select("raceId", "year"), "raceId")
         .join(constructors.select("constructorId", F.col("name").alias("constructor_name")), "constructorId")
         .groupBy("driverId", "year", "constructor_name")
         .agg(F.sum("points").alias("total_points"))
-        .orderBy(*_ascending("year", "driverId", "constructor_name"))
     )
+    return sorted_selection(season, driver_id, *_ascending("year", "constructor_name"))
 
 
 def selected_season(season: DataFrame, driver_id: int, year: int | None = None) -> DataFrame:
@@ -113,9 +117,9 @@ def race_points(
     driver_id: int | None = None,
     constructor_id: int | None = None,
 ) -> DataFrame:
-    """Points of every race start, in race order."""
+    """Points of every race start; in race order for a selected driver."""
     rows = _race_points(results, races, constructors, driver_id, constructor_id)
-    return rows.orderBy(*_ascending("date", "raceId", "driverId", "constructor_name", "points"))
+    return sorted_selection(rows, driver_id, *_ascending("date", "raceId", "constructor_name", "points"))
 
 
 def career_scorecard(
@@ -197,15 +201,16 @@ def non_finish_reasons(
     constructor_id: int | None = None,
     finished: Sequence[str] = FINISHED,
 ) -> DataFrame:
-    """How often each status other than ``finished`` ended a race, most frequent first."""
+    """How often each status other than ``finished`` ended a race; for a selected driver, most
+    frequent first."""
     facts = _selected(results, driver_id, constructor_id).select("driverId", "raceId", "statusId")
-    return (
+    reasons = (
         facts.join(excluding(status.select("statusId", "status"), "status", finished), "statusId")
         .join(optional_eq(races.select("raceId", "year"), "year", year), "raceId")
         .groupBy("driverId", "year", "status")
         .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), *_ascending("driverId", "year", "status"))
     )
+    return sorted_selection(reasons, driver_id, F.desc("count"), *_ascending("year", "status"))
 
 
 def venues(
@@ -225,8 +230,7 @@ def venues(
         .select("driverId", "circuitId")
         .distinct()
     )
-    return (
-        pairs.join(circuits.select("circuitId", F.col("name").alias("circuit_name"), "country"), "circuitId")
-        .select("driverId", "circuitId", "circuit_name", "country")
-        .orderBy(*_ascending("circuit_name", "driverId", "circuitId"))
-    )
+    found = pairs.join(
+        circuits.select("circuitId", F.col("name").alias("circuit_name"), "country"), "circuitId"
+    ).select("driverId", "circuitId", "circuit_name", "country")
+    return sorted_selection(found, driver_id, *_ascending("circuit_name", "circuitId"))

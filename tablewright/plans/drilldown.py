@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.numbers import text_to_float
 from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
-from tablewright.operators.filters import optional_eq
+from tablewright.operators.filters import optional_eq, sorted_selection
 from tablewright.operators.joins import join_splittable
 from tablewright.operators.windows import HOT_ROWS, hot_keys, previous_value, running_totals
 
@@ -30,20 +30,18 @@ def qualifying_vs_race(
     year: int | None = None,
     constructor_id: int | None = None,
 ) -> DataFrame:
-    """Qualifying place and finishing place of the same start, in race order."""
+    """Qualifying place and finishing place of the same start; in race order for a selected driver."""
     starts = optional_eq(optional_eq(results, "driverId", driver_id), "constructorId", constructor_id)
     grid = optional_eq(qualifying, "driverId", driver_id)
-    return (
-        starts.select(*PAIR, F.col("positionOrder").alias("race_position"))
-        .join(grid.select(*PAIR, F.col("position").alias("qualifying_position")), PAIR)
-        .join(optional_eq(races, "year", year).select("raceId", "year", F.col("name").alias("race_name"), "date"), "raceId")
-        .orderBy(
-            *[
-                F.col(name).asc_nulls_last()
-                for name in ("date", "raceId", "driverId", "qualifying_position", "race_position")
-            ]
-        )
-        .select("driverId", "raceId", "year", "race_name", "qualifying_position", "race_position")
+    season = optional_eq(races, "year", year).selectExpr("raceId", "year", "name AS race_name", "date")
+    both = (
+        starts.selectExpr(*PAIR, "positionOrder AS race_position")
+        .join(grid.selectExpr(*PAIR, "position AS qualifying_position"), PAIR)
+        .join(season, "raceId")
+    )
+    order = ("date", "raceId", "qualifying_position", "race_position")
+    return sorted_selection(both, driver_id, *[F.col(name).asc_nulls_last() for name in order]).select(
+        "driverId", "raceId", "year", "race_name", "qualifying_position", "race_position"
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.dates import decade_end, decade_of, decade_start, previous_range
 from tablewright.functions.numbers import change_rate, direction
-from tablewright.operators.filters import brush, within
+from tablewright.operators.filters import bound, brush, within
 from tablewright.operators.joins import join_per_key, salt
 
 # Card label -> averaged measure.  "Average Budget" averages US_Gross, as the dashboard does;
@@ -24,8 +24,9 @@ MEASURES = {
 TOTAL = "Total Movies"
 
 
-def _in_range(column: str, low: datetime, high: datetime) -> Column:
-    return F.col(column).between(F.lit(low), F.lit(high))
+def _released(movies: DataFrame, low: datetime, high: datetime) -> Column:
+    day = "Release_Date"
+    return F.col(day).between(bound(movies, day, low), bound(movies, day, high))
 
 
 def _both_periods(movies: DataFrame, start: datetime, end: datetime) -> tuple[DataFrame, Column, Column]:
@@ -35,8 +36,8 @@ def _both_periods(movies: DataFrame, start: datetime, end: datetime) -> tuple[Da
     rows = within(movies, "Release_Date", min(earlier_start, start), max(earlier_end, end))
     return (
         rows,
-        _in_range("Release_Date", start, end),
-        _in_range("Release_Date", earlier_start, earlier_end),
+        _released(movies, start, end),
+        _released(movies, earlier_start, earlier_end),
     )
 
 
