@@ -221,6 +221,17 @@ def _density(values: str) -> str:
       WHERE n > 1 AND sd > 0 GROUP BY b.g, k, lo, hi"""
 
 
+def _column_types(**tables: str) -> str:
+    """Type a CSV reader infers for each column, from the type the column has."""
+    kind = """CASE typeof(any_value({0})) WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'int' END"""
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS table_name, {place} AS position, '{column}' AS column_name,
+            {kind.format(column)} AS data_type FROM {table}"""
+        for table, columns in tables.items()
+        for place, column in enumerate(columns.split(), start=1)
+    )
+
+
 _HISTOGRAM_COLUMNS = "group:s bins:i bin:i bin_start:n bin_end:n count:i"
 _DENSITY_COLUMNS = "group:s point:i x:n density:n"
 _PERIOD_NOW = "Release_Date >= TIMESTAMP '1998-03-01' AND Release_Date <= TIMESTAMP '1999-03-01'"
@@ -560,6 +571,15 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
                FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
             "n_name:s suppliers:i balance:n",
         ),
+        "s02_schema_profile": (
+            "",
+            _column_types(
+                customer="c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+                supplier="s_suppkey s_name s_nationkey s_acctbal",
+                nation="n_nationkey n_name n_regionkey",
+            ),
+            "table_name:s position:i column_name:s data_type:s",
+        ),
         "s06_sql_over_tables": (
             "",
             """SELECT n_name, count(*) AS customers, sum(c_acctbal) AS balance

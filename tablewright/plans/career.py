@@ -130,7 +130,8 @@ def career_scorecard(
 ) -> DataFrame:
     """Wins, podiums, starts, points, pole positions and fastest laps, in one pass.
 
-    For one selected driver there is always one row, with zero counts if they never raced.
+    For one selected driver there is always one row, with zero counts if they never raced.  ``rank``
+    may be a number or, where a source marks gaps with text, a string.
     """
     facts = keep_known(_selected(results, driver_id, constructor_id), races, "raceId")
     grouped, fixed = group_or_whole(facts, ["driverId"], {"driverId": driver_id})
@@ -140,7 +141,7 @@ def career_scorecard(
         F.count("*").alias("total_races"),
         F.round(F.sum("points"), 0).alias("total_points"),
         F.count_if(F.col("grid") == 1).alias("pole_positions"),
-        F.count_if(F.col("rank") == 1).alias("fastest_laps"),
+        F.count_if(F.col("rank").cast("string") == "1").alias("fastest_laps"),
     ).select(*fixed, "*")
 
 
