@@ -63,11 +63,11 @@ def moments(frame: DataFrame, group: str, value: str, probabilities: Sequence[fl
 
 
 def group_quantiles(counts: DataFrame, stats: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact, linearly interpolated quantiles: ``(group, probability, quantile)``.
+    """Exact, linearly interpolated quantiles: one row per group and probability.
 
-    ``stats`` comes from ``moments`` with the same probabilities.  Values below a bracket are only
-    counted and those above are dropped, so no more than the values inside a bracket, a small
-    fixed share of a large group, are put in order.
+    ``stats`` comes from ``moments`` with the same probabilities and is handed on.  Values below a
+    bracket are only counted and those above are dropped, so no more than the values inside a
+    bracket, a small fixed share of a large group, are put in order.
     """
     asked = F.array(
         *[
@@ -75,72 +75,60 @@ def group_quantiles(counts: DataFrame, stats: DataFrame, probabilities: Sequence
                 F.lit(float(p)).alias("probability"),
                 F.col("brackets")[2 * i].alias("from"),
                 F.col("brackets")[2 * i + 1].alias("to"),
-                (F.lit(float(p)) * (F.col("total") - 1)).alias("place"),
             )
             for i, p in enumerate(probabilities)
         ]
     )
-    keys = ["group", "probability", "place"]
-    inside = F.when(F.col("value") >= F.col("from"), F.col("value"))
+    keys = ["group", "total", "low", "high", "deviation", "probability"]
     kept = (
-        join_per_key(counts, stats.select("group", F.inline(asked)), "group")
-        .filter(F.col("value") <= F.col("to"))
-        .groupBy(*keys, inside.alias("value"))
+        join_per_key(counts, stats.select(*keys[:-1], F.inline(asked)), "group")
+        .filter("value <= to")
+        .groupBy(*keys, F.expr("CASE WHEN value >= from THEN value END").alias("value"))
         .agg(F.sum("n").alias("n"))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
+    order = Window.partitionBy("group", "probability").orderBy(F.col("value").asc_nulls_first())
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fraction = F.col("place") - F.floor("place")
-
-    def holds(rank):
-        return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
-
-    weight = F.when(holds(F.floor("place")), 1 - fraction).otherwise(0.0) + F.when(
-        holds(F.floor("place") + 1), fraction
-    ).otherwise(0.0)
+    holds = "(upto - n <= {0} AND {0} < upto)"
+    lower, upper = holds.format("floor(place)"), holds.format("floor(place) + 1")
+    part = "place - floor(place)"
+    weight = f"CASE WHEN {lower} THEN 1 - ({part}) ELSE 0D END + CASE WHEN {upper} THEN {part} ELSE 0D END"
     return (
         kept.withColumn("upto", upto)
-        .filter(F.col("value").isNotNull())
-        .groupBy("group", "probability")
-        .agg(F.sum(F.col("value") * weight).alias("quantile"))
+        .filter("value IS NOT NULL")
+        .withColumn("place", F.expr("probability * (total - 1)"))
+        .groupBy(*keys)
+        .agg(F.sum(F.expr(f"value * ({weight})")).alias("quantile"))
     )
 
 
 def automatic_bins(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add bin bounds, number and width: the finer of the Sturges and Freedman-Diaconis rules.
+    """Number, first edge and width of bins: the finer of the Sturges and Freedman-Diaconis rules.
 
     With no spread between the quartiles Sturges decides alone; with no spread at all there is
     one bin of width 1 around the value.
     """
     quartiles = (
         group_quantiles(counts, stats)
-        .groupBy("group")
-        .agg((F.max("quantile") - F.min("quantile")).alias("iqr"))
+        .groupBy("group", "total", "low", "high", "deviation")
+        .agg(F.expr("max(quantile) - min(quantile)").alias("iqr"))
     )
-    span = F.col("high") - F.col("low")
-    sturges = F.ceil(F.log2(F.col("total").cast("double")) + 1)
-    freedman = F.ceil(
-        F.try_divide(span, 2 * F.col("iqr") * F.pow(F.col("total").cast("double"), F.lit(-1.0 / 3.0)))
-    )
-    flat = F.col("low") == F.col("high")
-    return (
-        stats.join(quartiles, "group")
-        .withColumn("bins", F.when(flat, F.lit(1)).otherwise(F.greatest(sturges, freedman)).cast("long"))
-        .withColumn("start", F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")))
-        .withColumn("width", F.when(flat, F.lit(1.0)).otherwise(span / F.col("bins")))
+    sturges = "ceil(log2(cast(total AS double)) + 1)"
+    freedman = "ceil(try_divide(high - low, 2 * iqr * pow(cast(total AS double), -1D / 3)))"
+    bins = quartiles.selectExpr("*", f"CASE WHEN low = high THEN 1L ELSE greatest({sturges}, {freedman}) END AS bins")
+    return _edges(bins)
+
+
+def _edges(bins: DataFrame) -> DataFrame:
+    return bins.selectExpr(
+        "*",
+        "CASE WHEN low = high THEN low - 0.5D ELSE low END AS start",
+        "CASE WHEN low = high THEN 1D ELSE high - low END / bins AS width",
     )
 
 
 def fixed_bins(stats: DataFrame, bins: int) -> DataFrame:
     """The same columns for a chosen number of bins."""
-    flat = F.col("low") == F.col("high")
-    return stats.withColumns(
-        {
-            "bins": F.lit(bins).cast("long"),
-            "start": F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")),
-            "width": F.when(flat, F.lit(1.0)).otherwise(F.col("high") - F.col("low")) / bins,
-        }
-    )
+    return _edges(stats.withColumn("bins", F.lit(bins).cast("bigint")))
 
 
 def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
@@ -148,31 +136,32 @@ def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
 
     Bins are closed on the left and open on the right, the last one closed on both sides.
     """
-    guess = F.least(F.col("bins") - 1, F.floor((F.col("value") - F.col("start")) / F.col("width")))
-    lower, upper = F.col("start") + F.col("guess") * F.col("width"), F.col("start") + (F.col("guess") + 1) * F.col("width")
-    bin_number = (
-        F.when(F.col("value") < lower, F.col("guess") - 1)
-        .when((F.col("value") >= upper) & (F.col("guess") < F.col("bins") - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
-    )
+    number = """CASE WHEN value < start + guess * width THEN guess - 1
+                     WHEN value >= start + (guess + 1) * width AND guess < bins - 1 THEN guess + 1
+                     ELSE guess END"""
     return (
         join_per_key(counts, binned.select("group", "bins", "start", "width"), "group")
-        .withColumn("guess", guess)
-        .withColumn("bin", bin_number)
-        .groupBy("group", "bins", "start", "width", "bin")
+        .withColumn("guess", F.expr("least(bins - 1, floor((value - start) / width))"))
+        .groupBy("group", "bins", "start", "width", F.expr(number).alias("bin"))
         .agg(F.sum("n").alias("count"))
-        .select(
+        .selectExpr(
             "group",
             "bins",
             "bin",
-            (F.col("start") + F.col("bin") * F.col("width")).alias("bin_start"),
-            (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"),
+            "start + bin * width AS bin_start",
+            "start + (bin + 1) * width AS bin_end",
             "count",
         )
     )
 
 
-def density(counts: DataFrame, binned: DataFrame, points: int = GRID_POINTS, bandwidth: float | None = None) -> DataFrame:
+def density(
+    counts: DataFrame,
+    stats: DataFrame,
+    binned: DataFrame,
+    points: int = GRID_POINTS,
+    bandwidth: float | None = None,
+) -> DataFrame:
     """Gaussian density per group on an even grid from lowest to highest value.
 
     Bandwidth is Scott's rule (sample deviation times n ** -1/5) unless given as a factor of the
@@ -182,29 +171,22 @@ def density(counts: DataFrame, binned: DataFrame, points: int = GRID_POINTS, ban
     Each counted value meets only the grid points within ``REACH`` bandwidths, and those
     contributions are summed in the same stage before anything is shuffled.
     """
-    factor = F.lit(bandwidth) if bandwidth else F.pow(F.col("total").cast("double"), F.lit(-0.2))
-    curves = (
-        binned.filter((F.col("total") > 1) & (F.col("deviation") > 0))
-        .withColumn("h", F.col("deviation") * factor)
-        .withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
-        .select("group", "low", "step", "h", "width")
-    )
-    first = F.greatest(F.lit(0), F.ceil((F.col("value") - REACH * F.col("h") - F.col("low")) / F.col("step")))
-    last = F.least(
-        F.lit(points - 1), F.floor((F.col("value") + REACH * F.col("h") - F.col("low")) / F.col("step"))
-    )
-    z = (F.col("low") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
+    factor = repr(float(bandwidth)) + "D" if bandwidth else "pow(cast(total AS double), -0.2D)"
+    shape = ("group", "low", f"deviation * {factor} AS h", f"(high - low) / {points - 1} AS step")
+    spread = "total > 1 AND deviation > 0"
+    near = f"""sequence(greatest(0L, ceil((value - {REACH}D * h - low) / step)),
+                        least({points - 1}L, floor((value + {REACH}D * h - low) / step)))"""
+    kernel = "exp(-0.5D * ((low + point * step - value) / h) * ((low + point * step - value) / h))"
     sums = (
-        join_per_key(counts, curves.select("group", "low", "step", "h"), "group")
-        .select("group", "value", "n", "low", "step", "h", F.explode(F.sequence(first, last)).alias("point"))
+        join_per_key(counts, stats.filter(spread).selectExpr(*shape), "group")
+        .selectExpr("group", "value", "n", "low", "step", "h", f"explode({near}) AS point")
         .groupBy("group", "point")
-        .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("mass"))
+        .agg(F.sum(F.expr(f"n * {kernel}")).alias("mass"))
     )
-    grid = curves.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1)).cast("array<bigint>")).alias("point"))
-    scale = F.col("width") / (F.col("h") * math.sqrt(2 * math.pi))
-    return grid.join(sums, ["group", "point"], "left").select(
+    grid = binned.filter(spread).selectExpr(*shape, "width").selectExpr("*", f"explode(sequence(0L, {points - 1}L)) AS point")
+    return grid.join(sums, ["group", "point"], "left").selectExpr(
         "group",
-        F.col("point").cast("int").alias("point"),
-        (F.col("low") + F.col("point") * F.col("step")).alias("x"),
-        (F.coalesce(F.col("mass"), F.lit(0.0)) * scale).alias("density"),
+        "cast(point AS int) AS point",
+        "low + point * step AS x",
+        f"coalesce(mass, 0D) * width / (h * {math.sqrt(2 * math.pi)!r}D) AS density",
     )

@@ -61,7 +61,7 @@ def with_attribute(creatures: DataFrame, attribute: str, name: str = "attribute"
 def _binned(frame: DataFrame, group: str, value: str, bins: int | None):
     counts = dist.value_counts(frame, group, value)
     stats = dist.moments(frame, group, value)
-    return counts, (dist.automatic_bins(counts, stats) if bins is None else dist.fixed_bins(stats, bins))
+    return counts, stats, (dist.automatic_bins(counts, stats) if bins is None else dist.fixed_bins(stats, bins))
 
 
 def attribute_histogram(
@@ -69,7 +69,8 @@ def attribute_histogram(
 ) -> DataFrame:
     """Histogram of an attribute per type, each with its own automatic bins."""
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
-    return dist.histogram(*_binned(rows, "Type 1", "attribute", bins))
+    counts, _, binned = _binned(rows, "Type 1", "attribute", bins)
+    return dist.histogram(counts, binned)
 
 
 def attribute_density(
@@ -82,8 +83,7 @@ def attribute_density(
 ) -> DataFrame:
     """Density curve of an attribute per type, on the scale of its histogram."""
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
-    counts, binned = _binned(rows, "Type 1", "attribute", bins)
-    return dist.density(counts, binned, points, bandwidth)
+    return dist.density(*_binned(rows, "Type 1", "attribute", bins), points, bandwidth)
 
 
 def radar(creatures: DataFrame, names: Iterable[str] | None = None) -> DataFrame:

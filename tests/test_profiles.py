@@ -99,7 +99,7 @@ def test_density_is_a_scaled_gaussian_sum(table):
 def test_density_integrates_to_about_the_area(spark):
     frame = spark.range(4000).select(F.lit("g").alias("Type 1"), (F.sin(F.col("id") * 7.13) + F.sin(F.col("id") * 3.7) + F.sin(F.col("id") * 1.9)).alias("HP"))
     counts, stats = dist.value_counts(frame, "Type 1", "HP"), dist.moments(frame, "Type 1", "HP")
-    rows = dist.density(counts, dist.fixed_bins(stats, 20), points=400).collect()
+    rows = dist.density(counts, stats, dist.fixed_bins(stats, 20), points=400).collect()
     width = stats.first()
     step = (width["high"] - width["low"]) / 399
     area = sum(row["density"] for row in rows) * step
