@@ -144,7 +144,9 @@ def _number_functions(given: Tables) -> DataFrame:
         "o_orderkey",
         numbers.bubble_size(F.col("o_totalprice")).alias("size"),
         numbers.leading_digit((F.col("o_custkey") % 60 + 11).cast("int")).alias("digit"),
-        numbers.text_to_float(F.concat_ws("", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", F.lit(":")))).alias("number"),
+        numbers.text_to_float(
+            F.concat_ws("", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", F.lit(":")))
+        ).alias("number"),
         numbers.change_rate(F.col("o_totalprice"), F.log1p("o_custkey")).alias("rate"),
         numbers.direction(numbers.change_rate(F.col("o_totalprice"), F.col("o_custkey") * 300)).alias("direction"),
     )
@@ -238,7 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q14_race_drilldown": _racing(drilldown.race_drilldown, *DRILL, incidents=INCIDENTS),
         "q14_race_scorecard": _racing(drilldown.race_scorecard, *DRILL, incidents=INCIDENTS),
         "q14_lap_analysis": _racing(drilldown.lap_analysis, "laps"),
-        "q14_lap_analysis_hot": _racing(drilldown.lap_analysis, "laps", hot_rows=10, length=64),
+        "q14_lap_analysis_hot": _racing(drilldown.lap_analysis, "laps", hot_rows=10, bits=6),
         "q14_pit_summary": _racing(drilldown.pit_summary, "pit_stops"),
         # snapshot
         "q15_year_snapshot": _racing(snapshot.year_snapshot, "country_years", year=1998),

@@ -86,6 +86,13 @@ def brush(frame: DataFrame, ranges: Mapping[str, tuple[Any, Any]]) -> DataFrame:
     return frame
 
 
+def with_keys(frame: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Rows in which no key is NULL."""
+    for key in keys:
+        frame = frame.filter(F.col(f"`{key}`").isNotNull())
+    return frame
+
+
 def matching_keys(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` occurs in the one-column frame ``keys``."""
     return frame.join(keys, column, "left_semi")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.filters import with_keys
+
 SALTS = 256
 CODES = 1000
 
@@ -84,6 +86,6 @@ def join_splittable(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> D
     small side, that shuffle.
     """
     other = {key: f"__{key}" for key in keys}
-    known = rows.na.drop(subset=list(keys))
+    known = with_keys(rows, keys)
     match = F.struct(*keys) == F.struct(*[F.col(other[key]).alias(key) for key in keys])
     return known.join(facts.withColumnsRenamed(other), match).drop(*other.values())

@@ -3,8 +3,8 @@
 A plain window sorts each partition in one task.  That is the best plan until one key holds a
 large share of all rows.  The functions below therefore take ``hot``: the few key values with
 more rows than one task should sort, found by ``hot_keys`` with one map-side-combined count.
-Rows of all other keys go through a plain window; rows of hot keys go through a two-level form
-that sorts only bounded blocks.  Both give the same values, and with no hot key adaptive
+Rows of all other keys go through a plain window; rows of hot keys go through a form that
+sorts only bounded blocks, level by level.  Both give the same values, and with no hot key adaptive
 execution drops the second branch as soon as it sees the empty list.
 """
 
@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.filters import with_keys
+
 HOT_ROWS = 4_000_000
 BLOCK_BITS = 20
 
@@ -25,10 +27,15 @@ def hot_keys(frame: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> Da
 
 
 def split_hot(frame: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)`` rows.  Rows with a NULL key belong to no entity and appear in neither."""
+    """``(cold, hot)`` rows.  Rows with a NULL key belong to no entity and appear in neither.
+
+    The list of hot keys is broadcast, so the split shuffles nothing: with the default limit a
+    trillion rows have at most 250,000 such keys.
+    """
     keys = hot.columns
-    known = frame.na.drop(subset=keys)
-    return known.join(hot, keys, "left_anti"), known.join(hot, keys, "left_semi")
+    known = with_keys(frame, keys)
+    few = F.broadcast(hot)
+    return known.join(few, keys, "left_anti"), known.join(few, keys, "left_semi")
 
 
 def id_block(column: str, bits: int = BLOCK_BITS) -> Column:
@@ -46,8 +53,9 @@ def running_totals(
 ) -> DataFrame:
     """Add, for each entry of ``totals``, its running sum in ``order`` within ``partition``.
 
-    ``order`` must be total.  ``block`` must rise with ``order`` and cut a partition into
-    pieces one task can sort; it is used for the hot keys only.
+    ``order`` must be total.  ``block`` is used for the hot keys only: a path of cuts, coarse to
+    fine, that rises with ``order``.  No task sorts more than the cuts below one cut, or the rows
+    below the last.
     """
     cold_rows, hot_rows = split_hot(frame, hot)
     ascending = [F.col(name).asc_nulls_last() for name in order]
@@ -57,30 +65,44 @@ def running_totals(
     cold_out = cold_rows.withColumns({name: F.sum(what).over(plain) for name, what in totals.items()})
 
     cuts = [f"__cut{i}" for i in range(len(block))]
-    keys = [*partition, *cuts]
+    path = [*partition, *cuts]
     hot_rows = hot_rows.withColumns(dict(zip(cuts, block)))
-    earlier = (
-        Window.partitionBy(*partition)
-        .orderBy(*[F.col(cut).asc_nulls_last() for cut in cuts])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        hot_rows.groupBy(*keys)
-        .agg(*[F.sum(what).alias(f"__sum_{name}") for name, what in totals.items()])
-        .select(
-            *[F.col(key).alias(f"__key{i}") for i, key in enumerate(keys)],
-            *[F.sum(f"__sum_{name}").over(earlier).alias(f"__before_{name}") for name in totals],
-        )
-    )
-    same_block = [F.col(key).eqNullSafe(F.col(f"__key{i}")) for i, key in enumerate(keys)]
-    inside = Window.partitionBy(*keys).orderBy(*ascending).rowsBetween(*to_here)
-    hot_out = hot_rows.join(before, same_block, "inner").select(
+    sums = hot_rows.groupBy(*path).agg(*[F.sum(what).alias(f"__{name}") for name, what in totals.items()])
+    before = _before(sums, partition, cuts, [f"__{name}" for name in totals])
+    inside = Window.partitionBy(*path).orderBy(*ascending).rowsBetween(*to_here)
+    hot_out = _same(hot_rows, before, path).select(
         *frame.columns,
-        *[_add(F.sum(what).over(inside), F.col(f"__before_{name}")).alias(name) for name, what in totals.items()],
+        *[_add(F.sum(what).over(inside), F.col(f"__{name}")).alias(name) for name, what in totals.items()],
     )
     return cold_out.unionByName(hot_out)
 
 
+def _before(sums: DataFrame, partition: Sequence[str], cuts: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """For each block the sums of all blocks before it, from the blocks' own sums.
+
+    Earlier blocks under the same coarser cut are summed by a window, everything before that cut
+    comes from the same step one level up.
+    """
+    *coarse, cut = cuts
+    path = [*partition, *coarse]
+    earlier = Window.partitionBy(*path).orderBy(F.col(cut).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    here = sums.select(*path, cut, *[F.sum(name).over(earlier).alias(name) for name in names])
+    if not coarse:
+        return here
+    rolled = sums.groupBy(*path).agg(*[F.sum(name).alias(name) for name in names])
+    above = _before(rolled, partition, coarse, names).withColumnsRenamed({name: f"{name}_above" for name in names})
+    return _same(here, above, path).select(
+        *path, cut, *[_add(F.col(name), F.col(f"{name}_above")).alias(name) for name in names]
+    )
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, NULL matching NULL as it does inside a struct."""
+    other = {key: f"{key}__right" for key in keys}
+    match = F.struct(*keys) == F.struct(*[F.col(other[key]).alias(key) for key in keys])
+    return left.join(right.withColumnsRenamed(other), match).drop(*other.values())
+
+
 def _add(left: Column, right: Column) -> Column:
     """Sum that skips a NULL side, as SUM over both sets of rows would."""
     return F.coalesce(left + right, left, right)

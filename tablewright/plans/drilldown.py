@@ -12,7 +12,14 @@ from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
 from tablewright.operators.filters import optional_eq, sorted_selection
 from tablewright.operators.joins import join_splittable
-from tablewright.operators.windows import HOT_ROWS, hot_keys, previous_value, running_totals
+from tablewright.operators.windows import (
+    BLOCK_BITS,
+    HOT_ROWS,
+    hot_keys,
+    id_block,
+    previous_value,
+    running_totals,
+)
 
 # Status texts that hint at an incident.
 INCIDENTS = ("crash", "spun")
@@ -45,18 +52,21 @@ def qualifying_vs_race(
     )
 
 
-def lap_analysis(lap_times: DataFrame, hot_rows: int = HOT_ROWS, length: int = SERIES_LENGTH) -> DataFrame:
-    """Every lap with the place held one lap earlier and its rank by lap time."""
+def lap_analysis(lap_times: DataFrame, hot_rows: int = HOT_ROWS, bits: int = BLOCK_BITS) -> DataFrame:
+    """Every lap with the place held one lap earlier and its rank by lap time.
+
+    Starts with more than ``hot_rows`` laps are handled in blocks of ``2**bits`` lap numbers.
+    """
     hot = hot_keys(lap_times, PAIR, hot_rows)
-    segment = F.call_function("div", F.col("lap"), F.lit(length))
-    with_previous = previous_value(lap_times, PAIR, "lap", "position", "prev_position", hot, segment)
+    block = id_block("lap", bits)
+    with_previous = previous_value(lap_times, PAIR, "lap", "position", "prev_position", hot, block)
     return running_totals(
         with_previous,
         partition=PAIR,
         order=["milliseconds", "lap"],
         totals={"fastest_lap_rank": F.lit(1)},
         hot=hot,
-        block=[F.col("milliseconds"), segment],
+        block=[F.col("milliseconds"), block],
     )
 
 

@@ -202,7 +202,7 @@ def test_drilldown_of_one_start_and_short_segments(tables):
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 0])
 def test_lap_analysis(tables, hot_rows):
-    laps = drilldown.lap_analysis(tables["lap_times"], hot_rows=hot_rows, length=2)
+    laps = drilldown.lap_analysis(tables["lap_times"], hot_rows=hot_rows, bits=1)
     got = sorted(rows(laps.filter("raceId = 1 AND driverId = 1"), "lap", "prev_position", "fastest_lap_rank"))
     assert got == [(1, None, 5), (2, 5, 2), (3, 3, 4), (4, None, 3), (5, 4, 1)]
 

@@ -59,18 +59,23 @@ def test_sql_binds_values(spark, people):
 
 
 @pytest.mark.parametrize("hot_limit", [0, 60, 10_000])
-def test_running_totals_agree_with_a_plain_loop(spark, hot_limit):
-    rows = [(("big" if i % 3 else "small"), i * 7919 % 1009, float(i % 11)) for i in range(300)]
-    frame = spark.createDataFrame(rows, "k STRING, o INT, v DOUBLE")
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_running_totals_agree_with_a_plain_loop(spark, hot_limit, levels):
+    rows = [
+        ("big" if i % 3 else "small", None if i % 50 == 0 else i % 7, i * 7919 % 1009, None if i % 13 == 0 else float(i % 11))
+        for i in range(300)
+    ]
+    frame = spark.createDataFrame(rows, "k STRING, d INT, o INT, v DOUBLE")
     hot = windows.hot_keys(frame, ["k"], hot_limit)
-    got = windows.running_totals(
-        frame, ["k"], ["o"], {"total": F.col("v"), "place": F.lit(1)}, hot, [windows.id_block("o", 4)]
-    ).collect()
+    block = [F.col("d"), windows.id_block("o", 8), windows.id_block("o", 4)][:levels]
+    totals = {"total": F.col("v"), "place": F.lit(1)}
+    got = windows.running_totals(frame, ["k"], ["d", "o"], totals, hot, block).collect()
     expected = {}
     for key in ("big", "small"):
-        total = 0.0
-        for place, (_, order, value) in enumerate(sorted(r for r in rows if r[0] == key), start=1):
-            total += value
+        total = None
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for place, (_, _, order, value) in enumerate(mine, start=1):
+            total = total if value is None else (total or 0.0) + value
             expected[key, order] = (total, place)
     assert {(r["k"], r["o"]): (r["total"], r["place"]) for r in got} == expected
 
