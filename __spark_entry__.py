@@ -52,13 +52,13 @@ def _racing(analysis: Callable, *tables: str, **choices) -> Callable[[SparkSessi
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         given = Tables(spark, folder)
-        return flat(analysis(*[getattr(given, table)() for table in tables], **choices))
+        return analysis(*[getattr(given, table)() for table in tables], **choices)
 
     return run
 
 
 def _query(body: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: flat(body(Tables(spark, folder)))
+    return lambda spark, folder: body(Tables(spark, folder))
 
 
 def _csv_folder(given: Tables) -> DataFrame:
@@ -200,7 +200,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["q05_season_points"](spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every registered query in the types its analysis returns."""
     star = ("results", "races", "constructors")
     absent = -1
     return {
@@ -324,5 +325,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The same results in comparable types."""
+
+    def comparable(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, folder: flat(run(spark, folder))
+
+    return {name: comparable(run) for name, run in analyses().items()}
+
+
 def oracle_sql() -> dict[str, str]:
     return check_sql.statements()
