@@ -331,8 +331,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def comparable(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: flat(run(spark, folder))
 
-    return {name: comparable(run) for name, run in analyses().items()}
+    return {name: comparable(run) for name, run in analyses().items()} | _corpus_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return check_sql.statements()
+    return check_sql.statements() | _corpus_sql()
+
+
+def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The text-corpus queries, where that subpackage is installed."""
+    try:
+        import corpus_pipeline
+        from tablewright.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "tablewright.llm"):
+            raise
+        return {}
+    return corpus.QUERIES | {"pipeline": corpus_pipeline.run}
+
+
+def _corpus_sql() -> dict[str, str]:
+    try:
+        from tablewright.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name != "tablewright.llm":
+            raise
+        return {}
+    return corpus.SQL
