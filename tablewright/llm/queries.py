@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup
+from tablewright.llm import exact_dedup, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +17,23 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "removed_words",
+        "base_failed",
+        "kept",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -34,4 +49,41 @@ SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM n
     """,
+    "op9_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+        ), win AS (
+            SELECT r, i, (ws[i], ws[i + 1], ws[i + 2]) AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)
+        ), rep AS (
+            SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+        ), cov AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM rep, range(3) AS o(k) GROUP BY r
+        ), l AS (
+            SELECT r, host, md5(t) AS th, line,
+                   trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+            FROM d, unnest(string_split(t, chr(10))) AS u(line)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ), dup AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r
+        ), frequent AS (
+            SELECT host, norm FROM l JOIN (SELECT host, count(DISTINCT md5(t)) AS all_texts FROM d GROUP BY host) USING (host)
+            GROUP BY host, norm, all_texts
+            HAVING count(DISTINCT th) > 100 AND count(DISTINCT th) > 0.02 * all_texts
+        ), rem AS (
+            SELECT r, sum(len(string_split(norm, ' '))) AS n FROM l JOIN frequent USING (host, norm) GROUP BY r
+        ), f AS (
+            SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+                   coalesce(rem.n, 0)::BIGINT AS removed_words
+            FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN rem USING (r)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+               AND n_words - removed_words >= 0.3 * n_words AS kept
+        FROM f
+    """,
 }
