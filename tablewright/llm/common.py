@@ -48,3 +48,22 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``docs`` less the rows numbered in ``rows(row)`` by ``monotonically_increasing_id``.
+
+    ``docs`` has to give the same rows in the same order whenever it is read, as stored tables do.
+    """
+    number = unused(docs, "_row")
+    gone = stored(rows.select(F.col("row").alias(number)), name)
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the frame has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name in taken:
+        name += "_"
+    return name

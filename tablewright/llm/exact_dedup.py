@@ -21,20 +21,26 @@ HOT_LIST = 5000
 PREFIX = 48
 
 
-def exact_dedup(
-    docs: DataFrame,
-    keep: str = "smallest",
-    carry: tuple[str, ...] = (),
-    hot_rows: int = 1000,
-) -> DataFrame:
-    """One row per document with ``doc_id, keep_id, group_size, kept, text_sha256``, then ``carry``.
+def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = 1000) -> DataFrame:
+    """One row per document with ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical after lower-casing A-Z; NULL counts as empty.  ``keep``
     says whether the smallest or the largest doc_id of a group stays.  NULL ids stay only where a
     group has no other, and then ``keep_id`` is NULL.  Of rows that share both text and kept id
-    exactly one is ``kept``.  Other columns of ``docs`` are ignored whatever their names, unless
-    listed in ``carry``.  An empty table gives an empty result.
+    exactly one is ``kept``.  Other columns of ``docs`` are ignored whatever their names.  An empty
+    table gives an empty result.
     """
+    return _judged(docs, keep, (), hot_rows)
+
+
+def drop_copies(docs: DataFrame, keep: str = "smallest", hot_rows: int = 1000) -> DataFrame:
+    """The documents that stay, with the columns and texts they came with."""
+    judged = _judged(docs, keep, tuple(docs.columns), hot_rows).filter("kept")
+    return judged.select(*[F.col(f"_c_{name}").alias(name) for name in docs.columns])
+
+
+def _judged(docs: DataFrame, keep: str, carry: tuple[str, ...], hot_rows: int) -> DataFrame:
+    """The decisions, and the columns to carry along under names of their own."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     normal = lower_ascii(text_or_empty("text"))
@@ -78,17 +84,5 @@ def exact_dedup(
             }
         )
     kept = (F.col("_place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return judged.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        kept.alias("kept"),
-        "text_sha256",
-        *[F.col(f"_c_{name}").alias(name) for name in carry],
-    )
-
-
-def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The documents that stay, with the columns they came with."""
-    others = tuple(name for name in docs.columns if name != "doc_id")
-    return exact_dedup(docs, keep, carry=others).filter("kept").select(*docs.columns)
+    carried = [f"_c_{name}" for name in carry]
+    return judged.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *carried)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, stored, text_or_empty, words
+from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, stored, text_or_empty, unused, without_rows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCUMENTS = 100
@@ -66,10 +66,10 @@ def _repeated_words() -> Column:
     return F.when(F.size(twice) > 0, let(places, covered)).otherwise(F.lit(0).cast("bigint"))
 
 
-def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def measures(docs: DataFrame) -> DataFrame:
     """Per document: its counts, and for each line with a word the line's hash and number of words."""
     text = text_or_empty("text")
-    rows = docs.select("doc_id", text.alias("_text"), F.xxhash64("source").alias("host"), *carry)
+    rows = docs.select("doc_id", text.alias("_text"), F.xxhash64("source").alias("host"))
     with_word = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(GAP_CHARACTERS))) > 0)
 
     def described(line: Column) -> Column:
@@ -94,8 +94,7 @@ def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.size("_tokens").cast("bigint").alias("n_words"),
         _repeated_words().alias("n_repeat_words"),
         let(with_word, in_lines).alias("_l"),
-        *carry,
-    ).select("doc_id", "host", "row", "text_hash", "word_chars", "n_words", "n_symbols", "n_repeat_words", "_l.*", *carry)
+    ).select("doc_id", "host", "row", "text_hash", "word_chars", "n_words", "n_symbols", "n_repeat_words", "_l.*")
 
 
 def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -117,16 +116,14 @@ def judge(
     min_documents: int = MIN_DOCUMENTS,
     share: float = SHARE,
     min_left: float = MIN_LEFT,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: counts, ``removed_words``, ``base_failed`` and ``kept``.
 
     A NULL text counts as empty; documents of fewer than 50 words, so empty ones too, fail the base
     rule.  NULL is a host of its own.  Repeated rows are judged alike and count as one text.  Other
-    columns of ``docs`` are ignored whatever their names, unless listed in ``carry``.  An empty
-    table gives an empty result.
+    columns of ``docs`` are ignored whatever their names.  An empty table gives an empty result.
     """
-    measured = stored(measures(docs, carry), "line-measures")
+    measured = stored(measures(docs), "line-measures")
     frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
@@ -144,30 +141,27 @@ def judge(
 def drop_rejected(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with the columns and whole texts they came with.
 
-    Judgements are found again by row number, so ``docs`` has to give the same rows in the same
-    order whenever it is read, as stored tables do.
+    Takes a stored table: judgements are found again by row number.
     """
-    rejected = judge(docs.select("doc_id", "text", "source"), **limits).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    rejected = stored(rejected, "rejected-rows")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(rejected, "_row", "left_anti").select(*docs.columns)
+    return without_rows(docs, judge(docs, **limits).filter(~F.col("kept")), "rejected-rows")
 
 
 def strip_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """The documents with their frequent lines taken out of ``text``; all other columns as they came.
 
-    Only documents that hold a frequent line are taken apart.
+    Takes a stored table, as ``drop_rejected`` does.  A document has a bounded number of frequent lines
+    only if its own lines are bounded; they stay together in its row.
     """
-    measured = stored(measures(docs.select("doc_id", "text", "source")), "line-measures")
+    measured = stored(measures(docs), "line-measures")
     frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines.line").alias("line"))
-    gone = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("_gone"))
-    gone = stored(gone.withColumnRenamed("row", "_row"), "lines-to-strip")
+    number, gone = unused(docs, "_row"), unused(docs, "_gone")
+    marked = lines.join(frequent, ["host", "line"]).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(gone))
 
     def stays(line: Column) -> Column:
-        normal = F.btrim(F.regexp_replace(lower_ascii(line), GAP, " "))
-        return ~F.array_contains(F.col("_gone"), F.xxhash64(normal))
+        return ~F.array_contains(F.col(gone), F.xxhash64(F.btrim(F.regexp_replace(lower_ascii(line), GAP, " "))))
 
     left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
-    return numbered.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    numbered = docs.withColumn(number, F.monotonically_increasing_id()).join(stored(marked, "lines-to-strip"), number, "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    return numbered.withColumn("text", text).select(*docs.columns)

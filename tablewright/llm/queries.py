@@ -5,14 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, quality_rules
+from tablewright.llm import (
+    exact_dedup,
+    mixing,
+    quality_ranking,
+    quality_rules,
+    sentencepiece_bpe,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+    warc,
+)
+
+
+SHARDS = 40
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2)
+
+
+def op2_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_ranking.score(docs, quality_ranking.train(docs, table(spark, folder, "labels")))
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = sentencepiece_bpe.encode_and_decode(table(spark, folder, "documents"), tokenizer_path())
+    return sentencepiece_bpe.digests(encoded)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, folder, "pages"), rules)
+
+
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(table(spark, folder, "documents"), shards=SHARDS)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
@@ -31,9 +93,22 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, folder, "pages"), revisit_from=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_quality_ranking": op2_quality_ranking,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
@@ -86,4 +161,38 @@ SQL: dict[str, str] = {
                AND n_words - removed_words >= 0.3 * n_words AS kept
         FROM f
     """,
+    "op5_url_filter": r"""
+        WITH s AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT row_number() OVER () AS r, page_id,
+                   translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM s
+        ), rules(h, f, v) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), best AS (
+            SELECT r, h || f AS rule, v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || f) DESC, length(h) DESC) = 1
+        )
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+    """,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex, coalesce(html, '') AS body
+            FROM pages
+        ), d AS (
+            SELECT *, max(page_id) OVER (PARTITION BY body) AS first_id,
+                   row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) = 1 AS first,
+                   list_transform(range(8), lambda g: ('0x' || substr(hex, (g * 5 + 1)::INT, 5))::INT) AS parts
+            FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((parts[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first THEN NULL ELSE first_id END AS refers_to
+        FROM d
+    """,
 }
