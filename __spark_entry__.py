@@ -343,7 +343,7 @@ def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     try:
         import corpus_pipeline
         from tablewright.llm import queries as corpus
-    except ModuleNotFoundError as missing:
+    except ImportError as missing:
         if missing.name not in ("corpus_pipeline", "tablewright.llm"):
             raise
         return {}
@@ -353,7 +353,7 @@ def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _corpus_sql() -> dict[str, str]:
     try:
         from tablewright.llm import queries as corpus
-    except ModuleNotFoundError as missing:
+    except ImportError as missing:
         if missing.name != "tablewright.llm":
             raise
         return {}
