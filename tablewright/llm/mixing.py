@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     rows = rows.withColumn("_full", (F.col("_wanted") - before) * F.col("_w") >= F.col("_cap") * from_here)
     taken = F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)).over(everything)
     open_weight = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("_w"))).over(everything)
-    target = F.when(F.col("_full"), F.col("_cap")).otherwise((F.col("_wanted") - taken) * F.col("_w") / open_weight)
+    target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.try_divide((F.col("_wanted") - taken) * F.col("_w"), open_weight))
     return rows.select("source", "source_size", target.alias("target"))
 
 
@@ -59,7 +59,7 @@ def apportion(parts: DataFrame, parent: list[str], child: list[str], weight: str
     """
     within = Window.partitionBy(*(parent or [F.lit(0)]))
     count, total = F.count("*").over(within), F.sum(weight).over(within)
-    per_weight = lambda shift: F.greatest(F.col(seats) + shift * F.col("_n"), F.lit(0)) / F.col("_total")
+    per_weight = lambda shift: F.try_divide(F.greatest(F.col(seats) + shift * F.col("_n"), F.lit(0)), "_total")
     rows = parts.withColumns({"_n": count, "_total": total})
     rounded = lambda shift: F.floor(F.col(weight) * per_weight(shift) + 0.5)
     sure = F.greatest(F.lit(0), F.least(F.col(cap), rounded(-0.5) - 1))
@@ -154,21 +154,22 @@ def mix(
     block_words: int = 32,
     shard_words: int = 1 << 17,
     seed: int = 11,
-    with_text: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: ``doc_id, size, source, source_size, target, taken``.
 
     ``size`` counts the text's words (0 for NULL), ``taken`` the words the mix takes of it, repeats
     counted, at most ``max_epochs`` times ``size``.  Documents without words give nothing.  NULL is a
     source of its own.  Repeated rows count each by itself.  Other columns are ignored whatever their
-    names.  An empty table gives an empty result.  ``with_text`` adds ``text``, ``passes`` (whole
-    copies taken) and ``part`` (the words of the blocks taken once more, NULL if none).
+    names.  An empty table gives an empty result.  Columns in ``carry`` come along; with ``text`` among
+    them there are also ``passes`` (whole copies taken) and ``part`` (the words of the blocks taken
+    once more, NULL if none).
     """
     counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     counted = stored(counted, "word-counts")
     sources, shards = plan(counted, weights, share, max_epochs, block_words, shard_words, seed)
-    if with_text:
-        counted = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
+    if carry:
+        counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     rows = placed(counted, sources, seed)
     order = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id", "size"), "doc_id", "size")
     rows = rows.withColumn("_to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -193,12 +194,12 @@ def mix(
     passes = F.coalesce("passes", F.lit(0))
     rows = rows.withColumns({"_more": more, "taken": passes * F.col("size") + more})
     kept = ["doc_id", "size", "source", "source_size", "target", "taken"]
-    if not with_text:
-        return rows.select(*kept)
+    if "text" not in carry:
+        return rows.select(*kept, *carry)
     pieces = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, int(r.start + 1), int(r.stop - r.start)))), ' ')")
     part = F.when(F.col("_more") == 0, F.lit(None)).when(F.col("_more") == F.col("size"), F.col("text")).otherwise(pieces)
     rows = rows.withColumn("_words", words(F.col("text")))
-    return rows.select(*kept, "text", passes.alias("passes"), part.alias("part"))
+    return rows.select(*kept, *carry, passes.alias("passes"), part.alias("part"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -206,10 +207,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Whole copies keep their text; a part is its words joined by single spaces.
     """
-    carried = ("lang",)
-    packed = docs.select("doc_id", "text", "source", *carried)
-    keyed = packed.withColumn("doc_id", F.struct("doc_id", *carried))
-    rows = mix(keyed, with_text=True, **settings)
+    rows = mix(docs, carry=("text", "lang"), **settings)
     copies = F.array_compact(F.concat(F.array_repeat("text", F.col("passes").cast("int")), F.array("part")))
-    rows = rows.filter("taken > 0").select("doc_id.*", "source", F.explode(copies).alias("text"))
+    rows = rows.filter("taken > 0").select("doc_id", "lang", "source", F.explode(copies).alias("text"))
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))

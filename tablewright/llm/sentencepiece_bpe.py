@@ -23,7 +23,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
@@ -241,10 +241,12 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(in_batches, f"doc_id {kind}, ids binary, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents, then ``more``."""
     return encoded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from cases import documents
+
+from tablewright.llm import quality_ranking, toxicity
+from tablewright.llm.labelled import training_rows
+
+FOLDER = "/root/testdata/sf0.1"
+
+
+def out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def area(scores, labels):
+    order = np.argsort(scores)
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(1, len(scores) + 1)
+    n = labels.sum()
+    return (ranks[labels == 1].sum() - n * (n + 1) / 2) / (n * (len(labels) - n))
+
+
+@pytest.mark.parametrize("module, label, least_area, limit", [(quality_ranking, "quality", 0.98, 0.5), (toxicity, "toxic", 0.9, 0.7)])
+def test_held_out_rows(spark, module, label, least_area, limit):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scored = module.score(docs, module.train(docs, labels)).join(labels, "doc_id").collect()
+    assert all(row.held_out == out(row.doc_id) and row.predicted == (row.score >= limit) and 0 <= row.score <= 1 for row in scored)
+    held = [row for row in scored if row.held_out]
+    truth = np.array([row[label] for row in held])
+    assert area(np.array([row.score for row in held]), truth) > least_area
+    assert np.mean([row.predicted == row[label] for row in held]) > 0.95
+
+
+@pytest.mark.parametrize("module", [quality_ranking, toxicity])
+def test_awkward_rows(spark, module):
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (5, 1, 0), (None, 1, 1), (8, None, None), (0, 1, 1)], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark)
+    for known in (labels, labels.limit(0), labels.filter("doc_id = 0")):
+        rows = module.score(docs, module.train(docs, known)).collect()
+        assert len(rows) == 15 and all(0 <= row.score <= 1 and not np.isnan(row.score) for row in rows)
+        assert {row.held_out for row in rows if row.doc_id is None} == {False}
+    model = module.train(docs, labels)
+    assert module.score(documents(spark, []), model).count() == 0
+
+
+def test_held_out_labels_are_never_drawn(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(300).selectExpr("id AS doc_id", "1 AS quality")
+    rows = training_rows(docs, labels, "quality", 1000).collect()
+    assert {int(row.text[5:]) for row in rows} == {i for i in range(300) if not out(i)}
+    assert training_rows(docs, labels, "quality", 20).count() == 20
+
+
+def test_pairs_order_the_scores():
+    random = np.random.default_rng(1)
+    rows = random.normal(size=(400, len(quality_ranking.FEATURES)))
+    labels = (rows[:, 0] - 2 * rows[:, 3] > 0).astype(int)
+    ranking = quality_ranking.fit(rows, labels)
+    assert ((ranking.scores(rows) >= 0.5) == labels).mean() > 0.97
+
+
+def test_offending_sentences_are_located(spark):
+    slots = toxicity.Slots()
+    fine = ["All is well here. The sun shines on us. Birds sing today.", "We walk home. The dog sleeps well. It is late."]
+    texts = [t + (" You are a scoundrel today." if i % 3 == 0 else "") + f" Number {chr(97 + i % 7)} it is." for i, t in enumerate(fine * 60)]
+    labels = np.array([int("scoundrel" in t) for t in texts])
+    model = toxicity.fit([slots.of(t) for t in texts], labels)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:12])] + [(99, None)], "doc_id bigint, text string")
+    found = toxicity.offending(docs, model).collect()
+    assert {row.doc_id for row in found} == {i for i in range(12) if labels[i]}
+    assert {row.sentence for row in found} == {"You are a scoundrel today."}
