@@ -2,15 +2,16 @@
 
 Written the direct way (nested subqueries, outer joins, unbounded windows), not the way the
 library computes them.  A column list gives each output column its comparable type:
-``i`` whole number, ``n`` fraction, ``d`` date as text, ``s`` anything already comparable.
+``i`` whole number, ``n`` fraction, ``r`` fraction to seven digits, ``d`` moment as text, ``s`` anything already comparable.
 """
 
 from __future__ import annotations
 
 _TYPES = {
     "i": "CAST({0} AS BIGINT)",
-    "n": "round(CAST({0} AS DOUBLE), 4)",
-    "d": "strftime({0}, '%Y-%m-%d')",
+    "n": "round(CAST({0} AS DOUBLE), 6)",
+    "d": "strftime({0}, '%Y-%m-%d %H:%M:%S')",
+    "r": "printf('%.6e', CAST({0} AS DOUBLE))",
     "s": "{0}",
 }
 
@@ -28,8 +29,9 @@ _TABLES = {
         CAST(trunc(l_quantity) AS INTEGER) AS grid, CAST(round(l_discount * 100) AS INTEGER) AS rank FROM lineitem""",
     "qualifying": """SELECT l_orderkey AS raceId, l_suppkey AS driverId,
         CAST(trunc(l_quantity) AS INTEGER) AS position FROM lineitem""",
-    "log": """SELECT dayofyear(ts) // 7 AS raceId, user_id AS driverId, event_id, ts, event_type, value,
-        CAST(round(value * 100) AS BIGINT) AS cents FROM events""",
+    "log": """SELECT event_id // 2000 AS raceId, user_id % 50 AS driverId, event_id, ts, event_type, value,
+        CAST(round(value * 100) AS BIGINT) AS cents,
+        row_number() OVER (PARTITION BY event_id // 2000, user_id % 50 ORDER BY ts, event_id) AS lap FROM events""",
     "stage_races": """SELECT raceId, 'Stage ' || raceId AS name, CAST(min(ts) AS DATE) AS date FROM log GROUP BY raceId""",
     "stage_results": """SELECT raceId, driverId, driverId % 25 AS constructorId, total % 5 AS statusId,
         total % 26 AS points, total % 20 + 1 AS positionOrder, best % 20 + 1 AS grid, laps,
@@ -40,10 +42,10 @@ _TABLES = {
     "stage_qualifying": """SELECT raceId, driverId, min(cents) % 20 + 1 AS position, CAST(min(cents) AS VARCHAR) AS q1,
         CAST(max(cents) AS VARCHAR) AS q2, CAST(NULL AS VARCHAR) AS q3
         FROM log WHERE event_type = 'signup' GROUP BY raceId, driverId""",
-    "lap_times": """SELECT raceId, driverId, event_id AS lap,
+    "lap_times": """SELECT raceId, driverId, lap,
         CASE WHEN event_type <> 'error' THEN cents % 20 + 1 END AS position, event_type AS time,
         cents AS milliseconds FROM log""",
-    "pit_stops": """SELECT raceId, driverId, event_id AS lap, 1 AS stop,
+    "pit_stops": """SELECT raceId, driverId, lap, 1 AS stop,
         CASE WHEN cents > 10000 THEN '1:' || (cents % 60) ELSE CAST(cents % 60 AS VARCHAR) END AS duration
         FROM log WHERE event_type = 'purchase'""",
     "movies": """SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS Title, l_returnflag AS Major_Genre,
@@ -56,6 +58,8 @@ _TABLES = {
         c % 191 AS "Attack", c % 53 AS "Defense", p_size * 3 AS "Sp. Atk", c % 71 AS "Sp. Def",
         p_size + c % 7 AS "Speed", 1 AS "Generation", 'False' AS "Legendary"
         FROM (SELECT *, CAST(round(p_retailprice * 10) AS INTEGER) AS c FROM part)""",
+    "idade_vezes": "SELECT CAST(c_custkey AS VARCHAR) AS id_cns_paciente, k FROM customer, range(3) t(k)",
+    "municipios": "SELECT CAST(k % 7 AS VARCHAR) AS id_municipio FROM range(14) t(k)",
     "ultimo_ano": "SELECT max(year(o_orderdate)) AS ano FROM orders",
     "internacoes": """SELECT CAST(o_orderkey // 2 AS VARCHAR) AS id_aih, o_orderdate AS dt_entrada_internacao,
         o_custkey % 60 + 11 AS id_motivo_saida_permanencia, o_totalprice AS vl_total_aih,
@@ -73,7 +77,7 @@ _TABLES = {
     "idade": """SELECT CAST(c_custkey AS VARCHAR) AS id_cns_paciente,
         make_date(1930 + c_custkey % 60, 1 + c_custkey % 12, 1 + c_custkey % 28) AS data_nascimento FROM customer""",
     "faixas": """SELECT range AS idade_meses, (range // 60 * 5) || '-' || (range // 60 * 5 + 4) AS faixa_etaria_ibge
-        FROM range(0, 720)""",
+        FROM range(0, 1440)""",
 }
 
 _STAR = "results res JOIN races r ON r.raceId = res.raceId JOIN constructors c ON c.constructorId = res.constructorId"
@@ -81,12 +85,13 @@ _STAR = "results res JOIN races r ON r.raceId = res.raceId JOIN constructors c O
 _CARE = """
   SELECT p.id_cns_paciente, p.dt_atendimento FROM producao p
   LEFT JOIN amb_cid d ON p.id_cid_principal = d.id_cid
-  LEFT JOIN idade i ON i.id_cns_paciente = p.id_cns_paciente
+  LEFT JOIN idade_vezes i ON i.id_cns_paciente = p.id_cns_paciente
+  LEFT JOIN municipios m ON m.id_municipio = CAST(CAST(p.id_cns_paciente AS BIGINT) % 7 AS VARCHAR)
   LEFT JOIN amb_proc k ON p.id_procedimento_principal = k.id_procedimento
   WHERE d.id_cid IN ('1-URGENT', '3-MEDIUM') {procedures}"""
 _CHOSEN_CARE = "AND k.id_procedimento IN ('0', '3')"
 _RECENT_CARE = " AND (SELECT ano FROM ultimo_ano) - year(p.dt_atendimento) <= 3"
-_CARE_TABLES = "producao amb_cid amb_proc idade faixas ultimo_ano"
+_CARE_TABLES = "producao amb_cid amb_proc idade idade_vezes municipios faixas ultimo_ano"
 
 _BANDS = """
   SELECT m.id_cns_paciente, f.faixa_etaria_ibge AS faixa_etaria_diagnostico
@@ -170,18 +175,13 @@ _SCORECARD_COLUMNS = (
     "incidents_count:i"
 )
 _DRILL_TABLES = "log stage_races stage_results stage_constructors status stage_qualifying lap_times pit_stops"
-_DRILLDOWN = f"""SELECT k.*, coalesce(a.segment, 0) AS segment, a.lap_times_array, a.positions_array, a.pit_stop_laps_array
-  FROM ({_SCORECARD}) k LEFT JOIN (
-    SELECT coalesce(x.raceId, y.raceId) AS raceId, coalesce(x.driverId, y.driverId) AS driverId,
-           coalesce(x.segment, y.segment) AS segment, lap_times_array, positions_array, pit_stop_laps_array
-    FROM (SELECT raceId, driverId, lap // 4096 AS segment, string_agg(time, ',' ORDER BY lap) AS lap_times_array,
-                 string_agg(coalesce(CAST(position AS VARCHAR), '-'), ',' ORDER BY lap) AS positions_array
-          FROM lap_times GROUP BY ALL) x
-    FULL JOIN (SELECT raceId, driverId, lap // 4096 AS segment,
-                      string_agg(CAST(lap AS VARCHAR), ',' ORDER BY lap) AS pit_stop_laps_array
-               FROM pit_stops GROUP BY ALL) y
-      ON x.raceId = y.raceId AND x.driverId = y.driverId AND x.segment = y.segment
-  ) a ON a.raceId = k.raceId AND a.driverId = k.driverId"""
+_DRILLDOWN = f"""SELECT k.*, lap_times_array, positions_array, pit_stop_laps_array
+  FROM ({_SCORECARD}) k
+  LEFT JOIN (SELECT raceId, driverId, string_agg(time, ',' ORDER BY lap) AS lap_times_array,
+                    string_agg(coalesce(CAST(position AS VARCHAR), '-'), ',' ORDER BY lap) AS positions_array
+             FROM lap_times GROUP BY ALL) x ON x.raceId = k.raceId AND x.driverId = k.driverId
+  LEFT JOIN (SELECT raceId, driverId, string_agg(CAST(lap AS VARCHAR), ',' ORDER BY lap) AS pit_stop_laps_array
+             FROM pit_stops GROUP BY ALL) y ON y.raceId = k.raceId AND y.driverId = k.driverId"""
 
 _SIX = '"HP", "Attack", "Defense", "Sp. Atk", "Sp. Def", "Speed"'
 _CREATURE_COLUMNS = "#:i Name:s Type·1:s HP:i Attack:i Defense:i Sp.·Atk:i Sp.·Def:i Speed:i Generation:i Legendary:s"
@@ -233,7 +233,7 @@ def _column_types(**tables: str) -> str:
 
 
 _HISTOGRAM_COLUMNS = "group:s bins:i bin:i bin_start:n bin_end:n count:i"
-_DENSITY_COLUMNS = "group:s point:i x:n density:n"
+_DENSITY_COLUMNS = "group:s point:i x:n density:r"
 _PERIOD_NOW = "Release_Date >= TIMESTAMP '1998-03-01' AND Release_Date <= TIMESTAMP '1999-03-01'"
 _PERIOD_THEN = "Release_Date >= TIMESTAMP '1997-03-01' AND Release_Date <= TIMESTAMP '1998-03-01'"
 _CARDS = [
@@ -319,7 +319,6 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
             "year:i",
         ),
         "q09_season_progression": ("results races constructors", _PROGRESS, _PROGRESS_COLUMNS),
-        "q09_progression_hot_drivers": ("results races constructors", _PROGRESS, _PROGRESS_COLUMNS),
         "q10_podium_split": (
             "results races",
             " UNION ALL ".join(
@@ -368,17 +367,17 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
         "q14_race_drilldown": (
             _DRILL_TABLES,
             _DRILLDOWN,
-            _SCORECARD_COLUMNS + " segment:i lap_times_array:s positions_array:s pit_stop_laps_array:s",
+            _SCORECARD_COLUMNS + " lap_times_array:s positions_array:s pit_stop_laps_array:s",
         ),
         "q14_race_scorecard": (_DRILL_TABLES, _SCORECARD, _SCORECARD_COLUMNS),
         "q14_lap_analysis": ("log lap_times", _LAPS, _LAP_COLUMNS),
-        "q14_lap_analysis_hot": ("log lap_times", _LAPS, _LAP_COLUMNS),
         "q14_pit_summary": (
             "log pit_stops",
             """SELECT raceId, driverId, count(*) AS total_pit_stops, avg(try_cast(duration AS FLOAT)) AS avg_pit_stop_duration,
-                 count(CASE WHEN try_cast(duration AS FLOAT) IS NULL THEN 1 END) AS unreadable_durations
+                 count(CASE WHEN try_cast(duration AS FLOAT) IS NULL THEN 1 END) AS unreadable_durations,
+                 string_agg(CAST(lap AS VARCHAR), ',' ORDER BY lap) AS pit_stop_laps_array
                FROM pit_stops GROUP BY raceId, driverId""",
-            "raceId:i driverId:i total_pit_stops:i avg_pit_stop_duration:n unreadable_durations:i",
+            "raceId:i driverId:i total_pit_stops:i avg_pit_stop_duration:n unreadable_durations:i pit_stop_laps_array:s",
         ),
         "q15_year_snapshot": (
             "country_years",
@@ -505,6 +504,12 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
                 FROM ({_STAYS}) GROUP BY year(data_internacao)""",
             "ano_internacao:i qtde_internacoes:i",
         ),
+        "q30_partitioned_admissions": (
+            _LAKE_TABLES,
+            f"""SELECT year(data_internacao) AS ano_internacao, count(DISTINCT id_aih) AS qtde_internacoes
+                FROM ({_STAYS}) GROUP BY year(data_internacao)""",
+            "ano_internacao:i qtde_internacoes:i",
+        ),
         "q30_cohort_stays": (
             _LAKE_TABLES,
             _STAYS,
@@ -597,6 +602,16 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
             "SELECT c_name AS name, c_mktsegment AS cid FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
             "name:s cid:s",
         ),
+        "s04_encoded_csv": (
+            "",
+            "SELECT p_partkey, p_name || ' né à Ñuñoa, Größe ' || p_size AS label FROM part",
+            "p_partkey:i label:s",
+        ),
+        "s07_json_records": (
+            "",
+            "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer",
+            "c_custkey:i c_name:s c_acctbal:n",
+        ),
         "s10_parquet_sink": (
             "",
             "SELECT o_orderpriority, sum(o_totalprice) AS total FROM orders GROUP BY o_orderpriority",

@@ -1,9 +1,9 @@
 """Exact quantiles, histograms and density curves per group.
 
-All of them start from ``value_counts``: one row per (group, value) with its number of rows,
-which a map-side combine builds.  A frequent value is thereby just a number.  The counts are
-salted by value, so the steps that look up something about a group work on many parts of a
-dominant group at once; no step gathers the values of a group in one place.
+Facts of a group (counts, bounds, brackets, bins) are one row per group.  They meet the raw rows
+where these lie: few groups are broadcast, behind a count of them, and many take a plain join, which
+adaptive execution splits where one group dominates.  What is then grouped, by bin or by grid
+point, is combined before it is shuffled, so a fact never crosses the network row by row.
 """
 
 from __future__ import annotations
@@ -11,63 +11,55 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.joins import join_per_key, salt
+from tablewright.operators.joins import join_groups
+from tablewright.operators.windows import running_totals
 
 GRID_POINTS = 200
 QUARTILES = (0.25, 0.75)
 # Relative rank error of the sketch is 1 / ACCURACY; smaller groups need no sketch.
 ACCURACY = 10_000
-SMALL_GROUP = 100_000
-# At this distance, in bandwidths, a kernel is 5e-32 of its peak: even 1e12 rows further away add
-# less than 1e-19 to a grid point.
-REACH = 12.0
+SMALL_GROUP = 10_000
+# A bracket is put in order in so many ranges.
+PIECES = 1024
 
 
-def value_counts(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """``(group, salt, value, n)``; missing values are left out."""
-    rows = _present(frame, group, value).withColumn("salt", salt(F.col("value")))
-    return rows.groupBy("group", "salt", "value").agg(F.count("*").alias("n"))
-
-
-def _present(frame: DataFrame, group: str, value: str) -> DataFrame:
+def present(frame: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, value)`` of the rows in which neither is missing."""
     rows = frame.select(F.col(f"`{group}`").alias("group"), F.col(f"`{value}`").cast("double").alias("value"))
     return rows.filter(F.col("group").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def moments(frame: DataFrame, group: str, value: str, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+def moments(values: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """Row count, bounds and sample deviation per group, and a bracket around each quantile.
 
-    A bracket is a pair of sketched quantiles a few sketch errors below and above the wanted one,
-    so the exact value is certain to lie inside.  A small group's bracket is its whole range, as
-    a few ranks matter there.
+    A bracket is a pair of sketched quantiles three sketch errors below and above the wanted one.
+    A group of up to ``SMALL_GROUP`` rows has its whole range as bracket, as single ranks matter there.
+    ``group_quantiles`` verifies that the wanted ranks lie inside.
     """
     margin = 3.0 / ACCURACY
     ends = [end for p in probabilities for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketched = F.percentile_approx("value", ends, ACCURACY)
     low, high = F.min("value"), F.max("value")
     whole = F.array(*[bound for _ in probabilities for bound in (low, high)])
-    return (
-        _present(frame, group, value)
-        .groupBy("group")
-        .agg(
-            F.count("*").alias("total"),
-            low.alias("low"),
-            high.alias("high"),
-            F.stddev_samp("value").alias("deviation"),
-            F.when(F.count("*") > SMALL_GROUP, sketched).otherwise(whole).alias("brackets"),
-        )
+    return values.groupBy("group").agg(
+        F.count("*").alias("total"),
+        low.alias("low"),
+        high.alias("high"),
+        F.stddev_samp("value").alias("deviation"),
+        F.when(F.count("*") > SMALL_GROUP, sketched).otherwise(whole).alias("brackets"),
     )
 
 
-def group_quantiles(counts: DataFrame, stats: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+def group_quantiles(values: DataFrame, stats: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group and probability.
 
     ``stats`` comes from ``moments`` with the same probabilities and is handed on.  Values below a
-    bracket are only counted and those above are dropped, so no more than the values inside a
-    bracket, a small fixed share of a large group, are put in order.
+    bracket are only counted and those above are dropped.  The values inside, a small fixed share
+    of a large group, are counted, cut into ranges of the bracket and ranked range by range.  If
+    a wanted rank is not inside its bracket the query fails rather than give a wrong quantile.
     """
     asked = F.array(
         *[
@@ -80,35 +72,40 @@ def group_quantiles(counts: DataFrame, stats: DataFrame, probabilities: Sequence
         ]
     )
     keys = ["group", "total", "low", "high", "deviation", "probability"]
+    below = F.lit(float("-inf"))
     kept = (
-        join_per_key(counts, stats.select(*keys[:-1], F.inline(asked)), "group")
+        join_groups(values, stats.select("group", asked.alias("asked")), "group")
+        .select("group", "value", F.inline("asked"))
         .filter("value <= to")
-        .groupBy(*keys, F.expr("CASE WHEN value >= from THEN value END").alias("value"))
-        .agg(F.sum("n").alias("n"))
+        .groupBy("group", "probability", "from", "to", F.expr("CASE WHEN value >= from THEN value ELSE double('-Infinity') END").alias("value"))
+        .agg(F.count("*").alias("n"))
     )
-    order = Window.partitionBy("group", "probability").orderBy(F.col("value").asc_nulls_first())
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    piece = F.expr(f"CASE WHEN value < from THEN -1 WHEN to > from THEN int(least({PIECES - 1}, (value - from) / (to - from) * {PIECES})) ELSE 0 END")
+    ranked = running_totals(kept, ["group", "probability"], ["value"], {"upto": F.col("n")}, [piece])
     holds = "(upto - n <= {0} AND {0} < upto)"
     lower, upper = holds.format("floor(place)"), holds.format("floor(place) + 1")
     part = "place - floor(place)"
     weight = f"CASE WHEN {lower} THEN 1 - ({part}) ELSE 0D END + CASE WHEN {upper} THEN {part} ELSE 0D END"
-    return (
-        kept.withColumn("upto", upto)
-        .filter("value IS NOT NULL")
-        .withColumn("place", F.expr("probability * (total - 1)"))
-        .groupBy(*keys)
-        .agg(F.sum(F.expr(f"value * ({weight})")).alias("quantile"))
+    placed = ranked.join(stats.select(*keys[:-1]), "group").withColumns(
+        {"place": F.expr("probability * (total - 1)"), "inside": F.col("value") > below}
+    )
+    found = placed.groupBy(*keys).agg(
+        F.sum(F.expr(f"CASE WHEN inside THEN value * ({weight}) ELSE 0D END")).alias("quantile"),
+        F.sum(F.expr(f"CASE WHEN inside THEN {weight} ELSE 0D END")).alias("weights"),
     )
+    outside = F.raise_error(F.lit("a quantile lies outside its sketched bracket")).cast("double")
+    checked = F.when(F.abs(F.col("weights") - 1) < 1e-6, F.col("quantile")).otherwise(outside)
+    return found.select(*keys, checked.alias("quantile"))
 
 
-def automatic_bins(counts: DataFrame, stats: DataFrame) -> DataFrame:
+def automatic_bins(values: DataFrame, stats: DataFrame) -> DataFrame:
     """Number, first edge and width of bins: the finer of the Sturges and Freedman-Diaconis rules.
 
     With no spread between the quartiles Sturges decides alone; with no spread at all there is
     one bin of width 1 around the value.
     """
     quartiles = (
-        group_quantiles(counts, stats)
+        group_quantiles(values, stats)
         .groupBy("group", "total", "low", "high", "deviation")
         .agg(F.expr("max(quantile) - min(quantile)").alias("iqr"))
     )
@@ -131,7 +128,7 @@ def fixed_bins(stats: DataFrame, bins: int) -> DataFrame:
     return _edges(stats.withColumn("bins", F.lit(bins).cast("bigint")))
 
 
-def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
+def histogram(values: DataFrame, binned: DataFrame) -> DataFrame:
     """Rows per group and bin; bins without rows are left out.
 
     Bins are closed on the left and open on the right, the last one closed on both sides.
@@ -140,10 +137,10 @@ def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
                      WHEN value >= start + (guess + 1) * width AND guess < bins - 1 THEN guess + 1
                      ELSE guess END"""
     return (
-        join_per_key(counts, binned.select("group", "bins", "start", "width"), "group")
+        join_groups(values, binned.select("group", "bins", "start", "width"), "group")
         .withColumn("guess", F.expr("least(bins - 1, floor((value - start) / width))"))
         .groupBy("group", "bins", "start", "width", F.expr(number).alias("bin"))
-        .agg(F.sum("n").alias("count"))
+        .agg(F.count("*").alias("count"))
         .selectExpr(
             "group",
             "bins",
@@ -156,11 +153,12 @@ def histogram(counts: DataFrame, binned: DataFrame) -> DataFrame:
 
 
 def density(
-    counts: DataFrame,
+    values: DataFrame,
     stats: DataFrame,
     binned: DataFrame,
     points: int = GRID_POINTS,
     bandwidth: float | None = None,
+    reach: float | None = None,
 ) -> DataFrame:
     """Gaussian density per group on an even grid from lowest to highest value.
 
@@ -168,20 +166,23 @@ def density(
     deviation.  The curve is scaled to the area of the histogram, so both share one axis.  Groups
     with fewer than two rows or without spread have no curve.
 
-    Each counted value meets only the grid points within ``REACH`` bandwidths, and those
-    contributions are summed in the same stage before anything is shuffled.
+    Every value adds to every grid point, unless ``reach`` limits it to so many bandwidths.  The
+    contributions are summed in the stage that reads the values, before anything is shuffled.
     """
     factor = repr(float(bandwidth)) + "D" if bandwidth else "pow(cast(total AS double), -0.2D)"
     shape = ("group", "low", f"deviation * {factor} AS h", f"(high - low) / {points - 1} AS step")
     spread = "total > 1 AND deviation > 0"
-    near = f"""sequence(greatest(0L, ceil((value - {REACH}D * h - low) / step)),
-                        least({points - 1}L, floor((value + {REACH}D * h - low) / step)))"""
+    first, last = "0L", f"{points - 1}L"
+    if reach is not None:
+        first = f"greatest({first}, ceil((value - {float(reach)}D * h - low) / step))"
+        last = f"least({last}, floor((value + {float(reach)}D * h - low) / step))"
+    near = f"explode(CASE WHEN {first} <= {last} THEN sequence({first}, {last}) END) AS point"
     kernel = "exp(-0.5D * ((low + point * step - value) / h) * ((low + point * step - value) / h))"
     sums = (
-        join_per_key(counts, stats.filter(spread).selectExpr(*shape), "group")
-        .selectExpr("group", "value", "n", "low", "step", "h", f"explode({near}) AS point")
+        join_groups(values, stats.filter(spread).selectExpr(*shape), "group")
+        .selectExpr("group", "value", "low", "step", "h", near)
         .groupBy("group", "point")
-        .agg(F.sum(F.expr(f"n * {kernel}")).alias("mass"))
+        .agg(F.sum(F.expr(kernel)).alias("mass"))
     )
     grid = binned.filter(spread).selectExpr(*shape, "width").selectExpr("*", f"explode(sequence(0L, {points - 1}L)) AS point")
     return grid.join(sums, ["group", "point"], "left").selectExpr(

@@ -13,8 +13,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ALL = "All"
-
 
 def as_list(value: Any) -> list:
     """One value, several, or none, as a list."""
@@ -27,7 +25,7 @@ def as_list(value: Any) -> list:
 
 def optional_eq(frame: DataFrame, column: str, value: Any | None) -> DataFrame:
     """Rows whose ``column`` equals ``value``; every row when there is no value."""
-    if value is None or value == ALL:
+    if value is None:
         return frame
     return frame.filter(F.col(f"`{column}`") == F.lit(value))
 
@@ -116,11 +114,12 @@ def first_row(frame: DataFrame, order: list[Column], *columns: str) -> DataFrame
 def recent_years(moment: Column, watermark: DataFrame, years: int) -> Column:
     """Predicate ``watermark - year(moment) <= years``, written as a lower bound.
 
-    ``watermark`` is a one-row, one-column frame holding a year.  It stays inside the plan as
-    a scalar subquery, and comparing the bare column lets the scan use the bound.  Years after
+    ``watermark`` is a one-row, one-column frame holding a year.  The bound is made inside that frame, so
+    the bare column meets a bare scalar subquery, which a scan of dates can prune by.  Years after
     the watermark pass, as nothing bounds them from above.
     """
-    return moment >= F.make_date(watermark.scalar() - F.lit(years), F.lit(1), F.lit(1))
+    first_year = F.col(watermark.columns[0]) - F.lit(years)
+    return moment >= watermark.select(F.make_date(first_year, F.lit(1), F.lit(1))).scalar()
 
 
 def recent_partitions(year: Column, watermark: DataFrame, years: int) -> Column:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.filters import with_keys
 
-SALTS = 256
+GROUPS = 10_000
 CODES = 1000
 
 
@@ -55,26 +55,14 @@ def band_lookup(frame: DataFrame, bands: DataFrame, key: str) -> DataFrame:
     return frame.join(bands, key, "inner")
 
 
-def salt(*spread: Column | str, salts: int = SALTS) -> Column:
-    """A number below ``salts`` that scatters the rows of one key by the values of ``spread``."""
-    return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+def join_groups(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` to one row of ``facts`` per value of ``key``.
 
-
-def join_per_key(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Inner join of salted ``rows`` to a frame with a few rows per key; a NULL key matches NULL.
-
-    ``rows`` carries a ``salt`` column; each row of ``facts`` is repeated once per salt.  A key
-    that owns a large share of the rows is thereby spread over ``salts`` partitions, and whatever
-    is grouped by that key afterwards is combined in each of them first.  The build side is fixed
-    to ``facts``: its size cannot be estimated before it has been aggregated.
+    Up to ``GROUPS`` different keys, counted over ``rows`` by a sketch before the join is planned, the
+    facts are broadcast and no row moves.  Beyond that both sides are shuffled.
     """
-    repeated = facts.select(
-        F.col(key).alias("__key"),
-        *[name for name in facts.columns if name != key],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    )
-    match = F.col(key).eqNullSafe(F.col("__key")) & (F.col("salt") == F.col("__salt"))
-    return rows.join(repeated.hint("shuffle_hash"), match).drop("__key", "__salt", "salt")
+    groups = rows.agg(F.approx_count_distinct(key)).first()[0]
+    return rows.join(F.broadcast(facts), key) if groups <= GROUPS else join_splittable(rows, facts, [key])
 
 
 def join_splittable(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:

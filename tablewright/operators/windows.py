@@ -1,11 +1,9 @@
 """Running totals and neighbours that survive a very large partition.
 
-A plain window sorts each partition in one task.  That is the best plan until one key holds a
-large share of all rows.  The functions below therefore take ``hot``: the few key values with
-more rows than one task should sort, found by ``hot_keys`` with one map-side-combined count.
-Rows of all other keys go through a plain window; rows of hot keys go through a form that
-sorts only bounded blocks, level by level.  Both give the same values, and with no hot key adaptive
-execution drops the second branch as soon as it sees the empty list.
+A plain window sorts each partition in one task, which fails once one key holds a large share of all
+rows.  Here every key takes the same way: its rows are cut into blocks along the order, a window works
+inside each block, and what lies before a block comes from the blocks' own sums, level by level.  No task
+sorts more than the rows of one block or the blocks below one coarser cut.
 """
 
 from __future__ import annotations
@@ -17,30 +15,21 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.filters import with_keys
 
-HOT_ROWS = 4_000_000
-BLOCK_BITS = 20
+BLOCK_BITS = 16
 
 
-def hot_keys(frame: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Key values with more than ``limit`` rows; at most ``rows / limit`` of them exist."""
-    return frame.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-
-
-def split_hot(frame: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)`` rows.  Rows with a NULL key belong to no entity and appear in neither.
+def id_block(column: str, bits: int = BLOCK_BITS) -> Column:
+    """Block number of an integer: at most ``2**bits`` different values share one.
 
-    The list of hot keys is broadcast, so the split shuffles nothing: with the default limit a
-    trillion rows have at most 250,000 such keys.
+    How many blocks there are depends on the range of the values; numbers should be dense, or the
+    cut should be one of several, coarse to fine.
     """
-    keys = hot.columns
-    known = with_keys(frame, keys)
-    few = F.broadcast(hot)
-    return known.join(few, keys, "left_anti"), known.join(few, keys, "left_semi")
+    return F.shiftright(F.col(column).cast("long"), bits)
 
 
-def id_block(column: str, bits: int = BLOCK_BITS) -> Column:
-    """Block number of an integer id: at most ``2**bits`` different ids share one."""
-    return F.shiftright(F.col(column).cast("long"), bits)
+def _cut(column: Column) -> Column:
+    """A cut as a value that is never NULL and sorts a missing one last."""
+    return F.struct(column.isNull().alias("missing"), column.alias("at"))
 
 
 def running_totals(
@@ -48,33 +37,26 @@ def running_totals(
     partition: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
-    hot: DataFrame,
     block: Sequence[Column],
 ) -> DataFrame:
     """Add, for each entry of ``totals``, its running sum in ``order`` within ``partition``.
 
-    ``order`` must be total.  ``block`` is used for the hot keys only: a path of cuts, coarse to
-    fine, that rises with ``order``.  No task sorts more than the cuts below one cut, or the rows
-    below the last.
+    ``order`` must be total, ``block`` is a path of cuts, coarse to fine, that rises with it.  Rows with
+    a NULL key belong to no entity and are left out.  Whole numbers are exact.  Doubles are added
+    block by block, so they can differ from a sum in row order by its rounding: at most the
+    number of rows times 2**-53, relative to the sum of absolute values.
     """
-    cold_rows, hot_rows = split_hot(frame, hot)
-    ascending = [F.col(name).asc_nulls_last() for name in order]
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-
-    plain = Window.partitionBy(*partition).orderBy(*ascending).rowsBetween(*to_here)
-    cold_out = cold_rows.withColumns({name: F.sum(what).over(plain) for name, what in totals.items()})
-
     cuts = [f"__cut{i}" for i in range(len(block))]
     path = [*partition, *cuts]
-    hot_rows = hot_rows.withColumns(dict(zip(cuts, block)))
-    sums = hot_rows.groupBy(*path).agg(*[F.sum(what).alias(f"__{name}") for name, what in totals.items()])
+    rows = with_keys(frame, partition).withColumns({name: _cut(what) for name, what in zip(cuts, block)})
+    sums = rows.groupBy(*path).agg(*[F.sum(what).alias(f"__{name}") for name, what in totals.items()])
     before = _before(sums, partition, cuts, [f"__{name}" for name in totals])
-    inside = Window.partitionBy(*path).orderBy(*ascending).rowsBetween(*to_here)
-    hot_out = _same(hot_rows, before, path).select(
-        *frame.columns,
-        *[_add(F.sum(what).over(inside), F.col(f"__{name}")).alias(name) for name, what in totals.items()],
+    ascending = [F.col(name).asc_nulls_last() for name in order]
+    inside = Window.partitionBy(*path).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumns({f"__in_{name}": F.sum(what).over(inside) for name, what in totals.items()})
+    return within.join(before, path).select(
+        *frame.columns, *[_add(F.col(f"__in_{name}"), F.col(f"__{name}")).alias(name) for name in totals]
     )
-    return cold_out.unionByName(hot_out)
 
 
 def _before(sums: DataFrame, partition: Sequence[str], cuts: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -85,67 +67,39 @@ def _before(sums: DataFrame, partition: Sequence[str], cuts: Sequence[str], name
     """
     *coarse, cut = cuts
     path = [*partition, *coarse]
-    earlier = Window.partitionBy(*path).orderBy(F.col(cut).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*path).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     here = sums.select(*path, cut, *[F.sum(name).over(earlier).alias(name) for name in names])
     if not coarse:
         return here
     rolled = sums.groupBy(*path).agg(*[F.sum(name).alias(name) for name in names])
     above = _before(rolled, partition, coarse, names).withColumnsRenamed({name: f"{name}_above" for name in names})
-    return _same(here, above, path).select(
+    return here.join(above, path).select(
         *path, cut, *[_add(F.col(name), F.col(f"{name}_above")).alias(name) for name in names]
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys``, NULL matching NULL as it does inside a struct."""
-    other = {key: f"{key}__right" for key in keys}
-    match = F.struct(*keys) == F.struct(*[F.col(other[key]).alias(key) for key in keys])
-    return left.join(right.withColumnsRenamed(other), match).drop(*other.values())
-
-
 def _add(left: Column, right: Column) -> Column:
     """Sum that skips a NULL side, as SUM over both sets of rows would."""
     return F.coalesce(left + right, left, right)
 
 
 def previous_value(
-    frame: DataFrame,
-    partition: Sequence[str],
-    order: str,
-    value: str,
-    name: str,
-    hot: DataFrame,
-    block: Column,
+    frame: DataFrame, partition: Sequence[str], order: str, value: str, name: str, block: Column
 ) -> DataFrame:
     """Add ``name``: ``value`` of the row before, in ``order`` within ``partition``.
 
-    For hot keys the first row of a block takes the last value of the block before it.
+    The first row of a block takes the last value of the block before it.  Rows with a NULL key are
+    left out.
     """
-    cold_rows, hot_rows = split_hot(frame, hot)
-    ascending = F.col(order).asc_nulls_last()
-    cold_out = cold_rows.withColumn(
-        name, F.lag(value).over(Window.partitionBy(*partition).orderBy(ascending))
-    )
-
-    hot_rows = hot_rows.withColumn("__cut", block)
-    keys = [*partition, "__cut"]
-    blocks = Window.partitionBy(*partition).orderBy(F.col("__cut").asc_nulls_last())
-    ends = (
-        hot_rows.groupBy(*keys)
-        .agg(F.max_by(value, order).alias("__last"))
-        .withColumn("__carry", F.lag("__last").over(blocks))
-        .drop("__last")
-    )
-    inside = Window.partitionBy(*keys).orderBy(ascending)
-    hot_out = (
-        hot_rows.join(ends, keys, "inner")
-        .withColumn(
-            name,
-            F.when(F.row_number().over(inside) == 1, F.col("__carry")).otherwise(F.lag(value).over(inside)),
-        )
-        .select(*frame.columns, name)
+    rows = with_keys(frame, partition).withColumn("__cut", _cut(block))
+    path = [*partition, "__cut"]
+    ends = rows.groupBy(*path).agg(F.max_by(value, _cut(F.col(order))).alias("__last"))
+    carried = ends.select(*path, F.lag("__last").over(Window.partitionBy(*partition).orderBy("__cut")).alias("__carry"))
+    inside = Window.partitionBy(*path).orderBy(F.col(order).asc_nulls_last())
+    marked = rows.withColumns({"__first": F.row_number().over(inside) == 1, "__before": F.lag(value).over(inside)})
+    return marked.join(carried, path).select(
+        *frame.columns, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__before")).alias(name)
     )
-    return cold_out.unionByName(hot_out)
 
 
 def cyclic_successor(values: DataFrame, column: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from tablewright.operators.filters import (
 )
 from tablewright.operators.joins import keep_known
 from tablewright.operators.reshape import labelled_counts
-from tablewright.operators.windows import HOT_ROWS, hot_keys, id_block, running_totals
+from tablewright.operators.windows import running_totals
 
 # Race outcomes that count as finishing, and the podium labels.
 FINISHED = ("Finished", "+1 Lap", "+2 Laps", "+3 Laps", "+4 Laps")
@@ -75,10 +75,15 @@ def season_points(
     driver_id: int | None = None,
     constructor_id: int | None = None,
 ) -> DataFrame:
-    """Points per driver, season and constructor."""
+    """Points per driver, season and constructor.
+
+    The fact is summed by constructor id before the names join, and by name afterwards.
+    """
     facts = _selected(results, driver_id, constructor_id).select("driverId", "raceId", "constructorId", "points")
     season = (
         facts.join(races.select("raceId", "year"), "raceId")
+        .groupBy("driverId", "year", "constructorId")
+        .agg(F.sum("points").alias("points"))
         .join(constructors.select("constructorId", F.col("name").alias("constructor_name")), "constructorId")
         .groupBy("driverId", "year", "constructor_name")
         .agg(F.sum("points").alias("total_points"))
@@ -152,23 +157,19 @@ def season_progression(
     driver_id: int | None = None,
     constructor_id: int | None = None,
     tie_break: Sequence[str] = ("constructorId",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running points and race number per driver and season.
 
-    Order is race date, then race, then ``tie_break``, which must make it total.  Drivers with
-    more than ``hot_rows`` starts are found by a count over the fact alone and summed in blocks of
-    one race day and one range of race ids.
+    Order is race date, then race, then ``tie_break``, which must make it total.  Points are summed per
+    driver and race day first, at most 366 days a season, then within the day.
     """
     rows = _race_points(results, races, constructors, driver_id, constructor_id, tie_break)
-    hot = hot_keys(_selected(results, driver_id, constructor_id), ["driverId"], hot_rows)
     return running_totals(
         rows,
         partition=["driverId", "year"],
         order=["date", "raceId", *tie_break],
         totals={"cumulative_points": F.col("points"), "index": F.lit(1)},
-        hot=hot,
-        block=[F.col("date"), id_block("raceId")],
+        block=[F.col("date")],
     )
 
 

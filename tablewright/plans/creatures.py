@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import ratio
 from tablewright.operators import distribution as dist
-from tablewright.operators.filters import ALL, as_list, optional_in
+from tablewright.operators.filters import as_list, optional_in
 from tablewright.operators.reshape import ring, stacked
 
 # The radar's spokes, and the attribute choices with the column(s) behind them.
@@ -25,6 +25,7 @@ ATTRIBUTES = {
     "Sp. Attack / Sp. Defense": ("Sp. Atk", "Sp. Def"),
 }
 DROPPED = ("Legendary", "Generation")
+ALL = "All"
 
 
 def cleaned(creatures: DataFrame) -> DataFrame:
@@ -59,9 +60,9 @@ def with_attribute(creatures: DataFrame, attribute: str, name: str = "attribute"
 
 
 def _binned(frame: DataFrame, group: str, value: str, bins: int | None):
-    counts = dist.value_counts(frame, group, value)
-    stats = dist.moments(frame, group, value)
-    return counts, stats, (dist.automatic_bins(counts, stats) if bins is None else dist.fixed_bins(stats, bins))
+    values = dist.present(frame, group, value)
+    stats = dist.moments(values)
+    return values, stats, (dist.automatic_bins(values, stats) if bins is None else dist.fixed_bins(stats, bins))
 
 
 def attribute_histogram(
@@ -69,8 +70,8 @@ def attribute_histogram(
 ) -> DataFrame:
     """Histogram of an attribute per type, each with its own automatic bins."""
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
-    counts, _, binned = _binned(rows, "Type 1", "attribute", bins)
-    return dist.histogram(counts, binned)
+    values, _, binned = _binned(rows, "Type 1", "attribute", bins)
+    return dist.histogram(values, binned)
 
 
 def attribute_density(

@@ -12,21 +12,13 @@ from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
 from tablewright.operators.filters import optional_eq, sorted_selection
 from tablewright.operators.joins import join_splittable
-from tablewright.operators.windows import (
-    BLOCK_BITS,
-    HOT_ROWS,
-    hot_keys,
-    id_block,
-    previous_value,
-    running_totals,
-)
+from tablewright.operators.windows import id_block, previous_value, running_totals
 
 # Status texts that hint at an incident.
 INCIDENTS = ("crash", "spun")
-# Laps held by one array; a group never collects more than this many lap numbers.
-SERIES_LENGTH = 4096
 
 PAIR = ["raceId", "driverId"]
+SERIES = ["lap_times_array", "positions_array", "pit_stop_laps_array"]
 
 
 def qualifying_vs_race(
@@ -52,72 +44,54 @@ def qualifying_vs_race(
     )
 
 
-def lap_analysis(lap_times: DataFrame, hot_rows: int = HOT_ROWS, bits: int = BLOCK_BITS) -> DataFrame:
+def lap_analysis(lap_times: DataFrame) -> DataFrame:
     """Every lap with the place held one lap earlier and its rank by lap time.
 
-    Starts with more than ``hot_rows`` laps are handled in blocks of ``2**bits`` lap numbers.
+    Laps are cut by ranges of lap numbers, and by ranges of 65,536 and then 256 milliseconds.
     """
-    hot = hot_keys(lap_times, PAIR, hot_rows)
-    block = id_block("lap", bits)
-    with_previous = previous_value(lap_times, PAIR, "lap", "position", "prev_position", hot, block)
+    with_previous = previous_value(lap_times, PAIR, "lap", "position", "prev_position", id_block("lap"))
     return running_totals(
         with_previous,
         partition=PAIR,
         order=["milliseconds", "lap"],
         totals={"fastest_lap_rank": F.lit(1)},
-        hot=hot,
-        block=[F.col("milliseconds"), block],
+        block=[id_block("milliseconds", 16), id_block("milliseconds", 8)],
     )
 
 
-def _lap_segments(lap_times: DataFrame, length: int) -> DataFrame:
-    """Per start and segment of ``length`` laps: counts, bounds, edge places, ordered arrays.
+def lap_summary(lap_times: DataFrame) -> DataFrame:
+    """Per start: place changes, lap time bounds, and the whole ordered arrays.
 
-    One shuffle on (race, driver, segment) serves the window and the aggregate.
+    One shuffle on (race, driver) serves the window and the aggregate.  A start has the laps of one
+    race, which is what bounds its window and arrays; for endless series use ``lap_analysis``, one
+    row per lap.
     """
-    keys = [*PAIR, "segment"]
-    in_segment = Window.partitionBy(*keys).orderBy(
-        F.col("lap").asc_nulls_last(), F.col("milliseconds").asc_nulls_last()
-    )
-    laps = lap_times.withColumn("segment", F.call_function("div", F.col("lap"), F.lit(length))).withColumn(
-        "prev_position", F.lag("position").over(in_segment)
-    )
+    in_order = Window.partitionBy(*PAIR).orderBy(F.col("lap").asc_nulls_last(), F.col("milliseconds").asc_nulls_last())
+    before = F.col("prev_position")
     order = [F.col("lap"), F.col("milliseconds")]
-    spot = F.struct(*order)
-    return laps.groupBy(*keys).agg(
-        F.count_if(F.col("position") < F.col("prev_position")).alias("lower"),
-        F.count_if(F.col("position") > F.col("prev_position")).alias("higher"),
-        F.min("milliseconds").alias("best"),
-        F.max("milliseconds").alias("worst"),
-        F.sum("milliseconds").alias("ms_sum"),
-        F.count("milliseconds").alias("ms_count"),
-        F.min_by("position", spot).alias("first_position"),
-        F.max_by("position", spot).alias("last_position"),
-        ordered_values(order, F.col("time")).alias("lap_times_array"),
-        ordered_values(order, F.col("position")).alias("positions_array"),
-    )
-
-
-def _lap_totals(segments: DataFrame) -> DataFrame:
-    """One row per start.  The step from one segment to the next is compared here."""
-    before = F.lag("last_position").over(Window.partitionBy(*PAIR).orderBy("segment"))
-    edges = segments.drop("lap_times_array", "positions_array").withColumn("before", before)
-    return edges.groupBy(*PAIR).agg(
-        (F.sum("lower") + F.count_if(F.col("first_position") < F.col("before"))).alias("positions_lost"),
-        (F.sum("higher") + F.count_if(F.col("first_position") > F.col("before"))).alias("positions_gained"),
-        F.min("best").alias("best_lap_time_ms"),
-        F.try_divide(F.sum("ms_sum"), F.sum("ms_count")).alias("avg_lap_time_ms"),
-        F.max("worst").alias("worst_lap_time_ms"),
+    return (
+        lap_times.withColumn("prev_position", F.lag("position").over(in_order))
+        .groupBy(*PAIR)
+        .agg(
+            F.count_if(F.col("position") < before).alias("positions_lost"),
+            F.count_if(F.col("position") > before).alias("positions_gained"),
+            F.min("milliseconds").alias("best_lap_time_ms"),
+            F.avg("milliseconds").alias("avg_lap_time_ms"),
+            F.max("milliseconds").alias("worst_lap_time_ms"),
+            ordered_values(order, F.col("time")).alias("lap_times_array"),
+            ordered_values(order, F.col("position")).alias("positions_array"),
+        )
     )
 
 
 def pit_summary(pit_stops: DataFrame) -> DataFrame:
-    """Stops per start, their mean duration, and how many durations are not a number."""
+    """Stops per start, their mean duration, how many durations are not a number, and the laps in order."""
     seconds = text_to_float(F.col("duration"))
     return pit_stops.groupBy(*PAIR).agg(
         F.count("*").alias("total_pit_stops"),
         F.avg(seconds).alias("avg_pit_stop_duration"),
         F.count_if(F.col("duration").isNotNull() & seconds.isNull()).alias("unreadable_durations"),
+        ordered_values([F.col("lap"), F.col("stop")], F.col("lap")).alias("pit_stop_laps_array"),
     )
 
 
@@ -142,7 +116,16 @@ def race_context(
     )
 
 
-def race_scorecard(
+def race_scorecard(*tables: DataFrame, **choices) -> DataFrame:
+    """The single-value part of ``race_drilldown``, which takes the same arguments."""
+    return race_drilldown(*tables, **choices).drop(*SERIES)
+
+
+def _picker(race_id: int | None, driver_id: int | None):
+    return lambda frame: optional_eq(optional_eq(frame, "raceId", race_id), "driverId", driver_id)
+
+
+def race_drilldown(
     results: DataFrame,
     races: DataFrame,
     constructors: DataFrame,
@@ -153,37 +136,14 @@ def race_scorecard(
     race_id: int | None = None,
     driver_id: int | None = None,
     incidents: Sequence[str] = INCIDENTS,
-    length: int = SERIES_LENGTH,
 ) -> DataFrame:
-    """The single-value part of the drill-down: one row per start.
+    """One row per start: single values, and lap times, places and pit laps as whole ordered arrays.
 
     Laps, stops and race totals are each aggregated once per key and then joined.  As in the
     analysis this follows, ``positions_lost`` counts laps with a *smaller* place number than
     before, which is a gain on track; the two names are kept as they are.
     """
-    tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
-    return _scorecard(*tables, race_id, driver_id, incidents, length).drop("has_series")
-
-
-def _picker(race_id: int | None, driver_id: int | None):
-    return lambda frame: optional_eq(optional_eq(frame, "raceId", race_id), "driverId", driver_id)
-
-
-def _scorecard(
-    results,
-    races,
-    constructors,
-    status,
-    qualifying,
-    lap_times,
-    pit_stops,
-    race_id,
-    driver_id,
-    incidents,
-    length,
-) -> DataFrame:
     pick = _picker(race_id, driver_id)
-    laps = _lap_totals(_lap_segments(pick(lap_times), length))
     race = (
         optional_eq(races, "raceId", race_id)
         .select("raceId", F.col("name").alias("race_name"), F.col("date").alias("race_date"))
@@ -207,7 +167,7 @@ def _scorecard(
     return (
         join_splittable(starts, race, ["raceId"])
         .join(session, PAIR, "left")
-        .join(laps, PAIR, "left")
+        .join(lap_summary(pick(lap_times)), PAIR, "left")
         .join(pit_summary(pick(pit_stops)), PAIR, "left")
         .join(constructors.selectExpr("constructorId", "name AS constructor_name"), "constructorId")
         .join(status.selectExpr("statusId", "status AS race_status"), "statusId")
@@ -237,53 +197,6 @@ def _scorecard(
             "avg_pit_stop_duration",
             "total_drivers_in_race",
             "incidents_count",
-            "coalesce(positions_lost, total_pit_stops) IS NOT NULL AS has_series",
+            *SERIES,
         )
     )
-
-
-def _pit_segments(pit_stops: DataFrame, length: int) -> DataFrame:
-    order = [F.col("lap"), F.col("stop")]
-    return (
-        pit_stops.withColumn("segment", F.call_function("div", F.col("lap"), F.lit(length)))
-        .groupBy(*PAIR, "segment")
-        .agg(ordered_values(order, F.col("lap")).alias("pit_stop_laps_array"))
-    )
-
-
-def lap_series(lap_times: DataFrame, pit_stops: DataFrame, length: int = SERIES_LENGTH) -> DataFrame:
-    """Ordered lap times, places and pit laps per start.
-
-    A race has far fewer than ``length`` laps, so a start has one row, segment 0.  A longer series
-    continues in further segments instead of one unbounded array.
-    """
-    laps = _lap_segments(lap_times, length).select(*PAIR, "segment", "lap_times_array", "positions_array")
-    return laps.join(_pit_segments(pit_stops, length), [*PAIR, "segment"], "full")
-
-
-def race_drilldown(
-    results: DataFrame,
-    races: DataFrame,
-    constructors: DataFrame,
-    status: DataFrame,
-    qualifying: DataFrame,
-    lap_times: DataFrame,
-    pit_stops: DataFrame,
-    race_id: int | None = None,
-    driver_id: int | None = None,
-    incidents: Sequence[str] = INCIDENTS,
-    length: int = SERIES_LENGTH,
-) -> DataFrame:
-    """Scorecard and ordered series together, one row per start and segment.
-
-    Starts without any series keep NULL arrays in segment 0.  The others take part in an inner join
-    whose large side, the series, adaptive execution may split when one start dominates.
-    """
-    pick = _picker(race_id, driver_id)
-    tables = (results, races, constructors, status, qualifying, lap_times, pit_stops)
-    cards = _scorecard(*tables, race_id, driver_id, incidents, length)
-    series = lap_series(pick(lap_times), pick(pit_stops), length)
-    kinds = {name: kind for name, kind in series.dtypes if name not in PAIR}
-    blank = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
-    silent = cards.filter(~F.col("has_series")).withColumns({**blank, "segment": F.lit(0).cast(kinds["segment"])})
-    return join_splittable(series, cards, PAIR).select(*silent.columns).unionByName(silent).drop("has_series")

@@ -6,6 +6,7 @@ sides that are unique on the admission id and share its partitioning.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -45,24 +46,16 @@ def with_procedure(
     return keep_existing(admissions, treated, "id_aih")
 
 
+@dataclass(frozen=True)
 class Lake:
     """The hospital tables a cohort is drawn from."""
 
-    def __init__(
-        self,
-        watermarks: DataFrame,
-        admissions: DataFrame,
-        diagnosis_bridge: DataFrame,
-        procedure_bridge: DataFrame,
-        diagnoses: DataFrame,
-        procedures: DataFrame,
-    ):
-        self.watermarks = watermarks
-        self.admissions = admissions
-        self.diagnosis_bridge = diagnosis_bridge
-        self.procedure_bridge = procedure_bridge
-        self.diagnoses = diagnoses
-        self.procedures = procedures
+    watermarks: DataFrame
+    admissions: DataFrame
+    diagnosis_bridge: DataFrame
+    procedure_bridge: DataFrame
+    diagnoses: DataFrame
+    procedures: DataFrame
 
     def in_cohort(self, rows: DataFrame, cids: Iterable[str], procedures: Iterable[str]) -> DataFrame:
         marked = with_diagnosis(rows, self.diagnosis_bridge, self.diagnoses, cids)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import decade_end, decade_of, decade_start, previous_range
 from tablewright.functions.numbers import change_rate, direction
 from tablewright.operators.filters import bound, brush, within
-from tablewright.operators.joins import join_per_key, salt
 
 # Card label -> averaged measure.  "Average Budget" averages US_Gross, as the dashboard does;
 # pass another mapping to average Production_Budget.
@@ -100,16 +99,15 @@ def brushed_cards(
 def genre_counts(movies: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Releases per genre and date; genres with the most releases first.
 
-    Genre totals come from the grouped counts, not from a window over a genre's rows.
+    The window sees one row per genre and date, so it is bounded by the calendar.
     """
     counts = (
         within(movies, "Release_Date", start, end)
         .groupBy("Major_Genre", "Release_Date")
         .agg(F.count("*").alias("count"))
     )
-    totals = counts.groupBy("Major_Genre").agg(F.sum("count").alias("genre_total"))
     return (
-        join_per_key(counts.withColumn("salt", salt("Release_Date")), totals, "Major_Genre")
+        counts.withColumn("genre_total", F.sum("count").over(Window.partitionBy("Major_Genre")))
         .select("Major_Genre", "Release_Date", "count", "genre_total")
         .orderBy(
             F.desc("genre_total"), F.col("Major_Genre").asc_nulls_last(), F.col("Release_Date").asc_nulls_last()

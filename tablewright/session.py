@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -37,15 +40,22 @@ def build_session(
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="tablewright-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path ``name`` below the folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session, whose
-    executors live in the driver's own process, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session, whose executors live in
+    the driver's own process, falls back to a temporary folder, removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tablewright-")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

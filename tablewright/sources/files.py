@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,29 +36,38 @@ def write_parquet(frame: DataFrame, path: str) -> str:
     return path
 
 
-def write_csv(frame: DataFrame, path: str) -> str:
+def write_csv(frame: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     """A folder ``<table>.csv`` of part files, which ``register_csv_folder`` takes as one table."""
-    frame.write.mode("overwrite").options(header=True, nullValue=NULL_TEXT).csv(path)
+    frame.write.mode("overwrite").options(header=True, nullValue=NULL_TEXT, encoding=encoding).csv(path)
+    return path
+
+
+def write_records(frame: DataFrame, path: str) -> str:
+    """One JSON record per line."""
+    frame.write.mode("overwrite").json(path)
     return path
 
 
 def csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
     """Table name -> path of each CSV file, or folder of CSV parts, directly below ``folder``.
 
-    The name is the text before the first dot.  Only the list of tables reaches the driver.
+    The name is the text before the first dot.  Files in subfolders are not tables, and only the list
+    of tables reaches the driver.
     """
-    below = F.regexp_extract("path", r"^(.*?)/([^/]*\.csv)(?:/[^/]*)?$", 0)
-    files = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .load(folder)
-        .select("path")
-        .filter(below != "")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    paths = (
+        spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.csv").load(folder).select("path")
     )
-    entry = F.regexp_extract("path", r"^(.*?/[^/]*\.csv)(?:/|$)", 1)
-    name = F.regexp_extract(entry, r"([^/.]+)[^/]*$", 1)
-    rows = files.select(name.alias("name"), entry.alias("entry")).distinct().collect()
-    return {row["name"]: row["entry"] for row in sorted(rows)}
+    inside = F.regexp_replace(F.regexp_replace("path", r"^(\w+):/+", "$1:/"), F.lit("^" + _plain(root) + "/"), F.lit(""))
+    entry = F.regexp_extract(inside, r"^([^/]*\.csv)(?:/[^/]*)?$", 1)
+    rows = paths.select(entry.alias("entry")).filter("entry != ''").distinct().collect()
+    return {row["entry"].partition(".")[0]: f"{folder.rstrip('/')}/{row['entry']}" for row in sorted(rows)}
+
+
+def _plain(path: str) -> str:
+    """A path as a pattern, with one slash after the scheme."""
+    return re.escape(re.sub(r"^(\w+):/+", r"\1:/", path.rstrip("/")))
 
 
 def register_csv_folder(
@@ -70,8 +81,11 @@ def register_csv_folder(
     return tables
 
 
-def schema_profile(spark: SparkSession, folder: str, sampling_ratio: float = 0.1) -> DataFrame:
-    """Inferred column types of every CSV below ``folder``; bad values do not stop it."""
+def schema_profile(spark: SparkSession, folder: str, sampling_ratio: float = 1.0) -> DataFrame:
+    """Inferred column types of every CSV below ``folder``; bad values do not stop it.
+
+    Every row is read unless ``sampling_ratio`` asks for a part of them.
+    """
     reader = spark.read.options(
         header=True, inferSchema=True, samplingRatio=sampling_ratio, mode="PERMISSIVE", nullValue=NULL_TEXT
     )

@@ -86,12 +86,12 @@ class Tables:
             "l_orderkey AS raceId", "l_suppkey AS driverId", "cast(l_quantity AS int) AS position"
         )
 
-    # drill-down: week of the event log = race, user = driver, event = lap or pit stop
+    # drill-down: 2000 events = race, one of 50 groups of users = driver, event = lap or pit stop
 
     def _events(self) -> DataFrame:
         return self["events"].selectExpr(
-            "cast(dayofyear(ts) div 7 AS int) AS raceId",
-            "user_id AS driverId",
+            "event_id div 2000 AS raceId",
+            "user_id % 50 AS driverId",
             "event_id",
             "ts",
             "event_type",
@@ -145,11 +145,15 @@ class Tables:
             )
         )
 
+    def _numbered(self) -> DataFrame:
+        number = "row_number() OVER (PARTITION BY raceId, driverId ORDER BY ts, event_id) AS lap"
+        return self._events().selectExpr("*", number)
+
     def laps(self) -> DataFrame:
-        return self._events().selectExpr(
+        return self._numbered().selectExpr(
             "raceId",
             "driverId",
-            "event_id AS lap",
+            "lap",
             "CASE WHEN event_type <> 'error' THEN cast(cents % 20 + 1 AS int) END AS position",
             "event_type AS time",
             "cents AS milliseconds",
@@ -157,12 +161,12 @@ class Tables:
 
     def pit_stops(self) -> DataFrame:
         return (
-            self._events()
+            self._numbered()
             .filter("event_type = 'purchase'")
             .selectExpr(
                 "raceId",
                 "driverId",
-                "event_id AS lap",
+                "lap",
                 "1 AS stop",
                 "concat(CASE WHEN cents > 10000 THEN '1:' ELSE '' END, cents % 60) AS duration",
             )
@@ -270,7 +274,7 @@ class Tables:
         )
 
     def age_bands(self) -> DataFrame:
-        """Five-year bands by month of age, up to 60 years; older patients have no band."""
-        return self.spark.range(0, 720).selectExpr(
+        """Five-year bands by month of age, up to 120 years."""
+        return self.spark.range(0, 1440).selectExpr(
             "id AS idade_meses", "concat(id div 60 * 5, '-', id div 60 * 5 + 4) AS faixa_etaria_ibge"
         )

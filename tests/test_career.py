@@ -100,10 +100,9 @@ def test_scorecard(tables):
     assert rows(career.career_scorecard(tables["results"], tables["races"], 1, 11), "total_races") == [(1,)]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 3, 0])
-def test_progression_is_the_same_for_hot_drivers(tables, hot_rows):
+def test_progression(tables):
     progress = career.season_progression(
-        tables["results"], tables["races"], tables["constructors"], hot_rows=hot_rows
+        tables["results"], tables["races"], tables["constructors"]
     )
     got = sorted(rows(progress, "driverId", "year", "raceId", "cumulative_points", "index"))
     assert got == [
@@ -160,9 +159,11 @@ def test_qualifying_needs_both_sides(tables):
     assert sorted(rows(pairs)) == [(1, 1, 2000, "A", 2, 1), (2, 4, 2001, "A", 7, 4)]
 
 
+DRILL = ("results", "races", "constructors", "status", "qualifying", "lap_times", "pit_stops")
+
+
 def drill(tables, **choices):
-    names = ("results", "races", "constructors", "status", "qualifying", "lap_times", "pit_stops")
-    return drilldown.race_drilldown(*[tables[name] for name in names], **choices)
+    return drilldown.race_drilldown(*[tables[name] for name in DRILL], **choices)
 
 
 def test_drilldown(tables):
@@ -177,7 +178,7 @@ def test_drilldown(tables):
     assert first["positions_array"] == [5, 3, None, 4, 6]
     assert first["pit_stop_laps_array"] == [2, 4, 5]
     assert (first["qualifying_1"], first["qualifying_position"]) == ("a", 2)
-    assert (first["total_drivers_in_race"], first["incidents_count"], first["segment"]) == (2, 0, 0)
+    assert (first["total_drivers_in_race"], first["incidents_count"]) == (2, 0)
     no_laps = found[4, 2]
     assert (no_laps["lap_times_array"], no_laps["pit_stop_laps_array"]) == (None, [9])
     assert (no_laps["best_lap_time_ms"], no_laps["positions_lost"], no_laps["total_pit_stops"]) == (None, 0, 1)
@@ -189,20 +190,23 @@ def test_drilldown(tables):
     assert found[2, 1]["incidents_count"] == 0
 
 
-def test_drilldown_of_one_start_and_short_segments(tables):
+def test_drilldown_of_one_start(tables):
     one = drill(tables, race_id=1, driver_id=1).collect()
     assert len(one) == 1
     assert one[0]["total_drivers_in_race"] == 2
-    parts = sorted(drill(tables, race_id=1, driver_id=1, length=2).collect(), key=lambda row: row["segment"])
-    assert [row["segment"] for row in parts] == [0, 1, 2]
-    assert [row["lap_times_array"] for row in parts] == [["t1"], ["t2", "t3"], ["t4", "t5"]]
-    assert [row["pit_stop_laps_array"] for row in parts] == [None, [2], [4, 5]]
-    assert {(row["positions_lost"], row["positions_gained"]) for row in parts} == {(1, 1)}
+    card = drilldown.race_scorecard(*[tables[name] for name in DRILL], race_id=1, driver_id=1)
+    assert not set(drilldown.SERIES) & set(card.columns) and card.count() == 1
+
+
+def test_arrays_are_whole_whatever_the_lap_numbers(spark, tables):
+    schema = tables["lap_times"].schema
+    laps = spark.createDataFrame([(1, 1, 4090 + i, i, f"t{i}", 900) for i in range(12)], schema)
+    found = drill({**tables, "lap_times": laps}, race_id=1, driver_id=1).collect()
+    assert [row["lap_times_array"] for row in found] == [[f"t{i}" for i in range(12)]]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 0])
-def test_lap_analysis(tables, hot_rows):
-    laps = drilldown.lap_analysis(tables["lap_times"], hot_rows=hot_rows, bits=1)
+def test_lap_analysis(tables):
+    laps = drilldown.lap_analysis(tables["lap_times"])
     got = sorted(rows(laps.filter("raceId = 1 AND driverId = 1"), "lap", "prev_position", "fastest_lap_rank"))
     assert got == [(1, None, 5), (2, 5, 2), (3, 3, 4), (4, None, 3), (5, 4, 1)]
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import __spark_entry__ as contract
+import check_sql
 import pytest
 from comparing import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = contract.oracle_sql()
+SQL = check_sql.statements()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def test_every_statement_has_a_query():
     assert set(SQL) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.analyses()))
 def test_query(spark, duck, name):
     frame = contract.queries()[name](spark, FOLDER)
     if name in SQL:

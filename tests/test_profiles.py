@@ -98,8 +98,9 @@ def test_density_is_a_scaled_gaussian_sum(table):
 
 def test_density_integrates_to_about_the_area(spark):
     frame = spark.range(4000).select(F.lit("g").alias("Type 1"), (F.sin(F.col("id") * 7.13) + F.sin(F.col("id") * 3.7) + F.sin(F.col("id") * 1.9)).alias("HP"))
-    counts, stats = dist.value_counts(frame, "Type 1", "HP"), dist.moments(frame, "Type 1", "HP")
-    rows = dist.density(counts, stats, dist.fixed_bins(stats, 20), points=400).collect()
+    values = dist.present(frame, "Type 1", "HP")
+    stats = dist.moments(values)
+    rows = dist.density(values, stats, dist.fixed_bins(stats, 20), points=400).collect()
     width = stats.first()
     step = (width["high"] - width["low"]) / 399
     area = sum(row["density"] for row in rows) * step
@@ -113,8 +114,8 @@ def test_quantiles_are_exact_when_sketched(spark, monkeypatch):
         (F.col("id") % 2).cast("string").alias("g"), F.exp(F.sin(F.col("id") * 1.7) * 8).alias("v")
     )
     probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
-    counts = dist.value_counts(frame, "g", "v")
-    got = dist.group_quantiles(counts, dist.moments(frame, "g", "v", probabilities), probabilities).collect()
+    rows = dist.present(frame, "g", "v")
+    got = dist.group_quantiles(rows, dist.moments(rows, probabilities), probabilities).collect()
     values = {}
     for row in frame.collect():
         values.setdefault(row["g"], []).append(row["v"])
@@ -123,6 +124,30 @@ def test_quantiles_are_exact_when_sketched(spark, monkeypatch):
         assert row["quantile"] == pytest.approx(np.quantile(values[row["group"]], row["probability"]), rel=1e-12)
 
 
+def test_a_rank_outside_its_bracket_is_an_error(spark):
+    rows = dist.present(spark.range(1000).selectExpr("'g' AS g", "double(id) AS v"), "g", "v")
+    narrow = dist.moments(rows, (0.5,)).withColumn("brackets", F.array(F.lit(600.0), F.lit(700.0)))
+    with pytest.raises(Exception, match="outside its sketched bracket"):
+        dist.group_quantiles(rows, narrow, (0.5,)).collect()
+
+
+def test_every_value_reaches_every_point(spark):
+    frame = spark.createDataFrame([("g", float(v)) for v in [0, 1, 2, 3, 1000]], "g STRING, v DOUBLE")
+    values = dist.present(frame, "g", "v")
+    stats = dist.moments(values)
+    whole = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), bandwidth=0.02).collect()}
+    near = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), bandwidth=0.02, reach=3).collect()}
+    assert all(value > 0 for point, value in whole.items() if point < 30) and near[29] == 0
+
+
+def test_many_genres(spark):
+    movies = spark.range(200_000).selectExpr("concat('g', id % 100000) AS Major_Genre", "DATE '2000-01-01' AS Release_Date")
+    from tablewright.plans import releases
+
+    found = releases.genre_counts(movies)
+    assert found.count() == 100_000 and found.filter("genre_total != 2").count() == 0
+
+
 def test_radar_ring(table):
     rows = sorted(creatures.radar(table, ["N100"]).collect(), key=lambda row: row["position"])
     assert [row["spoke"] for row in rows] == ["HP", "Attack", "Defense", "Sp. Atk", "Sp. Def", "Speed", "HP"]
