@@ -151,8 +151,8 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.5,
     max_epochs: int = 2,
-    block_words: int = 32,
-    shard_words: int = 1 << 17,
+    block_words: int = 16,
+    shard_words: int = 1 << 16,
     seed: int = 11,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
