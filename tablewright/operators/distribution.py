@@ -1,7 +1,7 @@
 """Exact quantiles, histograms and density curves per group.
 
 Facts of a group (counts, bounds, brackets, bins) are one row per group.  They meet the raw rows
-where these lie: few groups are broadcast, behind a count of them, and many take a plain join, which
+where these lie: few groups (``few_values``) are broadcast, and many take a plain join, which
 adaptive execution splits where one group dominates.  What is then grouped, by bin or by grid
 point, is combined before it is shuffled, so a fact never crosses the network row by row.
 """
@@ -24,6 +24,8 @@ ACCURACY = 10_000
 SMALL_GROUP = 10_000
 # A bracket is put in order in so many ranges.
 PIECES = 1024
+# Grid points summed side by side in one row of the aggregate.
+CHUNK = 25
 
 
 def present(frame: DataFrame, group: str, value: str) -> DataFrame:
@@ -53,7 +55,9 @@ def moments(values: DataFrame, probabilities: Sequence[float] = QUARTILES) -> Da
     )
 
 
-def group_quantiles(values: DataFrame, stats: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+def group_quantiles(
+    values: DataFrame, stats: DataFrame, few: bool, probabilities: Sequence[float] = QUARTILES
+) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group and probability.
 
     ``stats`` comes from ``moments`` with the same probabilities and is handed on.  Values below a
@@ -74,10 +78,10 @@ def group_quantiles(values: DataFrame, stats: DataFrame, probabilities: Sequence
     keys = ["group", "total", "low", "high", "deviation", "probability"]
     below = F.lit(float("-inf"))
     kept = (
-        join_groups(values, stats.select("group", asked.alias("asked")), "group")
-        .select("group", "value", F.inline("asked"))
+        join_groups(values, stats.select(*keys[:-1], asked.alias("asked")), "group", few)
+        .select(*keys[:-1], "value", F.inline("asked"))
         .filter("value <= to")
-        .groupBy("group", "probability", "from", "to", F.expr("CASE WHEN value >= from THEN value ELSE double('-Infinity') END").alias("value"))
+        .groupBy(*keys, "from", "to", F.expr("CASE WHEN value >= from THEN value ELSE double('-Infinity') END").alias("value"))
         .agg(F.count("*").alias("n"))
     )
     piece = F.expr(f"CASE WHEN value < from THEN -1 WHEN to > from THEN int(least({PIECES - 1}, (value - from) / (to - from) * {PIECES})) ELSE 0 END")
@@ -86,7 +90,7 @@ def group_quantiles(values: DataFrame, stats: DataFrame, probabilities: Sequence
     lower, upper = holds.format("floor(place)"), holds.format("floor(place) + 1")
     part = "place - floor(place)"
     weight = f"CASE WHEN {lower} THEN 1 - ({part}) ELSE 0D END + CASE WHEN {upper} THEN {part} ELSE 0D END"
-    placed = ranked.join(stats.select(*keys[:-1]), "group").withColumns(
+    placed = ranked.withColumns(
         {"place": F.expr("probability * (total - 1)"), "inside": F.col("value") > below}
     )
     found = placed.groupBy(*keys).agg(
@@ -98,14 +102,14 @@ def group_quantiles(values: DataFrame, stats: DataFrame, probabilities: Sequence
     return found.select(*keys, checked.alias("quantile"))
 
 
-def automatic_bins(values: DataFrame, stats: DataFrame) -> DataFrame:
+def automatic_bins(values: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
     """Number, first edge and width of bins: the finer of the Sturges and Freedman-Diaconis rules.
 
     With no spread between the quartiles Sturges decides alone; with no spread at all there is
     one bin of width 1 around the value.
     """
     quartiles = (
-        group_quantiles(values, stats)
+        group_quantiles(values, stats, few)
         .groupBy("group", "total", "low", "high", "deviation")
         .agg(F.expr("max(quantile) - min(quantile)").alias("iqr"))
     )
@@ -128,7 +132,7 @@ def fixed_bins(stats: DataFrame, bins: int) -> DataFrame:
     return _edges(stats.withColumn("bins", F.lit(bins).cast("bigint")))
 
 
-def histogram(values: DataFrame, binned: DataFrame) -> DataFrame:
+def histogram(values: DataFrame, binned: DataFrame, few: bool) -> DataFrame:
     """Rows per group and bin; bins without rows are left out.
 
     Bins are closed on the left and open on the right, the last one closed on both sides.
@@ -137,7 +141,7 @@ def histogram(values: DataFrame, binned: DataFrame) -> DataFrame:
                      WHEN value >= start + (guess + 1) * width AND guess < bins - 1 THEN guess + 1
                      ELSE guess END"""
     return (
-        join_groups(values, binned.select("group", "bins", "start", "width"), "group")
+        join_groups(values, binned.select("group", "bins", "start", "width"), "group", few)
         .withColumn("guess", F.expr("least(bins - 1, floor((value - start) / width))"))
         .groupBy("group", "bins", "start", "width", F.expr(number).alias("bin"))
         .agg(F.count("*").alias("count"))
@@ -156,6 +160,7 @@ def density(
     values: DataFrame,
     stats: DataFrame,
     binned: DataFrame,
+    few: bool,
     points: int = GRID_POINTS,
     bandwidth: float | None = None,
     reach: float | None = None,
@@ -172,17 +177,19 @@ def density(
     factor = repr(float(bandwidth)) + "D" if bandwidth else "pow(cast(total AS double), -0.2D)"
     shape = ("group", "low", f"deviation * {factor} AS h", f"(high - low) / {points - 1} AS step")
     spread = "total > 1 AND deviation > 0"
-    first, last = "0L", f"{points - 1}L"
+    chunks = -(-points // CHUNK)
+    away = f"((low + (chunk * {CHUNK} + {{0}}) * step - value) / h)"
+    kernel = f"exp(-0.5D * {away} * {away})"
     if reach is not None:
-        first = f"greatest({first}, ceil((value - {float(reach)}D * h - low) / step))"
-        last = f"least({last}, floor((value + {float(reach)}D * h - low) / step))"
-    near = f"explode(CASE WHEN {first} <= {last} THEN sequence({first}, {last}) END) AS point"
-    kernel = "exp(-0.5D * ((low + point * step - value) / h) * ((low + point * step - value) / h))"
+        kernel = f"CASE WHEN abs({away}) <= {float(reach)}D THEN {kernel} ELSE 0D END"
+    masses = [F.sum(F.expr(kernel.format(k))).alias(f"m{k}") for k in range(CHUNK)]
     sums = (
-        join_groups(values, stats.filter(spread).selectExpr(*shape), "group")
-        .selectExpr("group", "value", "low", "step", "h", near)
-        .groupBy("group", "point")
-        .agg(F.sum(F.expr(kernel)).alias("mass"))
+        join_groups(values, stats.filter(spread).selectExpr(*shape), "group", few)
+        .selectExpr("group", "value", "low", "step", "h", f"explode(sequence(0L, {chunks - 1}L)) AS chunk")
+        .groupBy("group", "chunk")
+        .agg(*masses)
+        .select("group", "chunk", F.posexplode(F.array(*[f"m{k}" for k in range(CHUNK)])).alias("place", "mass"))
+        .selectExpr("group", f"chunk * {CHUNK} + place AS point", "mass")
     )
     grid = binned.filter(spread).selectExpr(*shape, "width").selectExpr("*", f"explode(sequence(0L, {points - 1}L)) AS point")
     return grid.join(sums, ["group", "point"], "left").selectExpr(

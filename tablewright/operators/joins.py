@@ -55,14 +55,18 @@ def band_lookup(frame: DataFrame, bands: DataFrame, key: str) -> DataFrame:
     return frame.join(bands, key, "inner")
 
 
-def join_groups(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def few_values(rows: DataFrame, key: str) -> bool:
+    """Whether ``key`` has at most ``GROUPS`` different values, by a sketch over ``rows``."""
+    return rows.agg(F.approx_count_distinct(key)).first()[0] <= GROUPS
+
+
+def join_groups(rows: DataFrame, facts: DataFrame, key: str, few: bool) -> DataFrame:
     """Inner join of ``rows`` to one row of ``facts`` per value of ``key``.
 
-    Up to ``GROUPS`` different keys, counted over ``rows`` by a sketch before the join is planned, the
-    facts are broadcast and no row moves.  Beyond that both sides are shuffled.
+    ``few`` comes from ``few_values``: the facts are then broadcast and no row moves.  Otherwise both
+    sides are shuffled.
     """
-    groups = rows.agg(F.approx_count_distinct(key)).first()[0]
-    return rows.join(F.broadcast(facts), key) if groups <= GROUPS else join_splittable(rows, facts, [key])
+    return rows.join(F.broadcast(facts), key) if few else join_splittable(rows, facts, [key])
 
 
 def join_splittable(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:

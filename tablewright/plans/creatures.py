@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.numbers import ratio
 from tablewright.operators import distribution as dist
 from tablewright.operators.filters import as_list, optional_in
+from tablewright.operators.joins import few_values
 from tablewright.operators.reshape import ring, stacked
 
 # The radar's spokes, and the attribute choices with the column(s) behind them.
@@ -61,8 +62,9 @@ def with_attribute(creatures: DataFrame, attribute: str, name: str = "attribute"
 
 def _binned(frame: DataFrame, group: str, value: str, bins: int | None):
     values = dist.present(frame, group, value)
-    stats = dist.moments(values)
-    return values, stats, (dist.automatic_bins(values, stats) if bins is None else dist.fixed_bins(stats, bins))
+    stats, few = dist.moments(values), few_values(values, "group")
+    binned = dist.automatic_bins(values, stats, few) if bins is None else dist.fixed_bins(stats, bins)
+    return values, stats, binned, few
 
 
 def attribute_histogram(
@@ -70,8 +72,8 @@ def attribute_histogram(
 ) -> DataFrame:
     """Histogram of an attribute per type, each with its own automatic bins."""
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
-    values, _, binned = _binned(rows, "Type 1", "attribute", bins)
-    return dist.histogram(values, binned)
+    values, _, binned, few = _binned(rows, "Type 1", "attribute", bins)
+    return dist.histogram(values, binned, few)
 
 
 def attribute_density(

@@ -106,8 +106,10 @@ def test_running_totals_of_doubles_with_a_dominant_key(spark):
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_group_facts_meet_every_row(spark, monkeypatch, limit):
     monkeypatch.setattr(joins, "GROUPS", limit)
+    few = joins.few_values(spark.range(4), "id")
+    assert few == (limit > 0)
     rows = spark.range(1000).select((F.col("id") % 4).alias("k"), "id")
-    joined = joins.join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    joined = joins.join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k", few)
     assert joined.count() == 1000 and {r["n"] for r in joined.collect()} == {250}
 
 

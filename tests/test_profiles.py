@@ -100,14 +100,15 @@ def test_density_integrates_to_about_the_area(spark):
     frame = spark.range(4000).select(F.lit("g").alias("Type 1"), (F.sin(F.col("id") * 7.13) + F.sin(F.col("id") * 3.7) + F.sin(F.col("id") * 1.9)).alias("HP"))
     values = dist.present(frame, "Type 1", "HP")
     stats = dist.moments(values)
-    rows = dist.density(values, stats, dist.fixed_bins(stats, 20), points=400).collect()
+    rows = dist.density(values, stats, dist.fixed_bins(stats, 20), True, points=400).collect()
     width = stats.first()
     step = (width["high"] - width["low"]) / 399
     area = sum(row["density"] for row in rows) * step
     assert area == pytest.approx(4000 * (width["high"] - width["low"]) / 20, rel=0.1)
 
 
-def test_quantiles_are_exact_when_sketched(spark, monkeypatch):
+@pytest.mark.parametrize("few", [True, False])
+def test_quantiles_are_exact_when_sketched(spark, monkeypatch, few):
     monkeypatch.setattr(dist, "SMALL_GROUP", 100)
     monkeypatch.setattr(dist, "ACCURACY", 200)
     frame = spark.range(20000).select(
@@ -115,7 +116,7 @@ def test_quantiles_are_exact_when_sketched(spark, monkeypatch):
     )
     probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
     rows = dist.present(frame, "g", "v")
-    got = dist.group_quantiles(rows, dist.moments(rows, probabilities), probabilities).collect()
+    got = dist.group_quantiles(rows, dist.moments(rows, probabilities), few, probabilities).collect()
     values = {}
     for row in frame.collect():
         values.setdefault(row["g"], []).append(row["v"])
@@ -128,15 +129,15 @@ def test_a_rank_outside_its_bracket_is_an_error(spark):
     rows = dist.present(spark.range(1000).selectExpr("'g' AS g", "double(id) AS v"), "g", "v")
     narrow = dist.moments(rows, (0.5,)).withColumn("brackets", F.array(F.lit(600.0), F.lit(700.0)))
     with pytest.raises(Exception, match="outside its sketched bracket"):
-        dist.group_quantiles(rows, narrow, (0.5,)).collect()
+        dist.group_quantiles(rows, narrow, True, (0.5,)).collect()
 
 
 def test_every_value_reaches_every_point(spark):
     frame = spark.createDataFrame([("g", float(v)) for v in [0, 1, 2, 3, 1000]], "g STRING, v DOUBLE")
     values = dist.present(frame, "g", "v")
     stats = dist.moments(values)
-    whole = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), bandwidth=0.02).collect()}
-    near = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), bandwidth=0.02, reach=3).collect()}
+    whole = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), True, bandwidth=0.02).collect()}
+    near = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), True, bandwidth=0.02, reach=3).collect()}
     assert all(value > 0 for point, value in whole.items() if point < 30) and near[29] == 0
 
 
