@@ -23,13 +23,11 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCUMENTS = 100
 SHARE = 0.02
 MIN_LEFT = 0.3
-
-
 FEW = 64
 
 
 def _window_columns(rows: DataFrame) -> DataFrame:
-    """Adds ``_hashes`` of all 3-word windows in order, and ``_twice``, those that occur again, sorted."""
+    """Adds ``_hashes`` (64 bits) of all 3-word windows in order, and ``_twice``, those that occur again, sorted."""
     tokens = F.col("_tokens")
     window = lambda i: F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1))
     hashes = F.when(F.size(tokens) >= 3, F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), window))
