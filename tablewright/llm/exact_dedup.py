@@ -21,7 +21,7 @@ HOT_LIST = 5000
 PREFIX = 48
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = 1000) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = 250) -> DataFrame:
     """One row per document with ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical after lower-casing A-Z; NULL counts as empty.  ``keep``
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = 1000) -
     return _judged(docs, keep, (), hot_rows)
 
 
-def drop_copies(docs: DataFrame, keep: str = "smallest", hot_rows: int = 1000) -> DataFrame:
+def drop_copies(docs: DataFrame, keep: str = "smallest", hot_rows: int = 250) -> DataFrame:
     """The documents that stay, with the columns and texts they came with."""
     judged = _judged(docs, keep, tuple(docs.columns), hot_rows).filter("kept")
     return judged.select(*[F.col(f"_c_{name}").alias(name) for name in docs.columns])
