@@ -1 +1,10 @@
-"""Operations of a training-data pipeline over documents and web pages."""
+"""Operations of a training-data pipeline over documents and web pages.
+
+Functions of this package travel to the executors by value, so executors need not have it installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -163,11 +163,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     not held out.  Repeated rows score alike.  Only the text enters a score; other columns are
     ignored whatever their names.  An empty table gives an empty result.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.base, model.shift))
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots, known = Slots(), weights.value
+        slots, known = Slots(), Model(*sent.value)
         for batch in texts:
             yield pd.Series([known.score(*slots.of(text)) for text in batch], dtype="float64")
 
@@ -177,11 +177,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``doc_id, place, sentence, chance`` of every sentence whose own chance is at least ``least``."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.base, model.shift))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, known = Slots(), weights.value
+        slots, known = Slots(), Model(*sent.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
