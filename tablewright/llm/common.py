@@ -1,4 +1,4 @@
-"""What several operators share: words, letter case, stored intermediates, a stored row number."""
+"""What several operators share: words, letter case, stored intermediates, stored row numbers."""
 
 from __future__ import annotations
 
@@ -50,15 +50,21 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def without_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """``docs`` less the rows numbered in ``rows(row)`` by ``monotonically_increasing_id``.
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written once together with a number each, and the name of the number's column.
 
-    ``docs`` has to give the same rows in the same order whenever it is read, as stored tables do.
+    ``monotonically_increasing_id`` holds the partition's index, and which rows a partition has depends on
+    the cores registered when its scan is planned.  A second scan, of a stored table too, may number
+    rows otherwise, so a number that later jobs look up is written with its row.
     """
     number = unused(docs, "_row")
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+
+
+def without_rows(docs: DataFrame, number: str, rows: DataFrame, name: str) -> DataFrame:
+    """``docs`` as ``numbered`` gives it, less the rows in ``rows(row)`` and without the number."""
     gone = stored(rows.select(F.col("row").alias(number)), name)
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    return numbered.join(gone, number, "left_anti").select(*docs.columns)
+    return docs.join(gone, number, "left_anti").drop(number)
 
 
 def unused(frame: DataFrame, name: str) -> str:

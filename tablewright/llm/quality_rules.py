@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, stored, text_or_empty, unused, without_rows, words
+from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, numbered, stored, text_or_empty, unused, without_rows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCUMENTS = 100
@@ -64,10 +64,14 @@ def _repeated_words() -> Column:
     return F.when(F.size(twice) > 0, let(places, covered)).otherwise(F.lit(0).cast("bigint"))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """Per document: its counts, and for each line with a word the line's hash and number of words."""
+def measures(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """Per document: its counts, and for each line with a word the line's hash and number of words.
+
+    ``row`` is the column ``number``; without one, rows are numbered as this scan finds them.
+    """
     text = text_or_empty("text")
-    rows = docs.select("doc_id", text.alias("_text"), F.xxhash64("source").alias("host"))
+    row = F.monotonically_increasing_id() if number is None else F.col(number)
+    rows = docs.select("doc_id", text.alias("_text"), F.xxhash64("source").alias("host"), *([number] if number else []))
     with_word = F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(GAP_CHARACTERS))) > 0)
 
     def described(line: Column) -> Column:
@@ -85,7 +89,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "host",
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         F.xxhash64("_text").alias("text_hash"),
         F.length(F.regexp_replace("_text", GAP, "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -114,6 +118,7 @@ def judge(
     min_documents: int = MIN_DOCUMENTS,
     share: float = SHARE,
     min_left: float = MIN_LEFT,
+    number: str | None = None,
 ) -> DataFrame:
     """One row per document: counts, ``removed_words``, ``base_failed`` and ``kept``.
 
@@ -121,7 +126,7 @@ def judge(
     rule.  NULL is a host of its own.  Repeated rows are judged alike and count as one text.  Other
     columns of ``docs`` are ignored whatever their names.  An empty table gives an empty result.
     """
-    measured = stored(measures(docs), "line-measures")
+    measured = stored(measures(docs, number), "line-measures")
     frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
@@ -139,27 +144,29 @@ def judge(
 def drop_rejected(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with the columns and whole texts they came with.
 
-    Takes a stored table: judgements are found again by row number.
+    Judgements are found again by row number, so the documents are written once with their numbers.
     """
-    return without_rows(docs, judge(docs, **limits).filter(~F.col("kept")), "rejected-rows")
+    rows, number = numbered(docs, "numbered-documents")
+    return without_rows(rows, number, judge(rows, **limits, number=number).filter(~F.col("kept")), "rejected-rows")
 
 
 def strip_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """The documents with their frequent lines taken out of ``text``; all other columns as they came.
 
-    Takes a stored table, as ``drop_rejected`` does.  A document has a bounded number of frequent lines
+    Writes the documents once with their numbers, as ``drop_rejected`` does.  A document has a bounded number of frequent lines
     only if its own lines are bounded; they stay together in its row.
     """
-    measured = stored(measures(docs), "line-measures")
+    rows, number = numbered(docs, "numbered-documents")
+    measured = stored(measures(rows, number), "line-measures")
     frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines.line").alias("line"))
-    number, gone = unused(docs, "_row"), unused(docs, "_gone")
+    gone = unused(docs, "_gone")
     marked = lines.join(frequent, ["host", "line"]).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(gone))
 
     def stays(line: Column) -> Column:
         return ~F.array_contains(F.col(gone), F.xxhash64(F.btrim(F.regexp_replace(lower_ascii(line), GAP, " "))))
 
     left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    numbered = docs.withColumn(number, F.monotonically_increasing_id()).join(stored(marked, "lines-to-strip"), number, "left")
+    found = rows.join(stored(marked, "lines-to-strip"), number, "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
-    return numbered.withColumn("text", text).select(*docs.columns)
+    return found.withColumn("text", text).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored, without_rows
+from tablewright.llm.common import numbered, stored, without_rows
 from tablewright.llm.components import components
 
 SEED = 42
@@ -53,8 +53,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(majority.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, row, fp`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, number: str | None = None) -> DataFrame:
+    """``doc_id, row, fp`` with the fingerprint as a signed long.
+
+    ``row`` is the column ``number``; without one, rows are numbered as this scan finds them.
+    """
 
     def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    row = F.monotonically_increasing_id() if number is None else F.col(number)
+    rows = docs.select("doc_id", row.alias("row"), "text")
     return rows.mapInArrow(in_batches, f"doc_id {kind}, row bigint, fp bigint")
 
 
@@ -94,7 +98,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return a.select("a", F.explode(F.filter("held", similar)).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, number: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, row, fingerprint, component_id, stays``.
 
     Documents whose fingerprints differ in at most ``max_bits`` bits are linked; ``component_id`` is
@@ -104,7 +108,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     Columns other than ``doc_id`` and ``text`` are ignored whatever their names.  An empty table
     gives an empty result.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    rows = stored(fingerprints(docs, shingle, number), "fingerprints")
     fps = stored(
         rows.groupBy("fp").agg(
             F.min("doc_id").alias("first_id"),
@@ -133,6 +137,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One document of each component, with the columns it came with.
 
-    Takes a stored table: decisions are found again by row number.
+    Decisions are found again by row number, so the documents are written once with their numbers.
     """
-    return without_rows(docs, near_duplicates(docs, shingle, max_bits).filter(~F.col("stays")), "near-duplicate-rows")
+    rows, number = numbered(docs, "numbered-documents")
+    found = near_duplicates(rows, shingle, max_bits, number)
+    return without_rows(rows, number, found.filter(~F.col("stays")), "near-duplicate-rows")
