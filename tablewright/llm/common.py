@@ -12,6 +12,7 @@ from tablewright.session import shared_folder
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARACTERS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SMALL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 
 
 def text_or_empty(column: Column | str) -> Column:
@@ -39,14 +40,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame written once to the folder all executors share, and read from there.
 
     Cuts the lineage; what was written outlives the executors that wrote it.  Sizes of stored
     frames are known to the planner, so joins with small ones become broadcasts by measured size.
     """
     path = shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -55,10 +56,11 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
 
     ``monotonically_increasing_id`` holds the partition's index, and which rows a partition has depends on
     the cores registered when its scan is planned.  A second scan, of a stored table too, may number
-    rows otherwise, so a number that later jobs look up is written with its row.
+    rows otherwise, so a number that later jobs look up is written with its row.  The copy holds whole
+    texts and is compressed more than other stored frames.
     """
     number = unused(docs, "_row")
-    return stored(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), name, **SMALL), number
 
 
 def without_rows(docs: DataFrame, number: str, rows: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored, text_or_empty
+from tablewright.llm.common import numbered, stored, text_or_empty
 from tablewright.session import shared_folder
 
 END = b"\r\n"
@@ -96,12 +96,12 @@ def write_archives(
 
     Of rows with equal payloads of at least ``revisit_from`` bytes the one with the largest page_id is
     the response (NULL ids last, of equal ids the later row), the others revisit it.  NULL html is
-    an empty payload, a missing url becomes ``urn:page:`` and the id.
+    an empty payload, a missing url becomes ``urn:page:`` and the id.  Rows are named by number, so the
+    pages are written once with their numbers, and both the choice and the records come from there.
     """
-    body = text_or_empty("html")
-    rows = pages.select(
-        "page_id", "url", body.alias("body"), F.monotonically_increasing_id().alias("row")
-    ).withColumns({"digest": F.sha1("body"), "bytes": F.octet_length("body").cast("bigint")})
+    rows, number = numbered(pages.select("page_id", "url", text_or_empty("html").alias("body")), "numbered-pages")
+    rows = rows.withColumnRenamed(number, "row")
+    rows = rows.withColumns({"digest": F.sha1("body"), "bytes": F.octet_length("body").cast("bigint")})
     first = (
         rows.groupBy("digest", "bytes")
         .agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n"))

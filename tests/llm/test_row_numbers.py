@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from cases import SCHEMA
 
-from tablewright.llm import quality_rules, simhash
+from tablewright.llm import quality_rules, simhash, warc
 
 CORES = "spark.sql.leafNodeDefaultParallelism"
 LINE = "all rights reserved by the host of this page"
@@ -60,3 +60,20 @@ def test_frequent_lines_go(spark, cores, tmp_path):
     left = quality_rules.strip_lines(docs, min_documents=10)
     cores(16)
     assert Counter(row.text for row in left.collect()) == Counter(LONG)
+
+
+def test_revisits_name_their_responses(spark, cores, tmp_path, monkeypatch):
+    pages = [(i // 2, "http://a.com/", "" if i % 3 else f"page {i}") for i in range(48)]
+    table = in_files(spark, str(tmp_path / "t"), pages, "page_id bigint, url string, html string")
+
+    def then_more_cores(frame, name, write=warc.stored):
+        written = write(frame, name)
+        cores(16)
+        return written
+
+    monkeypatch.setattr(warc, "stored", then_more_cores)
+    cores(1)
+    found = warc.archive_and_read(table).collect()
+    kinds = Counter((row.record_type, row.payload_bytes, row.refers_to, row.valid) for row in found if row.payload_bytes in (0, None))
+    assert kinds == {("response", 0, None, True): 1, ("revisit", 0, 23, True): 31}
+    assert len(found) == 48 and all(row.valid for row in found)
