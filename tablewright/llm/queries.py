@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import (
     exact_dedup,
+    merkle,
     mixing,
+    neighbour_graph,
+    periodic_runs,
     quality_ranking,
     quality_rules,
     sentencepiece_bpe,
@@ -98,6 +101,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph.neighbours(table(spark, folder, "embeddings"), every=100, k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    repeating = docs.withColumn("text", periodic_runs.planted(F.col("text"), F.col("doc_id")))
+    return periodic_runs.digests(periodic_runs.detect(repeating, shortest=6, exponent=4))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    every_third = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    return merkle.manifest(table(spark, folder, "documents"), tampered=every_third).drop("copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality_ranking": op2_quality_ranking,
@@ -109,9 +127,80 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_neighbour_graph": op11_neighbour_graph,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle": op13_merkle,
 }
 
+
+
+def merkle_sql(group_levels: int = 8, upper_levels: int = 4) -> str:
+    """The tree level by level, for groups of up to ``8 ** group_levels`` rows; an entry per level and leaf."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    fields = " || ".join(field.format(name) for name in ("doc_id", "source", "lang", "n_chars"))
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])"
+    shift = "CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END"
+    parts = [
+        f"""t AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295, flatten({bits})), lambda crc, x: {shift}), 4294967295) AS crc,
+                   {fields} AS told, {field.format("text")} AS body, {field.format(small)} AS small
+            FROM documents
+        )""",
+        """e AS (
+            SELECT doc_id, lang, sha256(told || body) AS leaf,
+                   CASE WHEN crc % 3 = 0 THEN sha256(told || small) ELSE sha256(told || body) END AS changed
+            FROM t
+        )""",
+        """e0 AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, changed AS folded, '' AS proof
+            FROM e
+        )""",
+        "n0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM e0)",
+    ]
+
+    def climb(levels: int, at: int) -> int:
+        for k in range(at, at + levels):
+            run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+            parts.append(
+                f"""s{k} AS (
+                    SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                           coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+                    FROM n{k}
+                )"""
+            )
+            parts.append(
+                f"""n{k + 1} AS (
+                    SELECT g, i // 8 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+                           (n + 7) // 8 AS n
+                    FROM n{k} GROUP BY g, i // 8, n
+                )"""
+            )
+            parts.append(
+                f"""e{k + 1} AS (
+                    SELECT e{k}.* REPLACE (
+                        i // 8 AS i, proof || before || after AS proof,
+                        CASE WHEN n = 1 THEN folded ELSE sha256(before || folded || after) END AS folded
+                    )
+                    FROM e{k} JOIN (SELECT g, i, before, after, n FROM s{k}) USING (g, i)
+                )"""
+            )
+        return at + levels
+
+    top = climb(group_levels, 0)
+    parts += [
+        f"n{top + 1} AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM n{top})",
+        f"e{top + 1} AS (SELECT e.* REPLACE (0 AS g, e.g AS i), h AS subroot FROM e{top} AS e JOIN n{top} USING (g))",
+    ]
+    last = climb(upper_levels, top + 1)
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+        FROM e{last} JOIN (SELECT h FROM n{last}) ON true"""
+
+
 SQL: dict[str, str] = {
+    "op13_merkle": merkle_sql(),
     "op8_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
