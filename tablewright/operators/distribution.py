@@ -1,9 +1,13 @@
 """Exact quantiles, histograms and density curves per group.
 
-Facts of a group (counts, bounds, brackets, bins) are one row per group.  They meet the raw rows
-where these lie: few groups (``few_values``) are broadcast, and many take a plain join, which
-adaptive execution splits where one group dominates.  What is then grouped, by bin or by grid
-point, is combined before it is shuffled, so a fact never crosses the network row by row.
+One pass over the rows counts each group in cells by the magnitude of the value.  From the cells come the group's
+count, bounds and deviation, and for each wanted rank the cell that holds it, whose least and greatest value
+bracket the quantile; no estimate is involved.  Where a bracket is too wide, further passes count its
+sub-ranges and narrow it, until it is a single value or the result no longer depends on it.
+
+Facts of a group are one row per group.  They meet the raw rows where these lie: few groups are broadcast, and
+many take a plain join, which adaptive execution splits where one group dominates.  What is then grouped, by
+sub-range, bin or box, is combined before it is shuffled, so a fact never crosses the network row by row.
 """
 
 from __future__ import annotations
@@ -11,21 +15,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.joins import join_groups
-from tablewright.operators.windows import running_totals
+from tablewright.operators.joins import GROUPS, join_groups
+from tablewright.sources.intermediates import stored
 
 GRID_POINTS = 200
 QUARTILES = (0.25, 0.75)
-# Relative rank error of the sketch is 1 / ACCURACY; smaller groups need no sketch.
-ACCURACY = 10_000
-SMALL_GROUP = 10_000
-# A bracket is put in order in so many ranges.
+# Cells per factor of e, and sub-ranges of a bracket in one round.
+CELLS = 1024
 PIECES = 1024
-# Grid points summed side by side in one row of the aggregate.
-CHUNK = 25
+# Boxes of the density have this half-width, in bandwidths; further than the reach nothing is added.
+HALF_BOX = 1 / 16
+REACH = 24.0
+ERROR = 1e-9
 
 
 def present(frame: DataFrame, group: str, value: str) -> DataFrame:
@@ -34,89 +38,140 @@ def present(frame: DataFrame, group: str, value: str) -> DataFrame:
     return rows.filter(F.col("group").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def moments(values: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """Row count, bounds and sample deviation per group, and a bracket around each quantile.
+def _cell(value: Column) -> Column:
+    """A number that rises with the value, by its sign and the logarithm of its magnitude."""
+    magnitude = F.floor(F.log(F.greatest(F.abs(value), F.lit(1e-300))) * CELLS) + 1000 * CELLS
+    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(0)
+
 
-    A bracket is a pair of sketched quantiles three sketch errors below and above the wanted one.
-    A group of up to ``SMALL_GROUP`` rows has its whole range as bracket, as single ranks matter there.
-    ``group_quantiles`` verifies that the wanted ranks lie inside.
+def summary(values: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+    """Per group, from one pass: row count, bounds, sample deviation, and a bracket per wanted rank.
+
+    A quantile lies between the values of two ranks (``share`` of the way), so ``brackets`` has two for each
+    probability: the least and the greatest value of the cell that holds the rank.  The result is
+    written, as several later steps read it.
     """
-    margin = 3.0 / ACCURACY
-    ends = [end for p in probabilities for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketched = F.percentile_approx("value", ends, ACCURACY)
-    low, high = F.min("value"), F.max("value")
-    whole = F.array(*[bound for _ in probabilities for bound in (low, high)])
-    return values.groupBy("group").agg(
-        F.count("*").alias("total"),
-        low.alias("low"),
-        high.alias("high"),
-        F.stddev_samp("value").alias("deviation"),
-        F.when(F.count("*") > SMALL_GROUP, sketched).otherwise(whole).alias("brackets"),
+    cells = values.groupBy("group", _cell(F.col("value")).alias("cell")).agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("*")).alias("squares"),
+    )
+    whole = Window.partitionBy("group")
+    placed = cells.withColumns(
+        {
+            "upto": F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "total": F.sum("n").over(whole),
+            "middle": F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole),
+        }
+    )
+    ranks = [(p, step) for p in probabilities for step in (0, 1)]
+    rank = "least(total - 1, cast(floor(total * {0}D - {0}D) AS bigint) + {1})"
+    found = [
+        F.max(F.expr(f"CASE WHEN upto - n <= {rank.format(p, step)} AND {rank.format(p, step)} < upto THEN struct(low, high) END"))
+        for p, step in ranks
+    ]
+    spread = F.sum(F.expr("squares + n * (mean - middle) * (mean - middle)"))
+    grouped = placed.groupBy("group", "total").agg(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        spread.alias("_squares"),
+        *[cell.alias(f"_at{i}") for i, cell in enumerate(found)],
+    )
+    brackets = [
+        f"struct({i} AS at, {float(p)!r}D AS probability, {rank.format(p, step)} AS rank, _at{i}.low AS `from`, _at{i}.high AS `to`)"
+        for i, (p, step) in enumerate(ranks)
+    ]
+    return stored(
+        grouped.selectExpr(
+            "group",
+            "total",
+            "low",
+            "high",
+            "sqrt(try_divide(_squares, total - 1)) AS deviation",
+            f"array({', '.join(brackets)}) AS brackets",
+        ),
+        "group-summary",
     )
 
 
-def group_quantiles(
-    values: DataFrame, stats: DataFrame, few: bool, probabilities: Sequence[float] = QUARTILES
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row per group and probability.
+def few_groups(stats: DataFrame) -> bool:
+    """Whether a summary has few enough groups to be broadcast."""
+    return stats.count() <= GROUPS
 
-    ``stats`` comes from ``moments`` with the same probabilities and is handed on.  Values below a
-    bracket are only counted and those above are dropped.  The values inside, a small fixed share
-    of a large group, are counted, cut into ranges of the bracket and ranked range by range.  If
-    a wanted rank is not inside its bracket the query fails rather than give a wrong quantile.
+
+def narrowed(values: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
+    """The summary after one more pass, which counts ``PIECES`` sub-ranges of every bracket wider than a value.
+
+    Values below and above a bracket are counted too, so a rank is found wherever it lies, also outside a
+    bracket that was wrong.  The sub-range that holds the rank, from its least to its greatest value, is the
+    new bracket; least and greatest value of a bracket part, so every round narrows it.
     """
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("probability"),
-                F.col("brackets")[2 * i].alias("from"),
-                F.col("brackets")[2 * i + 1].alias("to"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    keys = ["group", "total", "low", "high", "deviation", "probability"]
-    below = F.lit(float("-inf"))
-    kept = (
-        join_groups(values, stats.select(*keys[:-1], asked.alias("asked")), "group", few)
-        .select(*keys[:-1], "value", F.inline("asked"))
-        .filter("value <= to")
-        .groupBy(*keys, "from", "to", F.expr("CASE WHEN value >= from THEN value ELSE double('-Infinity') END").alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    piece = F.expr(f"CASE WHEN value < from THEN -1 WHEN to > from THEN int(least({PIECES - 1}, (value - from) / (to - from) * {PIECES})) ELSE 0 END")
-    ranked = running_totals(kept, ["group", "probability"], ["value"], {"upto": F.col("n")}, [piece])
-    holds = "(upto - n <= {0} AND {0} < upto)"
-    lower, upper = holds.format("floor(place)"), holds.format("floor(place) + 1")
-    part = "place - floor(place)"
-    weight = f"CASE WHEN {lower} THEN 1 - ({part}) ELSE 0D END + CASE WHEN {upper} THEN {part} ELSE 0D END"
-    placed = ranked.withColumns(
-        {"place": F.expr("probability * (total - 1)"), "inside": F.col("value") > below}
+    open_ones = stats.select("group", F.expr("filter(brackets, b -> b.`from` < b.`to`)").alias("asked")).filter("size(asked) > 0")
+    share = "(value / 2 - `from` / 2) / (`to` / 2 - `from` / 2)"
+    piece = f"CASE WHEN value < `from` THEN -1 WHEN value > `to` THEN {PIECES} ELSE int(least({PIECES - 1}, {share} * {PIECES})) END"
+    counted = (
+        join_groups(values, open_ones, "group", few)
+        .select("group", "value", F.inline("asked"))
+        .groupBy("group", "at", "rank", F.expr(piece).alias("piece"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("from"), F.max("value").alias("to"))
     )
-    found = placed.groupBy(*keys).agg(
-        F.sum(F.expr(f"CASE WHEN inside THEN value * ({weight}) ELSE 0D END")).alias("quantile"),
-        F.sum(F.expr(f"CASE WHEN inside THEN {weight} ELSE 0D END")).alias("weights"),
+    before = Window.partitionBy("group", "at").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        counted.withColumn("upto", F.sum("n").over(before))
+        .filter("upto - n <= rank AND rank < upto")
+        .groupBy("group")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("from", "to")))).alias("found"))
     )
-    outside = F.raise_error(F.lit("a quantile lies outside its sketched bracket")).cast("double")
-    checked = F.when(F.abs(F.col("weights") - 1) < 1e-6, F.col("quantile")).otherwise(outside)
-    return found.select(*keys, checked.alias("quantile"))
+    better = "transform(brackets, b -> struct(b.at, b.probability, b.rank, coalesce(found[b.at].`from`, b.`from`) AS `from`, coalesce(found[b.at].`to`, b.`to`) AS `to`))"
+    joined = stats.join(F.broadcast(found) if few else found, "group", "left")
+    return stored(joined.withColumn("brackets", F.expr(better)).select(*stats.columns), "group-summary")
+
+
+def group_quantiles(values: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
+    """Exact, linearly interpolated quantiles: one row per group and probability of ``summary``.
+
+    Brackets are narrowed until each is one value.
+    """
+    while not stats.filter("exists(brackets, b -> b.`from` < b.`to`)").isEmpty():
+        stats = narrowed(values, stats, few)
+    pairs = stats.select("*", F.inline(F.expr("transform(filter(brackets, b -> b.at % 2 = 0), b -> struct(b.at, b.probability))")))
+    return pairs.selectExpr("group", "total", "low", "high", "deviation", "probability", f"{_between('at', 'from')} AS quantile")
+
+
+def _between(at: str, end: str) -> str:
+    """The quantile behind the brackets ``at`` and ``at + 1`` if both ranks had the values at this end."""
+    first, second = f"brackets[{at}].`{end}`", f"brackets[{at} + 1].`{end}`"
+    part = f"pmod(total * brackets[{at}].probability - brackets[{at}].probability, 1D)"
+    return f"({first} * (1 - {part}) + {second} * {part})"
 
 
 def automatic_bins(values: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
     """Number, first edge and width of bins: the finer of the Sturges and Freedman-Diaconis rules.
 
     With no spread between the quartiles Sturges decides alone; with no spread at all there is
-    one bin of width 1 around the value.
+    one bin of width 1 around the value.  The number of bins falls as the quartiles part, so it is certain
+    once both ends of their brackets give the same; only groups where they differ need another pass.
+    ``stats`` is a summary with the quartiles.
     """
-    quartiles = (
-        group_quantiles(values, stats, few)
-        .groupBy("group", "total", "low", "high", "deviation")
-        .agg(F.expr("max(quantile) - min(quantile)").alias("iqr"))
-    )
+    while True:
+        ends = stats.selectExpr(
+            "*",
+            f"greatest({_between('2', 'from')} - {_between('0', 'to')}, 0D) AS least_iqr",
+            f"{_between('2', 'to')} - {_between('0', 'from')} AS most_iqr",
+        )
+        bins = ends.selectExpr("*", f"{_bins('least_iqr')} AS bins", f"{_bins('most_iqr')} AS fewest")
+        certain = "bins = fewest AND (least_iqr > 0 OR most_iqr = 0)"
+        if bins.filter(f"NOT ({certain})").isEmpty():
+            return _edges(bins.drop("least_iqr", "most_iqr", "fewest"))
+        stats = narrowed(values, stats, few)
+
+
+def _bins(iqr: str) -> str:
     sturges = "ceil(log2(cast(total AS double)) + 1)"
-    freedman = "ceil(try_divide(high - low, 2 * iqr * pow(cast(total AS double), -1D / 3)))"
-    bins = quartiles.selectExpr("*", f"CASE WHEN low = high THEN 1L ELSE greatest({sturges}, {freedman}) END AS bins")
-    return _edges(bins)
+    freedman = f"ceil(try_divide(high - low, 2 * {iqr} * pow(cast(total AS double), -1D / 3)))"
+    return f"CASE WHEN low = high THEN 1L ELSE greatest({sturges}, {freedman}) END"
 
 
 def _edges(bins: DataFrame) -> DataFrame:
@@ -156,6 +211,18 @@ def histogram(values: DataFrame, binned: DataFrame, few: bool) -> DataFrame:
     )
 
 
+def terms(error: float = ERROR) -> int:
+    """How many moments keep the relative error of every contribution within ``error``.
+
+    At a distance of y bandwidths, what the moments from p on would add is at most (y r)**p / p! * exp(2 y r) of
+    the contribution itself, r being the half-width of a box; y is at most the reach.
+    """
+    reach, p = REACH * HALF_BOX, 1
+    while reach**p / math.factorial(p) * math.exp(2 * reach) > error:
+        p += 1
+    return p
+
+
 def density(
     values: DataFrame,
     stats: DataFrame,
@@ -163,7 +230,8 @@ def density(
     few: bool,
     points: int = GRID_POINTS,
     bandwidth: float | None = None,
-    reach: float | None = None,
+    reach: float = REACH,
+    error: float = ERROR,
 ) -> DataFrame:
     """Gaussian density per group on an even grid from lowest to highest value.
 
@@ -171,25 +239,41 @@ def density(
     deviation.  The curve is scaled to the area of the histogram, so both share one axis.  Groups
     with fewer than two rows or without spread have no curve.
 
-    Every value adds to every grid point, unless ``reach`` limits it to so many bandwidths.  The
-    contributions are summed in the stage that reads the values, before anything is shuffled.
+    A fast Gauss transform: values fall into boxes an eighth of a bandwidth wide, and a box keeps the
+    moments of its values, weighted by their kernel at the middle of the box, which are summed in the stage that reads
+    the values.  From the moments follows what the box adds to each grid point.  Every contribution is
+    exact to the relative ``error``.  Boxes further than ``reach`` bandwidths from a point add nothing to
+    it; at the default of 24 that is less than 1e-125 of a value's own peak.
     """
+    if not 0 < reach <= REACH:
+        raise ValueError(f"reach must be above 0 and at most {REACH}")
     factor = repr(float(bandwidth)) + "D" if bandwidth else "pow(cast(total AS double), -0.2D)"
     shape = ("group", "low", f"deviation * {factor} AS h", f"(high - low) / {points - 1} AS step")
     spread = "total > 1 AND deviation > 0"
-    chunks = -(-points // CHUNK)
-    away = f"((low + (chunk * {CHUNK} + {{0}}) * step - value) / h)"
-    kernel = f"exp(-0.5D * {away} * {away})"
-    if reach is not None:
-        kernel = f"CASE WHEN abs({away}) <= {float(reach)}D THEN {kernel} ELSE 0D END"
-    masses = [F.sum(F.expr(kernel.format(k))).alias(f"m{k}") for k in range(CHUNK)]
-    sums = (
+    box, count = 2 * HALF_BOX, terms(error)
+    powers = ["exp(-0.5D * t * t)"]
+    for k in range(1, count):
+        powers.append(f"m{k - 1} * t / {k}")
+    moments = (
         join_groups(values, stats.filter(spread).selectExpr(*shape), "group", few)
-        .selectExpr("group", "value", "low", "step", "h", f"explode(sequence(0L, {chunks - 1}L)) AS chunk")
-        .groupBy("group", "chunk")
-        .agg(*masses)
-        .select("group", "chunk", F.posexplode(F.array(*[f"m{k}" for k in range(CHUNK)])).alias("place", "mass"))
-        .selectExpr("group", f"chunk * {CHUNK} + place AS point", "mass")
+        .selectExpr("group", "low", "step", "h", "(value - low) / h AS place", f"floor((value - low) / h / {box}D) AS box")
+        .selectExpr("group", "low", "step", "h", "box", f"place - (box + 0.5D) * {box}D AS t")
+    )
+    for k, power in enumerate(powers):
+        moments = moments.withColumn(f"m{k}", F.expr(power))
+    summed = moments.groupBy("group", "step", "h", "box").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(count)])
+    middle, far = f"(box + 0.5D) * {box}D", f"{float(reach)!r}D"
+    first = f"cast(greatest(0, ceil(({middle} - {far}) * h / step)) AS bigint)"
+    last = f"cast(least({points - 1}, floor(({middle} + {far}) * h / step)) AS bigint)"
+    series = f"m{count - 1}"
+    for k in reversed(range(count - 1)):
+        series = f"({series} * y + m{k})"
+    sums = (
+        summed.filter(f"{first} <= {last}")
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS point")
+        .withColumn("y", F.expr(f"point * step / h - {middle}"))
+        .groupBy("group", "point")
+        .agg(F.sum(F.expr(f"exp(-0.5D * y * y) * {series}")).alias("mass"))
     )
     grid = binned.filter(spread).selectExpr(*shape, "width").selectExpr("*", f"explode(sequence(0L, {points - 1}L)) AS point")
     return grid.join(sums, ["group", "point"], "left").selectExpr(

@@ -19,7 +19,7 @@ from tablewright.operators.filters import (
 )
 from tablewright.operators.joins import keep_known
 from tablewright.operators.reshape import labelled_counts
-from tablewright.operators.windows import running_totals
+from tablewright.operators.windows import keyed, running_totals
 
 # Race outcomes that count as finishing, and the podium labels.
 FINISHED = ("Finished", "+1 Lap", "+2 Laps", "+3 Laps", "+4 Laps")
@@ -160,16 +160,14 @@ def season_progression(
 ) -> DataFrame:
     """Running points and race number per driver and season.
 
-    Order is race date, then race, then ``tie_break``, which must make it total.  Points are summed per
-    driver and race day first, at most 366 days a season, then within the day.
+    Order is race date, then race, then ``tie_break``, which must make it total.  The joined rows are written
+    once, and totals are made from that copy.
     """
     rows = _race_points(results, races, constructors, driver_id, constructor_id, tie_break)
     return running_totals(
-        rows,
-        partition=["driverId", "year"],
+        keyed(rows, ["driverId", "year"]),
         order=["date", "raceId", *tie_break],
         totals={"cumulative_points": F.col("points"), "index": F.lit(1)},
-        block=[F.col("date")],
     )
 
 

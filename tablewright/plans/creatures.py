@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablewright.functions.numbers import ratio
 from tablewright.operators import distribution as dist
 from tablewright.operators.filters import as_list, optional_in
-from tablewright.operators.joins import few_values
 from tablewright.operators.reshape import ring, stacked
 
 # The radar's spokes, and the attribute choices with the column(s) behind them.
@@ -62,7 +61,8 @@ def with_attribute(creatures: DataFrame, attribute: str, name: str = "attribute"
 
 def _binned(frame: DataFrame, group: str, value: str, bins: int | None):
     values = dist.present(frame, group, value)
-    stats, few = dist.moments(values), few_values(values, "group")
+    stats = dist.summary(values)
+    few = dist.few_groups(stats)
     binned = dist.automatic_bins(values, stats, few) if bins is None else dist.fixed_bins(stats, bins)
     return values, stats, binned, few
 
@@ -70,7 +70,10 @@ def _binned(frame: DataFrame, group: str, value: str, bins: int | None):
 def attribute_histogram(
     creatures: DataFrame, attribute: str, types: Iterable[str] | None = None, bins: int | None = None
 ) -> DataFrame:
-    """Histogram of an attribute per type, each with its own automatic bins."""
+    """Histogram of an attribute per type, each with its own automatic bins.
+
+    Building the plan runs the pass that summarises the types, and further ones where bins are not certain.
+    """
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
     values, _, binned, few = _binned(rows, "Type 1", "attribute", bins)
     return dist.histogram(values, binned, few)
@@ -84,7 +87,10 @@ def attribute_density(
     points: int = dist.GRID_POINTS,
     bandwidth: float | None = None,
 ) -> DataFrame:
-    """Density curve of an attribute per type, on the scale of its histogram."""
+    """Density curve of an attribute per type, on the scale of its histogram.
+
+    Runs the same passes as ``attribute_histogram`` while the plan is built.
+    """
     rows = with_attribute(optional_in(creatures, "Type 1", types), attribute)
     return dist.density(*_binned(rows, "Type 1", "attribute", bins), points, bandwidth)
 

@@ -12,7 +12,7 @@ from tablewright.functions.text import contains_any
 from tablewright.operators.aggregates import ordered_values
 from tablewright.operators.filters import optional_eq, sorted_selection
 from tablewright.operators.joins import join_splittable
-from tablewright.operators.windows import id_block, previous_value, running_totals
+from tablewright.operators.windows import keyed, previous_value, running_totals
 
 # Status texts that hint at an incident.
 INCIDENTS = ("crash", "spun")
@@ -47,16 +47,12 @@ def qualifying_vs_race(
 def lap_analysis(lap_times: DataFrame) -> DataFrame:
     """Every lap with the place held one lap earlier and its rank by lap time.
 
-    Laps are cut by ranges of lap numbers, and by ranges of 65,536 and then 256 milliseconds.
+    Equal lap times are ranked by lap.  Both windows share one shuffle; a start with more laps than a task's
+    share is cut into blocks, for each of the two orders.
     """
-    with_previous = previous_value(lap_times, PAIR, "lap", "position", "prev_position", id_block("lap"))
-    return running_totals(
-        with_previous,
-        partition=PAIR,
-        order=["milliseconds", "lap"],
-        totals={"fastest_lap_rank": F.lit(1)},
-        block=[id_block("milliseconds", 16), id_block("milliseconds", 8)],
-    )
+    laps = keyed(lap_times, PAIR, store=False)
+    with_previous = previous_value(laps, ["lap", "milliseconds"], "position", "prev_position")
+    return running_totals(laps.with_rows(with_previous), ["milliseconds", "lap"], {"fastest_lap_rank": F.lit(1)})
 
 
 def lap_summary(lap_times: DataFrame) -> DataFrame:

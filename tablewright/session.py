@@ -47,10 +47,10 @@ def _local_root() -> str:
     return root
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path ``name`` below the folder every executor can reach.
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediates, in a folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session, whose executors live in
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a local-mode session, whose executors live in
     the driver's own process, falls back to a temporary folder, removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,4 +58,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tablewright-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path ``name`` in the application's folder, which ``remove_intermediates`` drops as a whole."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"

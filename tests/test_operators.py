@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tablewright.functions import dates, numbers, text
 from tablewright.operators import filters, joins, reshape, windows
-from tablewright.plans import cards
+from tablewright.plans import cards, drilldown
 from tablewright.schemas import PARAMETER_ROWS
 from tablewright.session import shared_folder
 from tablewright.sources import catalog, files, options, preview
@@ -60,16 +60,22 @@ def test_sql_binds_values(spark, people):
     assert names(catalog.query(spark, statement, {"name": "' OR 1=1 --"}, df=people)) == []
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_running_totals_agree_with_a_plain_loop(spark, levels):
+@pytest.fixture(params=[65_536, 20])
+def block_rows(request, monkeypatch):
+    """Whole keys, and blocks of 20 rows or what the number of tasks makes of them."""
+    monkeypatch.setattr(windows, "BLOCK_ROWS", request.param)
+    return request.param
+
+
+def test_running_totals_agree_with_a_plain_loop(spark, block_rows):
     rows = [
         ("big" if i % 3 else "small", None if i % 50 == 0 else i % 7, i * 7919 % 1009, None if i % 13 == 0 else float(i % 11))
         for i in range(300)
     ]
-    frame = spark.createDataFrame(rows, "k STRING, d INT, o INT, v DOUBLE")
-    block = [F.col("d"), windows.id_block("o", 8), windows.id_block("o", 4)][:levels]
-    totals = {"total": F.col("v"), "place": F.lit(1)}
-    got = windows.running_totals(frame, ["k"], ["d", "o"], totals, block).collect()
+    frame = spark.createDataFrame([*rows, (None, 1, 1, 1.0)], "k STRING, d INT, o INT, v DOUBLE")
+    by = windows.keyed(frame, ["k"])
+    assert (by.large is None) == (block_rows > 300)
+    got = windows.running_totals(by, ["d", "o"], {"total": F.col("v"), "place": F.lit(1)}).collect()
     expected = {}
     for key in ("big", "small"):
         total = None
@@ -80,20 +86,54 @@ def test_running_totals_agree_with_a_plain_loop(spark, levels):
     assert {(r["k"], r["o"]): (r["total"], r["place"]) for r in got} == expected
 
 
-def test_previous_value_crosses_blocks(spark):
-    frame = spark.range(1, 50).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 5 != 0, F.col("id")).alias("v"))
-    got = windows.previous_value(frame, ["k"], "id", "v", "before", windows.id_block("id", 3)).collect()
+def test_previous_value_crosses_blocks(spark, block_rows):
+    frame = spark.range(1, 200).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 5 != 0, F.col("id")).alias("v"))
+    got = windows.previous_value(windows.keyed(frame, ["k"]), ["id"], "v", "before").collect()
     assert {r["id"]: r["before"] for r in got} == {
-        i: (None if i == 1 or (i - 1) % 5 == 0 else i - 1) for i in range(1, 50)
+        i: (None if i == 1 or (i - 1) % 5 == 0 else i - 1) for i in range(1, 200)
     }
 
 
-def test_running_totals_of_doubles_with_a_dominant_key(spark):
+def test_a_dominant_key_with_far_apart_order_values(spark, monkeypatch):
+    """Two thirds of the rows have one key, ordered by random 64-bit numbers, some of them missing."""
+    monkeypatch.setattr(windows, "BLOCK_ROWS", 1000)
+    frame = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 > 0 THEN 0 ELSE id + 1 END AS k", "CASE WHEN id % 1000 = 1 THEN NULL ELSE xxhash64(id) END AS o", "id", "id AS v"
+    )
+    by = windows.keyed(frame, ["k"])
+    (row,) = by.large.collect()
+    assert row["k"] == 0 and row["__blocks"] >= 2
+    got = [r for r in windows.previous_value(by, ["o", "id"], "v", "before").collect() if r["k"] == 0]
+    mine = sorted(got, key=lambda r: (r["o"] is None, r["o"] or 0, r["id"]))
+    assert [r["before"] for r in mine] == [None, *[r["v"] for r in mine[:-1]]]
+    ranked = windows.running_totals(by, ["o", "id"], {"rank": F.lit(1)}).collect()
+    assert sorted(r["rank"] for r in ranked if r["k"] == 0) == list(range(1, 20_001))
+    borders = windows._borders(by, ["o", "id"])
+    sizes = windows._in_blocks(by, by.rows, borders, ["o", "id"], "inner").groupBy("__block").count().collect()
+    assert len(sizes) == row["__blocks"] and max(r["count"] for r in sizes) < 2 * min(r["count"] for r in sizes)
+
+
+def test_a_million_equal_times_of_one_start(spark):
+    laps = spark.range(1_000_000).selectExpr(
+        "1 AS raceId", "1 AS driverId", "int(id) AS lap", "int(id % 20) AS position", "90000 AS milliseconds", "'1:30' AS time"
+    )
+    by = windows.keyed(laps, ["raceId", "driverId"], store=False)
+    assert by.large.first()["__blocks"] == by.tasks
+    borders = windows._borders(by, ["milliseconds", "lap"])
+    sizes = windows._in_blocks(by, by.rows, borders, ["milliseconds", "lap"], "inner").groupBy("__block").count().collect()
+    assert len(sizes) == by.tasks and max(r["count"] for r in sizes) < 2 * 1_000_000 / by.tasks
+    wrong = drilldown.lap_analysis(laps).filter(
+        "fastest_lap_rank != lap + 1 OR NOT (prev_position <=> CASE WHEN lap > 0 THEN (lap - 1) % 20 END)"
+    )
+    assert wrong.count() == 0
+
+
+def test_running_totals_of_doubles_with_a_dominant_key(spark, block_rows):
     """A third of all rows has one key; totals stay within the stated rounding of an exact sum."""
     frame = spark.range(30_000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS o", "exp(sin(id) * 20) AS v"
     )
-    rows = windows.running_totals(frame, ["k"], ["o"], {"total": F.col("v")}, [windows.id_block("o", 10)]).collect()
+    rows = windows.running_totals(windows.keyed(frame, ["k"]), ["o"], {"total": F.col("v")}).collect()
     mine = sorted((row["o"], row["v"], row["total"]) for row in rows if row["k"] == 0)
     assert len(rows) == 30_000 and len(mine) == 10_000
     exact = []
@@ -103,6 +143,18 @@ def test_running_totals_of_doubles_with_a_dominant_key(spark):
             assert total == pytest.approx(math.fsum(exact), rel=len(exact) * 2**-53)
 
 
+def test_intermediates_can_be_removed(spark):
+    from pathlib import Path
+
+    from tablewright.session import run_folder
+    from tablewright.sources.intermediates import remove_intermediates, stored
+
+    assert stored(spark.range(3), "three").count() == 3
+    assert Path(run_folder(spark)).exists()
+    remove_intermediates(spark)
+    assert not Path(run_folder(spark)).exists()
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_group_facts_meet_every_row(spark, monkeypatch, limit):
     monkeypatch.setattr(joins, "GROUPS", limit)

@@ -99,7 +99,7 @@ def test_density_is_a_scaled_gaussian_sum(table):
 def test_density_integrates_to_about_the_area(spark):
     frame = spark.range(4000).select(F.lit("g").alias("Type 1"), (F.sin(F.col("id") * 7.13) + F.sin(F.col("id") * 3.7) + F.sin(F.col("id") * 1.9)).alias("HP"))
     values = dist.present(frame, "Type 1", "HP")
-    stats = dist.moments(values)
+    stats = dist.summary(values)
     rows = dist.density(values, stats, dist.fixed_bins(stats, 20), True, points=400).collect()
     width = stats.first()
     step = (width["high"] - width["low"]) / 399
@@ -107,35 +107,87 @@ def test_density_integrates_to_about_the_area(spark):
     assert area == pytest.approx(4000 * (width["high"] - width["low"]) / 20, rel=0.1)
 
 
+PROBABILITIES = (0.0, 0.25, 0.5, 0.75, 1.0)
+SHAPES = {
+    "wide": "exp(sin(id * 1.7) * 300) * (id % 3 - 1)",
+    "narrow": "1 + sin(id) * 1e-9",
+    "ties": "double(id % 7)",
+    "equal": "42D",
+    "heavy": "pow(id + 1, -40D)",
+}
+
+
 @pytest.mark.parametrize("few", [True, False])
-def test_quantiles_are_exact_when_sketched(spark, monkeypatch, few):
-    monkeypatch.setattr(dist, "SMALL_GROUP", 100)
-    monkeypatch.setattr(dist, "ACCURACY", 200)
-    frame = spark.range(20000).select(
-        (F.col("id") % 2).cast("string").alias("g"), F.exp(F.sin(F.col("id") * 1.7) * 8).alias("v")
-    )
-    probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
+@pytest.mark.parametrize("pieces", [2, 1024])
+def test_quantiles_are_exact(spark, monkeypatch, few, pieces):
+    monkeypatch.setattr(dist, "PIECES", pieces)
+    monkeypatch.setattr(dist, "CELLS", 1 if pieces == 2 else 1024)
+    shapes = SHAPES if pieces > 2 else {"ties": SHAPES["ties"], "small": "CASE WHEN id < 40 THEN sin(id) END"}
+    frame = None
+    for name, value in shapes.items():
+        part = spark.range(3000).selectExpr(f"'{name}' AS g", f"{value} AS v")
+        frame = part if frame is None else frame.unionByName(part)
     rows = dist.present(frame, "g", "v")
-    got = dist.group_quantiles(rows, dist.moments(rows, probabilities), few, probabilities).collect()
+    got = dist.group_quantiles(rows, dist.summary(rows, PROBABILITIES), few).collect()
     values = {}
-    for row in frame.collect():
-        values.setdefault(row["g"], []).append(row["v"])
-    assert len(got) == 10
+    for row in rows.collect():
+        values.setdefault(row["group"], []).append(row["value"])
+    assert len(got) == len(PROBABILITIES) * len(shapes)
     for row in got:
-        assert row["quantile"] == pytest.approx(np.quantile(values[row["group"]], row["probability"]), rel=1e-12)
+        assert row["quantile"] == pytest.approx(np.quantile(values[row["group"]], row["probability"]), rel=1e-12, abs=1e-300)
 
 
-def test_a_rank_outside_its_bracket_is_an_error(spark):
+@pytest.mark.parametrize("wrong", [(600.0, 700.0), (-5.0, -4.0), (2000.0, 3000.0), (0.0, 0.5)])
+def test_a_rank_outside_its_bracket_is_found(spark, wrong):
     rows = dist.present(spark.range(1000).selectExpr("'g' AS g", "double(id) AS v"), "g", "v")
-    narrow = dist.moments(rows, (0.5,)).withColumn("brackets", F.array(F.lit(600.0), F.lit(700.0)))
-    with pytest.raises(Exception, match="outside its sketched bracket"):
-        dist.group_quantiles(rows, narrow, True, (0.5,)).collect()
+    lead = f"transform(brackets, b -> struct(b.at, b.probability, b.rank, {wrong[0]}D AS `from`, {wrong[1]}D AS `to`))"
+    misled = dist.summary(rows, (0.5, 0.9)).withColumn("brackets", F.expr(lead))
+    got = {row["probability"]: row["quantile"] for row in dist.group_quantiles(rows, misled, True).collect()}
+    assert got == pytest.approx({0.5: 499.5, 0.9: 899.1})
+
+
+def test_a_summary_is_one_pass(spark):
+    frame = spark.createDataFrame([("a", 1e9 + i % 5) for i in range(100)] + [("b", 3.0), ("c", None), (None, 1.0)], "g STRING, v DOUBLE")
+    rows = {row["group"]: row for row in dist.summary(dist.present(frame, "g", "v")).collect()}
+    assert sorted(rows) == ["a", "b"]
+    assert rows["a"]["deviation"] == pytest.approx(np.std([i % 5 for i in range(100)], ddof=1), rel=1e-8)
+    assert (rows["a"]["total"], rows["a"]["low"], rows["a"]["high"]) == (100, 1e9, 1e9 + 4)
+    assert rows["b"]["deviation"] is None and rows["b"]["total"] == 1
+
+
+def test_bins_need_another_pass_only_where_uncertain(spark, monkeypatch):
+    passes = []
+    narrowed = dist.narrowed
+    monkeypatch.setattr(dist, "narrowed", lambda *given: passes.append(1) or narrowed(*given))
+    frame = spark.range(5000).selectExpr("'g' AS g", "exp(sin(id)) AS v")
+    values = dist.present(frame, "g", "v")
+    plain = np.histogram_bin_edges([row["value"] for row in values.collect()], bins="auto")
+    for cells in (1024, 1):
+        monkeypatch.setattr(dist, "CELLS", cells)
+        stats = dist.summary(values)
+        (row,) = dist.automatic_bins(values, stats, True).collect()
+        assert row["bins"] == len(plain) - 1 and row["start"] == plain[0]
+        assert bool(passes) == (cells == 1)
+
+
+@pytest.mark.parametrize("error", [1e-4, 1e-9, 1e-13])
+def test_density_keeps_its_error(spark, error):
+    frame = spark.range(2000).selectExpr("'g' AS g", "CASE WHEN id = 0 THEN 30 ELSE sin(id) + sin(id * 3.3) * 2 END AS v")
+    values = dist.present(frame, "g", "v")
+    stats = dist.summary(values)
+    rows = dist.density(values, stats, dist.fixed_bins(stats, 20), True, error=error).collect()
+    data = np.array([row["value"] for row in values.collect()])
+    h = data.std(ddof=1) * len(data) ** -0.2
+    for row in rows:
+        exact = np.exp(-0.5 * ((row["x"] - data) / h) ** 2).sum() * (data.max() - data.min()) / 20 / (h * math.sqrt(2 * math.pi))
+        if exact > 1e-100:
+            assert row["density"] == pytest.approx(exact, rel=max(error, 1e-12))
 
 
 def test_every_value_reaches_every_point(spark):
     frame = spark.createDataFrame([("g", float(v)) for v in [0, 1, 2, 3, 1000]], "g STRING, v DOUBLE")
     values = dist.present(frame, "g", "v")
-    stats = dist.moments(values)
+    stats = dist.summary(values)
     whole = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), True, bandwidth=0.02).collect()}
     near = {r["point"]: r["density"] for r in dist.density(values, stats, dist.fixed_bins(stats, 5), True, bandwidth=0.02, reach=3).collect()}
     assert all(value > 0 for point, value in whole.items() if point < 30) and near[29] == 0
