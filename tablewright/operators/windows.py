@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.filters import with_keys
-from tablewright.sources.intermediates import stored
+from tablewright.sources.intermediates import stored, stored_and_counted
 
 # No key of up to so many rows is cut.
 BLOCK_ROWS = 65_536
@@ -54,11 +54,13 @@ def keyed(frame: DataFrame, keys: Sequence[str], store: bool = True) -> Keyed:
     """
     spark = frame.sparkSession
     rows = with_keys(frame, keys)
-    if store:
-        rows = stored(rows, "keyed-rows")
-    counts = stored(rows.groupBy(*keys).agg(F.count("*").alias("__rows")), "key-counts")
-    total = counts.agg(F.sum("__rows")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if store:
+        rows, total = stored_and_counted(rows, "keyed-rows")
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    else:
+        counts = stored(rows.groupBy(*keys).agg(F.count("*").alias("__rows")), "key-counts")
+        total = counts.agg(F.sum("__rows")).first()[0] or 0
     share = max(BLOCK_ROWS, math.ceil(total / tasks))
     over = counts.filter(F.col("__rows") > share).withColumn("__blocks", F.ceil(F.col("__rows") / share).cast("int"))
     found = over.drop("__rows").collect() if total > share else []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.session import run_folder, shared_folder
 
@@ -14,6 +17,13 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def stored_and_counted(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The frame as written, and how many rows were, counted on the way."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    rows = stored(frame.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return rows, seen.get["rows"]
+
+
 def remove_intermediates(spark: SparkSession) -> None:
     """Drop everything this application has written to its shared folder; results read later are gone with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
