@@ -335,6 +335,9 @@ def analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s11_option_snapshot": _query(_option_snapshot),
         "s12_random_rows": _query(lambda t: preview.random_rows(t["orders"], "o_orderkey", 5, seed=1)),
         "s13_page": _query(lambda t: preview.page(t["orders"], ["o_orderdate", "o_orderkey"], 20, 10)),
+        "s13_page_after": _query(
+            lambda t: preview.page_after(t["orders"], ["o_orderdate", "o_orderkey"], (datetime(1998, 3, 1), 500), 10)
+        ),
         # filters and scalar functions
         "p06_parsed_dates": _query(_parsed_dates),
         "p07_option_list": _query(lambda t: options.option_list(t["orders"], "o_custkey")),
@@ -363,13 +366,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The text-corpus queries, where that subpackage is installed."""
+    """The text-corpus queries, where that subpackage and what it needs are installed."""
     try:
         import corpus_pipeline
         from tablewright.llm import queries as corpus
-    except ImportError as missing:
-        if missing.name not in ("corpus_pipeline", "tablewright.llm"):
-            raise
+    except ImportError:
         return {}
     return corpus.QUERIES | {"pipeline": corpus_pipeline.run}
 
@@ -377,8 +378,6 @@ def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _corpus_sql() -> dict[str, str]:
     try:
         from tablewright.llm import queries as corpus
-    except ImportError as missing:
-        if missing.name != "tablewright.llm":
-            raise
+    except ImportError:
         return {}
     return corpus.SQL

@@ -632,6 +632,12 @@ def _lookup() -> dict[str, tuple[str, str, str]]:
             "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 10 OFFSET 20",
             "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:n o_orderdate:d o_orderpriority:s",
         ),
+        "s13_page_after": (
+            "",
+            """SELECT * FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-03-01', 500)
+               ORDER BY o_orderdate, o_orderkey LIMIT 10""",
+            "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:n o_orderdate:d o_orderpriority:s",
+        ),
         "p06_parsed_dates": (
             "",
             "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS parsed FROM orders",

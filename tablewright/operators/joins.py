@@ -7,15 +7,19 @@ those cannot help with is a key that owns a large share of one side, hence the s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.filters import with_keys
 
 GROUPS = 10_000
 CODES = 1000
+# A Bloom filter has so many bits per id and hashes, and at most so many 64-bit words (8 MB).
+ID_BITS = 16
+ID_HASHES = 4
+ID_WORDS = 1 << 20
 
 
 def keep_existing(frame: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -37,6 +41,43 @@ def keep_known(frame: DataFrame, dimension: DataFrame, on: str) -> DataFrame:
     return frame.join(dimension.select(on), on, "left_semi")
 
 
+def id_filter(ids: DataFrame, key: str, rows: int) -> Callable[[Column], Column] | None:
+    """A test that every id of ``ids`` passes and about one in 400 others: a Bloom filter for ``rows`` ids.
+
+    It is a scalar subquery, so it runs where a fact is scanned, before its shuffle; an exact join has to follow.
+    The filter is one array, sized by the count.  More ids than ``ID_WORDS`` can hold get none, as nearly all
+    rows would pass.
+    """
+    words = 1
+    while words * 64 < rows * ID_BITS:
+        words *= 2
+    if words > ID_WORDS:
+        return None
+    kind = ids.schema[key].dataType
+
+    def places(column: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(column.cast(kind), F.lit(i)), F.lit(words * 64)) for i in range(ID_HASHES)]
+
+    word = lambda place: F.shiftright(place, 6)
+    bit = lambda place: place.bitwiseAND(F.lit(63)).cast("int")
+    set_bits = (
+        ids.select(F.explode(F.array(*places(F.col(key)))).alias("place"))
+        .groupBy(word(F.col("place")).alias("id"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("place")))).alias("bits"))
+    )
+    every = ids.sparkSession.range(words).join(F.broadcast(set_bits), "id", "left")
+    rows_of = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    whole = every.agg(rows_of.alias("words")).select(F.col("words.bits").alias("words"))
+
+    def might_hold(column: Column) -> Column:
+        test = F.lit(True)
+        for place in places(column):
+            test = test & (F.getbit(F.get(whole.scalar(), word(place).cast("int")), bit(place)) == 1)
+        return test
+
+    return might_hold
+
+
 def with_codes(frame: DataFrame, dimension: DataFrame, on: str, key: str, chosen: Sequence) -> DataFrame:
     """Rows of ``frame`` whose code ``on`` is in ``dimension[key]`` and, if any is chosen, among ``chosen``.
 

@@ -7,7 +7,7 @@ sides that are unique on the admission id and share its partitioning.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.dates import month_start
 from tablewright.functions.numbers import leading_digit, ratio
 from tablewright.operators.filters import as_list, recent_partitions, recent_years
-from tablewright.operators.joins import join_splittable, keep_existing, with_codes
+from tablewright.operators.joins import id_filter, join_splittable, keep_existing, keep_known, with_codes
+from tablewright.sources.intermediates import stored_and_counted
 
 # Tens digit of discharge codes that end a stay, and the category labels.
 DISCHARGE_CODES = (1, 4, 5, 6)
@@ -28,22 +29,30 @@ def watermark_year(watermarks: DataFrame, column: str = "base_origem", value: st
     return watermarks.filter(F.col(column) == value).agg(F.max("dt_max_ano").alias("year"))
 
 
-def with_diagnosis(
-    admissions: DataFrame, bridge: DataFrame, diagnoses: DataFrame, cids: Iterable[str]
-) -> DataFrame:
-    """Rows of admissions that have one of the chosen diagnoses; the choice is mandatory."""
-    chosen = as_list(cids)
-    if not chosen:
-        return admissions.filter(F.lit(False))
-    return keep_existing(admissions, with_codes(bridge, diagnoses, "cid", "id_cid", chosen), "id_aih")
+@dataclass(frozen=True)
+class Cohort:
+    """Who has a chosen diagnosis and a chosen procedure.
 
+    ``diagnosed`` has each admission id once and ``treated`` many times; without a diagnosis chosen the cohort is
+    empty.  ``might_hold`` tests an id against a Bloom filter of the rarer of the two.
+    """
 
-def with_procedure(
-    admissions: DataFrame, bridge: DataFrame, procedures: DataFrame, chosen: Iterable[str] = ()
-) -> DataFrame:
-    """Rows of admissions with a chosen procedure; without a choice, with any known one."""
-    treated = with_codes(bridge, procedures, "id_procedimento", "id_procedimento", as_list(chosen))
-    return keep_existing(admissions, treated, "id_aih")
+    diagnosed: DataFrame | None
+    treated: DataFrame | None
+    might_hold: Callable[[Column], Column] | None
+
+    def likely(self, rows: DataFrame) -> DataFrame:
+        """Rows that may belong to the cohort, cut where they are read."""
+        if self.diagnosed is None:
+            return rows.filter(F.lit(False))
+        return rows if self.might_hold is None else rows.filter(self.might_hold(F.col("id_aih")))
+
+    def members(self, rows: DataFrame) -> DataFrame:
+        """Which of the likely rows, unique by admission id, do belong to it."""
+        if self.diagnosed is None:
+            return rows.filter(F.lit(False))
+        marked = keep_known(rows, self.diagnosed, "id_aih")
+        return keep_existing(marked, self.likely(self.treated), "id_aih")
 
 
 @dataclass(frozen=True)
@@ -57,9 +66,22 @@ class Lake:
     diagnoses: DataFrame
     procedures: DataFrame
 
-    def in_cohort(self, rows: DataFrame, cids: Iterable[str], procedures: Iterable[str]) -> DataFrame:
-        marked = with_diagnosis(rows, self.diagnosis_bridge, self.diagnoses, cids)
-        return with_procedure(marked, self.procedure_bridge, self.procedures, procedures)
+    def cohort(self, cids: Iterable[str], procedures: Iterable[str]) -> Cohort:
+        """Admissions with one of ``cids``, which are mandatory, and one of ``procedures``, or any known one.
+
+        Building the plan writes the distinct ids of the chosen diagnoses, which counts them, and counts the rows of
+        the chosen procedures; without a choice of those the diagnoses are taken as the rarer.
+        """
+        cids, procedures = as_list(cids), as_list(procedures)
+        if not cids:
+            return Cohort(None, None, None)
+        marked = with_codes(self.diagnosis_bridge, self.diagnoses, "cid", "id_cid", cids)
+        diagnosed, n = stored_and_counted(marked.select("id_aih").distinct(), "diagnosed")
+        treated = with_codes(self.procedure_bridge, self.procedures, "id_procedimento", "id_procedimento", procedures)
+        treated = treated.select("id_aih")
+        rows = treated.count() if procedures else None
+        rarer, n = (treated, rows) if rows is not None and rows < n else (diagnosed, n)
+        return Cohort(diagnosed, treated, id_filter(rarer, "id_aih", n))
 
     def recent(self, years: int, column: str = "dt_entrada_internacao") -> Column:
         return recent_years(F.col(column), watermark_year(self.watermarks), years)
@@ -80,9 +102,8 @@ def admissions_count(
 ) -> DataFrame:
     """Number of admissions in the cohort."""
     rows = _discharged(lake.admissions.filter(lake.recent(years)), discharge_codes)
-    return lake.in_cohort(rows.select("id_aih").distinct(), cids, procedures).agg(
-        F.count("id_aih").alias("n_internacoes")
-    )
+    cohort = lake.cohort(cids, procedures)
+    return cohort.members(cohort.likely(rows).select("id_aih").distinct()).agg(F.count("id_aih").alias("n_internacoes"))
 
 
 def mean_cost(
@@ -94,8 +115,9 @@ def mean_cost(
 ) -> DataFrame:
     """Mean cost of the cohort's admissions; by default of ended stays only."""
     rows = _discharged(lake.admissions.filter(lake.recent(years)), discharge_codes)
-    costs = rows.groupBy("id_aih").agg(F.sum("vl_total_aih").alias("valor_total_aih_real"))
-    return lake.in_cohort(costs, cids, procedures).agg(
+    cohort = lake.cohort(cids, procedures)
+    costs = cohort.likely(rows).groupBy("id_aih").agg(F.sum("vl_total_aih").alias("valor_total_aih_real"))
+    return cohort.members(costs).agg(
         ratio(F.sum("valor_total_aih_real"), F.count("id_aih")).alias("media_custo_internacao")
     )
 
@@ -108,10 +130,10 @@ def discharge_category() -> Column:
     )
 
 
-def _cohort_ids(lake: Lake, cids, procedures, years, discharge_codes) -> DataFrame:
+def _cohort_ids(lake: Lake, cohort: Cohort, years, discharge_codes) -> DataFrame:
     recent = recent_partitions(F.col("partition_0"), watermark_year(lake.watermarks), years)
     rows = _discharged(lake.admissions.filter(recent), discharge_codes)
-    return lake.in_cohort(rows.select("id_aih").distinct(), cids, procedures)
+    return cohort.members(cohort.likely(rows).select("id_aih").distinct())
 
 
 def cohort_stays(
@@ -126,7 +148,8 @@ def cohort_stays(
     The cohort is limited by the partition year; its admissions are then read again by id alone,
     so one with entries in two years keeps both.
     """
-    ids = _cohort_ids(lake, cids, procedures, years, discharge_codes)
+    cohort = lake.cohort(cids, procedures)
+    ids = _cohort_ids(lake, cohort, years, discharge_codes)
     stays = lake.admissions.select(
         "id_aih",
         "id_motivo_saida_permanencia",
@@ -134,7 +157,7 @@ def cohort_stays(
         discharge_category().alias("alta_obito"),
         month_start(F.col("dt_entrada_internacao")).alias("data_internacao"),
     )
-    return join_splittable(stays, ids, ["id_aih"])
+    return join_splittable(cohort.likely(stays), ids, ["id_aih"])
 
 
 def admissions_by_year(
@@ -145,8 +168,9 @@ def admissions_by_year(
     discharge_codes: Iterable[int] | None = None,
 ) -> DataFrame:
     """Cohort admissions per year of entry; an admission with entries in two years counts in both."""
-    ids = _cohort_ids(lake, cids, procedures, years, discharge_codes)
-    entered = lake.admissions.select("id_aih", F.year("dt_entrada_internacao").alias("ano_internacao")).distinct()
+    cohort = lake.cohort(cids, procedures)
+    ids = _cohort_ids(lake, cohort, years, discharge_codes)
+    entered = cohort.likely(lake.admissions).select("id_aih", F.year("dt_entrada_internacao").alias("ano_internacao")).distinct()
     return (
         entered.join(ids, "id_aih", "left_semi")
         .groupBy("ano_internacao")

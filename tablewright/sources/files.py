@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,23 +49,23 @@ def write_records(frame: DataFrame, path: str) -> str:
 def csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
     """Table name -> path of each CSV file, or folder of CSV parts, directly below ``folder``.
 
-    The name is the text before the first dot.  Files in subfolders are not tables, and only the list
-    of tables reaches the driver.
+    The name is the text before the first dot.  One level of the folder is listed through its file system, and
+    one of each entry that is a folder named like a CSV file; trees below other folders are never looked at.
     """
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    paths = (
-        spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.csv").load(folder).select("path")
-    )
-    inside = F.regexp_replace(F.regexp_replace("path", r"^(\w+):/+", "$1:/"), F.lit("^" + _plain(root) + "/"), F.lit(""))
-    entry = F.regexp_extract(inside, r"^([^/]*\.csv)(?:/[^/]*)?$", 1)
-    rows = paths.select(entry.alias("entry")).filter("entry != ''").distinct().collect()
-    return {row["entry"].partition(".")[0]: f"{folder.rstrip('/')}/{row['entry']}" for row in sorted(rows)}
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    entries = [entry for entry in store.listStatus(root) if _is_csv(entry)]
+    tables = [
+        entry.getPath().getName()
+        for entry in entries
+        if entry.isFile() or any(part.isFile() and _is_csv(part) for part in store.listStatus(entry.getPath()))
+    ]
+    return {name.partition(".")[0]: f"{folder.rstrip('/')}/{name}" for name in sorted(tables)}
 
 
-def _plain(path: str) -> str:
-    """A path as a pattern, with one slash after the scheme."""
-    return re.escape(re.sub(r"^(\w+):/+", r"\1:/", path.rstrip("/")))
+def _is_csv(entry) -> bool:
+    name = entry.getPath().getName()
+    return name.endswith(".csv") and name[0] not in "._"
 
 
 def register_csv_folder(
@@ -81,17 +79,66 @@ def register_csv_folder(
     return tables
 
 
+# How a value of each type looks, narrowest first.
+WHOLE = r"^[+-]?\d+$"
+LOOKS = {
+    "int": WHOLE,
+    "bigint": WHOLE,
+    "double": r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Inf(inity)?)$",
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "timestamp": r"^\d{4}-\d{2}-\d{2}[T ]",
+    "boolean": r"^(?i:true|false)$",
+}
+# A field of a line: quoted with doubled or escaped quotes inside, or plain up to the next comma.
+FIELD = r"""(?:^|,)("(?:[^"\\]|\\.|"")*"|[^,]*)"""
+
+
+def _kind(value: Column) -> Column:
+    """The narrowest type that a value can be read as."""
+    kind = F.lit("string")
+    for name, looks in reversed(LOOKS.items()):
+        kind = F.when(value.rlike(looks) & value.try_cast(name).isNotNull(), name).otherwise(kind)
+    return kind
+
+
 def schema_profile(spark: SparkSession, folder: str, sampling_ratio: float = 1.0) -> DataFrame:
-    """Inferred column types of every CSV below ``folder``; bad values do not stop it.
+    """Inferred column types of every CSV below ``folder``, all found in one job; bad values do not stop it.
 
-    Every row is read unless ``sampling_ratio`` asks for a part of them.
+    Every value gets the narrowest type that it can be read as.  Types are counted per file and column, the first
+    line of each file, which has the names, is taken off again, and what is left joins in a lattice: whole numbers
+    widen to doubles, dates to timestamps, and anything else that differs is text, as is a column without values.
+    A value does not go over the end of its line.  Every row counts unless ``sampling_ratio`` asks for a part.
     """
-    reader = spark.read.options(
-        header=True, inferSchema=True, samplingRatio=sampling_ratio, mode="PERMISSIVE", nullValue=NULL_TEXT
+    tables = csv_tables(spark, folder)
+    if not tables:
+        return spark.createDataFrame([], "table_name STRING, position INT, column_name STRING, data_type STRING")
+    lines = spark.read.options(pathGlobFilter="*.csv").text(list(tables.values())).filter("trim(value) != ''").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"),
+        (F.rand(0) < sampling_ratio if sampling_ratio < 1 else F.lit(True)).alias("counted"),
+        F.col("value").alias("text"),
     )
-    rows = [
-        (table, place, column, kind)
-        for table, path in csv_tables(spark, folder).items()
-        for place, (column, kind) in enumerate(reader.csv(path).dtypes, start=1)
-    ]
-    return spark.createDataFrame(rows, "table_name STRING, position INT, column_name STRING, data_type STRING")
+    fields = lines.select("file", "line", "counted", F.posexplode(F.regexp_extract_all("text", F.lit(FIELD), F.lit(1))).alias("place", "field"))
+    inner = F.regexp_replace(F.expr("substring(field, 2, length(field) - 2)"), r'\\(.)|"(")', "$1$2")
+    value = F.when(F.col("field").startswith('"'), inner).otherwise(F.col("field"))
+    absent = ~F.col("counted") | F.col("value").isin("", NULL_TEXT)
+    values = fields.withColumn("value", value).withColumn("kind", F.when(~absent, _kind(F.col("value"))))
+    kinds = [*LOOKS, "string"]
+    per_file = values.groupBy("file", "place").agg(
+        F.min_by(F.struct("value", "kind", "line"), "line").alias("first"),
+        *[F.count_if(F.col("kind") == name).alias(name) for name in kinds],
+    )
+    # Columns that the first line of a file does not name are left out.
+    start = F.min("first.line").over(Window.partitionBy("file"))
+    named = per_file.withColumn("start", start).filter(F.col("first.line") == F.col("start"))
+    entry = F.url_decode(F.regexp_extract("file", r"/([^/]*\.csv)(?:/[^/]*)?$", 1))
+    heading = lambda name: F.when(F.col("first.kind") == name, 1).otherwise(0)
+    found = named.groupBy(F.substring_index(entry, ".", 1).alias("table_name"), "place").agg(
+        F.min_by("first.value", "file").alias("column_name"),
+        *[(F.sum(F.col(name) - heading(name)) > 0).alias(name) for name in kinds],
+    )
+    joined = """CASE WHEN `string` OR NOT (`int` OR `bigint` OR `double` OR `date` OR `timestamp` OR `boolean`) THEN 'string'
+        WHEN `boolean` THEN CASE WHEN `int` OR `bigint` OR `double` OR `date` OR `timestamp` THEN 'string' ELSE 'boolean' END
+        WHEN `date` OR `timestamp` THEN CASE WHEN `int` OR `bigint` OR `double` THEN 'string' WHEN `timestamp` THEN 'timestamp' ELSE 'date' END
+        WHEN `double` THEN 'double' WHEN `bigint` THEN 'bigint' ELSE 'int' END"""
+    return found.selectExpr("table_name", "place + 1 AS position", "column_name", f"{joined} AS data_type")

@@ -273,6 +273,75 @@ def test_preview_and_pages(spark):
     assert [r["id"] for r in preview.page(frame, ["id"], 20, 3).collect()] == [20, 21, 22]
 
 
+def test_pages_by_cursor(spark):
+    rows = [(None if i % 10 == 9 else i % 5, i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "k INT, id INT")
+    seen, last = [], None
+    for _ in range(8):
+        got = [tuple(row) for row in preview.page_after(frame, ["k", "id"], last, 8).collect()]
+        seen += got
+        last = got[-1]
+    assert seen == sorted(rows, key=lambda row: (row[0] is None, row[0] or 0, row[1]))
+    assert preview.page_after(frame, ["k", "id"], last, 8).collect() == []
+
+
+def test_one_level_of_a_folder_is_listed(spark, tmp_path):
+    """A folder that nobody may read does not stand in the way of the tables beside it."""
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    deep = tmp_path / "other"
+    for _ in range(30):
+        deep = deep / "d"
+    deep.mkdir(parents=True)
+    (deep / "b.csv").write_text("x\n1\n")
+    listed = []
+    real = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path)).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    before = real.getStatistics(real.getUri().getScheme(), real.getClass()).getReadOps()
+    assert list(files.csv_tables(spark, str(tmp_path))) == ["a"]
+    listed.append(real.getStatistics(real.getUri().getScheme(), real.getClass()).getReadOps() - before)
+    assert listed[0] <= 2
+
+
+def test_types_join_in_a_lattice(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        'i,l,d,s,b,day,ts,mixed,none,"quoted, name",q\n'
+        '1,3000000000,1.5,x,true,2020-01-01,2020-01-01 10:00:00,1,,"a, b",1\n'
+        "\n"
+        '-2,4,2,7,FALSE,2020-02-30x,2020-01-01,true,\\N,"say ""hi""",2,extra,more\n'
+        '3,5,1e3,2020-01-01,true,2020-01-02,2021-01-01T00:00:00,2.5,,c\n'
+    )
+    (tmp_path / "only.csv").write_text("a,b\n")
+    (tmp_path / "blank.csv").write_text("")
+    got = {(r["table_name"], r["position"]): (r["column_name"], r["data_type"]) for r in files.schema_profile(spark, str(tmp_path)).collect()}
+    kinds = "int bigint double string boolean string timestamp string string string int".split()
+    names = ["i", "l", "d", "s", "b", "day", "ts", "mixed", "none", "quoted, name", "q"]
+    assert got == {("t", i + 1): pair for i, pair in enumerate(zip(names, kinds))} | {("only", 1): ("a", "string"), ("only", 2): ("b", "string")}
+    plain = spark.read.options(header=True, inferSchema=True, nullValue="\\N").csv(str(tmp_path / "t.csv")).dtypes
+    assert [kind for _, kind in plain] == kinds
+
+
+def test_one_job_for_fifty_files(spark, tmp_path):
+    for i in range(50):
+        (tmp_path / f"t{i}.csv").write_text("a,b\n" + "".join(f"{j},{j / 4}\n" for j in range(5)))
+    spark.sparkContext.setJobGroup("profile", "profile")
+    frame = files.schema_profile(spark, str(tmp_path))
+    # Spark itself may list over 32 files in a job of its own; nothing is read before the result is asked for.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("profile")) <= 1
+    rows = frame.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 100 and {(r["column_name"], r["data_type"]) for r in rows} == {("a", "int"), ("b", "double")}
+    assert frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan text") == 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 5000])
+def test_id_filter_lets_every_id_pass(spark, rows):
+    ids = spark.range(rows).selectExpr("id * 7 AS id")
+    might_hold = joins.id_filter(ids, "id", rows)
+    passed = spark.range(70_000).filter(might_hold(F.col("id")))
+    assert passed.join(ids, "id", "left_semi").count() == rows
+    assert passed.count() <= rows + 70_000 * 0.01
+    assert joins.id_filter(ids, "id", 10**9) is None
+
+
 def test_json_records(spark, tmp_path):
     (tmp_path / "movies.json").write_text('{"Title": "A", "US_Gross": 5}\n{"Title": "B"}\n')
     rows = files.read_records(spark, str(tmp_path / "movies.json"), "Title STRING, US_Gross DOUBLE").collect()
