@@ -1,9 +1,10 @@
 """Quality rules: counts within a document, and lines that many documents of a host share.
 
 Every line is normalised (A-Z lower-cased, runs of blanks made one space, ends trimmed) and hashed.
-A line is frequent when more than ``min_documents`` different texts of its host hold it and these
-are more than ``share`` of the host's different texts.  Copies of one text count once.  Frequent
-lines are taken out; a document of which less than ``min_left`` of the words remain is depleted.
+A line is frequent when more than ``min_documents`` different texts of its host hold it, or more than
+``share`` of the host's different texts, ``least`` of them at least: the first limit is the one that counts on
+large hosts, the second on small ones.  Copies of one text count once.  Frequent lines are taken out; a
+document of which less than ``min_left`` of the words remain is depleted and rejected.
 
 The text is read once: what the rules need of it (counts, one hash and word count per line) is
 stored, and all later steps work on that.  Line counts combine before they shuffle, first per
@@ -22,6 +23,7 @@ from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, number
 SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCUMENTS = 100
 SHARE = 0.02
+LEAST = 5
 MIN_LEFT = 0.3
 FEW = 64
 
@@ -91,26 +93,29 @@ def measures(docs: DataFrame, number: str | None = None) -> DataFrame:
         "host",
         row.alias("row"),
         F.xxhash64("_text").alias("text_hash"),
+        F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
         F.length(F.regexp_replace("_text", GAP, "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.size("_tokens").cast("bigint").alias("n_words"),
         _repeated_words().alias("n_repeat_words"),
         let(with_word, in_lines).alias("_l"),
-    ).select("doc_id", "host", "row", "text_hash", "word_chars", "n_words", "n_symbols", "n_repeat_words", "_l.*")
+    ).select("doc_id", "host", "row", "text_hash", "text_sha256", "word_chars", "n_words", "n_symbols", "n_repeat_words", "_l.*")
 
 
-def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """``host, line`` (both hashed) of the lines above the limits."""
+def frequent_lines(
+    measured: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, least: int = LEAST
+) -> DataFrame:
+    """``host, line`` (both hashed) of the lines above either limit."""
     held = measured.select("host", "text_hash", F.explode("lines.line").alias("line"))
     texts_of_line = (
         held.distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") > min_documents)
+        .filter(F.col("texts") > min(least, min_documents))
     )
     texts_of_host = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all_texts"))
-    above = texts_of_line.join(texts_of_host, "host").filter(F.col("texts") > share * F.col("all_texts"))
-    return above.select("host", "line")
+    above = (F.col("texts") > min_documents) | ((F.col("texts") > least) & (F.col("texts") > share * F.col("all_texts")))
+    return texts_of_line.join(texts_of_host, "host").filter(above).select("host", "line")
 
 
 def judge(
@@ -118,18 +123,22 @@ def judge(
     min_documents: int = MIN_DOCUMENTS,
     share: float = SHARE,
     min_left: float = MIN_LEFT,
+    least: int = LEAST,
     number: str | None = None,
 ) -> DataFrame:
-    """One row per document: counts, ``removed_words``, ``base_failed`` and ``kept``.
+    """One row per document: counts, ``removed_words``, ``base_failed``, ``kept``, and ``gone``, the frequent lines' hashes.
 
     A NULL text counts as empty; documents of fewer than 50 words, so empty ones too, fail the base
-    rule.  NULL is a host of its own.  Repeated rows are judged alike and count as one text.  Other
-    columns of ``docs`` are ignored whatever their names.  An empty table gives an empty result.
+    rule.  NULL is a host of its own.  Very long texts are read whole.  Repeated rows are judged alike and count as
+    one text, and lines that tie at a limit are treated alike.  Other columns of ``docs`` are ignored whatever their
+    names.  An empty table gives an empty result.
     """
     measured = stored(measures(docs, number), "line-measures")
-    frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
+    frequent = stored(frequent_lines(measured, min_documents, share, least), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(
+        F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone")
+    )
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (
@@ -141,6 +150,31 @@ def judge(
     )
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normal form hashes to one of ``gone``; as it came where that is NULL."""
+
+    def stays(line: Column) -> Column:
+        return ~F.array_contains(gone, F.xxhash64(F.btrim(F.regexp_replace(lower_ascii(line), GAP, " "))))
+
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+
+
+def with_stripped_digest(docs: DataFrame, **limits: float) -> DataFrame:
+    """What ``judge`` gives and ``stripped_sha256``, of the text without its frequent lines.
+
+    Texts that lose lines are read a second time and found by host and hash, which say all that decides on them.
+    """
+    judged = stored(judge(docs, **limits), "line-verdicts")
+    key = ["host", "text_hash"]
+    lose = judged.filter("gone IS NOT NULL").groupBy(*key).agg(F.first("gone").alias("gone"))
+    text = text_or_empty("text")
+    again = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    digest = F.sha2(without_lines(F.col("text"), F.col("gone")).cast("binary"), 256)
+    stripped = again.join(stored(lose, "texts-to-strip"), key).select(*key, digest.alias("digest")).groupBy(*key).agg(F.first("digest").alias("digest"))
+    whole = F.col("text_sha256")
+    return judged.join(stored(stripped, "stripped-digests"), key, "left").withColumn("stripped_sha256", F.coalesce("digest", whole))
+
+
 def drop_rejected(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with the columns and whole texts they came with.
 
@@ -150,23 +184,34 @@ def drop_rejected(docs: DataFrame, **limits: float) -> DataFrame:
     return without_rows(rows, number, judge(rows, **limits, number=number).filter(~F.col("kept")), "rejected-rows")
 
 
-def strip_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """The documents with their frequent lines taken out of ``text``; all other columns as they came.
+def clean(docs: DataFrame, length: str | None = None, **limits: float) -> DataFrame:
+    """The documents that pass, without their frequent lines; ``length``, if named, is the text's length in characters anew.
 
-    Writes the documents once with their numbers, as ``drop_rejected`` does.  A document has a bounded number of frequent lines
-    only if its own lines are bounded; they stay together in its row.
+    Judged and stripped from one written copy with row numbers, in one join with the rows that change.  A document
+    that loses every line was depleted and goes; NULL and empty texts fail the base rule and go.
     """
     rows, number = numbered(docs, "numbered-documents")
-    measured = stored(measures(rows, number), "line-measures")
-    frequent = stored(frequent_lines(measured, min_documents, share), "frequent-lines")
-    lines = measured.select("row", "host", F.explode("lines.line").alias("line"))
-    gone = unused(docs, "_gone")
-    marked = lines.join(frequent, ["host", "line"]).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(gone))
-
-    def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col(gone), F.xxhash64(F.btrim(F.regexp_replace(lower_ascii(line), GAP, " "))))
+    gone, out = unused(rows, "_gone"), unused(rows, "_out")
+    judged = judge(rows, **limits, number=number).filter("NOT kept OR gone IS NOT NULL")
+    changes = stored(judged.select(F.col("row").alias(number), F.col("gone").alias(gone), (~F.col("kept")).alias(out)), "changes")
+    found = rows.join(changes, number, "left").filter(F.col(out).isNull() | ~F.col(out))
+    new = found.withColumn("text", without_lines(F.col("text"), F.col(gone)))
+    if length is not None:
+        counted = F.length("text").cast(docs.schema[length].dataType)
+        new = new.withColumn(length, F.when(F.col(gone).isNotNull(), counted).otherwise(F.col(length)))
+    return new.select(*docs.columns)
+
+
+def strip_lines(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, least: int = LEAST
+) -> DataFrame:
+    """All documents, with their frequent lines taken out of ``text``; other columns as they came.
 
-    left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    found = rows.join(stored(marked, "lines-to-strip"), number, "left")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
-    return found.withColumn("text", text).select(*docs.columns)
+    Writes the documents once with their numbers, as ``drop_rejected`` does.  NULL and empty texts stay as they are, and so
+    do lines without a word.
+    """
+    rows, number = numbered(docs, "numbered-documents")
+    gone = unused(rows, "_gone")
+    marked = judge(rows, min_documents, share, least=least, number=number).filter("gone IS NOT NULL")
+    found = rows.join(stored(marked.select(F.col("row").alias(number), F.col("gone").alias(gone)), "lines-to-strip"), number, "left")
+    return found.withColumn("text", without_lines(F.col("text"), F.col(gone))).select(*docs.columns)

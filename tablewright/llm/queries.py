@@ -83,7 +83,7 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.judge(table(spark, folder, "documents")).select(
+    return quality_rules.with_stripped_digest(table(spark, folder, "documents")).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -93,6 +93,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "removed_words",
         "base_failed",
         "kept",
+        "stripped_sha256",
     )
 
 
@@ -235,15 +236,23 @@ SQL: dict[str, str] = {
         ), frequent AS (
             SELECT host, norm FROM l JOIN (SELECT host, count(DISTINCT md5(t)) AS all_texts FROM d GROUP BY host) USING (host)
             GROUP BY host, norm, all_texts
-            HAVING count(DISTINCT th) > 100 AND count(DISTINCT th) > 0.02 * all_texts
+            HAVING count(DISTINCT th) > 100 OR (count(DISTINCT th) > 5 AND count(DISTINCT th) > 0.02 * all_texts)
+        ), s AS (
+            SELECT r, host, i, parts[i] AS line,
+                   trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+            FROM (SELECT r, host, string_split(t, chr(10)) AS parts FROM d), unnest(range(1, len(parts) + 1)) AS u(i)
+        ), stripped AS (
+            SELECT r, string_agg(line, chr(10) ORDER BY i) AS t FROM s ANTI JOIN frequent USING (host, norm) GROUP BY r
         ), rem AS (
             SELECT r, sum(len(string_split(norm, ' '))) AS n FROM l JOIN frequent USING (host, norm) GROUP BY r
         ), f AS (
             SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
-                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                    coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-                   coalesce(rem.n, 0)::BIGINT AS removed_words
+                   coalesce(rem.n, 0)::BIGINT AS removed_words, sha256(coalesce(stripped.t, '')) AS stripped_sha256
             FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN rem USING (r)
+            LEFT JOIN stripped USING (r)
         )
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)

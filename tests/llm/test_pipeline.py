@@ -20,6 +20,7 @@ from tablewright.llm.queries import tokenizer_path
 
 BASE = [" ".join(f"d{i}w{k}" for k in range(60 + i)) for i in range(24)]
 ROWS = DOCS + [(1000 + i, text, "en", f"s{i % 4}", len(text)) for i, text in enumerate(BASE)]
+ROWS += [(4000 + i, BASE[i] + " more" * 5 + f" {i}\nSubscribe  to our NEWS", "en", "news", 1) for i in range(8)]
 ROWS += [(2000 + i, BASE[i].upper(), "en", "s1", 1) for i in range(6)]
 ROWS += [(3000 + i, " ".join(["v%d" % (k if k != i else -1) for k in range(300)]), None, None, 1) for i in range(8)]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,7 +47,11 @@ def test_order_and_columns(stages):
 def test_rejected_documents_go(stages):
     verdicts = test_quality_rules.brute(ROWS, 100, 0.02, 0.3)
     assert Counter(row[0] for row in rows_of(stages[1])) == Counter(row[0] for row in verdicts if row[-1])
-    assert set(rows_of(stages[1])) <= set(ROWS)
+    frequent = test_quality_rules.frequent_of(ROWS, 100, 0.02)
+    strip = lambda row: (row[0], test_quality_rules.stripped(row[1] or "", row[3], frequent))
+    assert {row[:2] for row in rows_of(stages[1])} <= {strip(row) for row in ROWS}
+    lost = {row[0] for row in ROWS if strip(row)[1] != (row[1] or "")}
+    assert lost and all(row[4] == len(row[1]) for row in rows_of(stages[1]) if row[0] in lost)
 
 
 def test_the_largest_id_of_equal_texts_stays(stages):

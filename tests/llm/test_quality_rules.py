@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -14,14 +15,23 @@ def normal(line):
     return " ".join(tokens(lower_ascii(line)))
 
 
-def brute(rows, min_documents, share, min_left):
+def frequent_of(rows, min_documents, share, least=5):
     held, texts = defaultdict(set), defaultdict(set)
     for _, text, _, host, _ in rows:
         texts[host].add(text or "")
         for line in (text or "").split("\n"):
             if tokens(line):
                 held[host, normal(line)].add(text or "")
-    frequent = {key for key, of in held.items() if len(of) > min_documents and len(of) > share * len(texts[key[0]])}
+    above = lambda n, all_texts: n > min_documents or (n > least and n > share * all_texts)
+    return {key for key, of in held.items() if above(len(of), len(texts[key[0]]))}
+
+
+def stripped(text, host, frequent):
+    return "\n".join(line for line in text.split("\n") if not tokens(line) or (host, normal(line)) not in frequent)
+
+
+def brute(rows, min_documents, share, min_left):
+    frequent = frequent_of(rows, min_documents, share)
     out = []
     for doc_id, text, _, host, _ in rows:
         words = tokens(text)
@@ -77,5 +87,51 @@ def test_lines_are_stripped(spark):
     assert out.text == " ".join(f"own5x{k}" for k in range(60))
 
 
+def test_either_limit_is_enough(spark):
+    rows = shared_lines()
+    footer = ("h", normal("All  Rights reserved " + "here " * 3))
+    for limits, found in (((29, 0.9), True), ((30, 0.9), False), ((1000, 0.4), True), ((1000, 0.5), False), ((1000, 0.4, 30), False)):
+        assert (footer in frequent_of(rows, *limits)) == found
+        names = ("min_documents", "share", "least")
+        kept = quality_rules.judge(documents(spark, rows), **dict(zip(names, limits))).filter("doc_id = 205").first()
+        assert kept["removed_words"] == (6 if found else 0)
+
+
+def test_clean_drops_and_strips(spark):
+    rows = DOCS + shared_lines()
+    limits = (20, 0.02, 0.3)
+    frequent = frequent_of(rows, *limits[:2])
+    verdicts = brute(rows, *limits)
+    ids = {row[0] for row in verdicts if row[-1]}
+    docs = documents(spark, rows)
+    left = quality_rules.clean(docs, length="n_chars", min_documents=20, share=0.02, min_left=0.3)
+    assert left.columns == docs.columns
+    expected = []
+    for row in rows:
+        if row[0] in ids and row[1] and not any(v[0] == row[0] and not v[-1] for v in verdicts):
+            text = stripped(row[1], row[3], frequent)
+            expected.append((row[0], text, len(text) if text != row[1] else row[4]))
+    assert plain(left.filter("doc_id IS NOT NULL"), "doc_id", "text", "n_chars") == ordered([row for row in expected if row[0] is not None])
+
+
+def test_digests_of_stripped_texts(spark):
+    rows = DOCS + shared_lines()
+    frequent = frequent_of(rows, 20, 0.02)
+    found = quality_rules.with_stripped_digest(documents(spark, rows), min_documents=20)
+    digest = lambda row: hashlib.sha256(stripped(row[1] or "", row[3], frequent).encode()).hexdigest()
+    assert plain(found, "doc_id", "stripped_sha256") == ordered([(row[0], digest(row)) for row in rows])
+
+
+def test_null_and_empty_texts_are_stripped_of_nothing(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "h", 0), (3, " \n ", "en", "h", 3)]
+    assert plain(quality_rules.strip_lines(documents(spark, rows)), "doc_id", "text") == ordered([row[:2] for row in rows])
+
+
+def test_lines_go_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality_rules.judge(docs).filter("removed_words > 0")
+    assert found.count() > 50
+
+
 def test_empty_table(spark):
     assert quality_rules.judge(documents(spark, [])).count() == 0
