@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor wrote, works on all of it, and applies one operator:
 
-1. ``quality_rules`` drops the documents that the rules reject; texts stay whole.
+1. ``quality_rules`` drops the documents that the rules reject, and takes the frequent lines out of the others;
+   ``n_chars`` follows.
 2. ``exact_dedup`` keeps one row of equal texts, that of the largest doc_id.
 3. ``simhash`` keeps one document of each near-duplicate group, that of the smallest doc_id.
 4. ``mixing`` brings the sources to their target weights: a document becomes a row per whole copy
@@ -27,18 +28,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.drop_rejected(docs)
+    """NULL, empty and short texts go; lines are frequent by their host, NULL being one."""
+    return quality_rules.clean(docs, length="n_chars")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """NULL and empty texts are equal; of equal ids one row stays; very long texts are compared whole."""
     return exact_dedup.drop_copies(docs, keep="largest")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group the smallest id stays, one row of it where it is repeated; texts without words form a group."""
     return simhash.drop_near_duplicates(docs, shingle=3, max_bits=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """NULL sources are one source; texts without words have nothing to give and go."""
     return mixing.mixed_documents(docs, weights=(5, 2, 1), share=1.5, max_epochs=2)
 
 
