@@ -2,21 +2,27 @@
 
 A fingerprint has eight bytes.  Two fingerprints that differ in at most ``max_bits`` bits differ in at
 most that many bytes, so they share at least ``8 - max_bits`` bytes at the same positions.  That is
-the guaranteed minimum.  The posting list of a single (position, byte) holds a 256th of all
-fingerprints, and tallying pairs over such lists grows with the square of the corpus.  A pair that
-reaches the minimum shares a whole set of that many positional bytes, so the index is keyed by these
-sets (28 for two bits): each list is the intersection of the single lists, found by key.  Within
-a list the shared positional bytes of a pair are tallied, pairs below the minimum go, and the rest are
-verified by their differing bits.
-
-Only different fingerprints enter the index, one row each however many documents have it.  In one
-list all share ``8 - max_bits`` bytes, so for two bits it can hold no more than 65,536 of them
-and is bounded whatever the corpus; links per fingerprint are bounded likewise (2,080 for two bits).
+the guaranteed minimum.  The posting list of a single (position, byte) would hold a 256th of all
+fingerprints, so postings have a second key: the eight positions are cut into ``max_bits + 2`` parts, of which
+at least two are equal, and a posting is (position, byte) within (two parts, their bytes).  For two bits these
+are 6 second keys of four bytes with 4 positions each.
+
+The lists of these postings give each pair one count per positional byte that it shares beyond the second key;
+the counts are summed, pairs below the minimum go, and the rest are verified by their differing bits.  A pair
+that shares several second keys is counted under the first of them only.
+
+A list with more than ``LONG`` members is not paired as it is.  Its members are listed anew by two of
+``max_bits + 2`` interleaved parts of the bits that they need not share; a pair within ``max_bits`` bits is equal
+in two, and so is found in one of these lists, which for two bits hold at most 4096 of the members, whatever the
+corpus, and is verified there.
+
+Only different fingerprints enter the index, one row each however many documents have it; links per
+fingerprint are bounded (2,080 for two bits).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +37,8 @@ from tablewright.llm.components import components
 SEED = 42
 BYTES = 8
 CHUNK = 1 << 16
+# Posting lists with more members are cut by further bits.
+LONG = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -71,31 +79,78 @@ def fingerprints(docs: DataFrame, shingle: int = 3, number: str | None = None) -
     return rows.mapInArrow(in_batches, f"doc_id {kind}, row bigint, fp bigint")
 
 
-def _shared_bytes(difference: Column) -> Column:
-    at = lambda p: (F.shiftrightunsigned(difference, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int")
-    total = at(0)
-    for position in range(1, BYTES):
-        total = total + at(position)
-    return total
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _parts(items: list[int], count: int) -> list[list[int]]:
+    return [items[at::count] for at in range(count)]
+
+
+def _mask(positions: list[int]) -> int:
+    return sum(0xFF << (8 * p) for p in positions)
+
+
+def second_keys(max_bits: int) -> list[list[int]]:
+    """Sets of positions, one of which any pair within the distance shares, all smaller than the guaranteed minimum."""
+    minimum, positions = BYTES - max_bits, list(range(BYTES))
+    for equal in (2, 1):
+        parts = _parts(positions, min(BYTES, max_bits + equal))
+        keys = [sum(some, []) for some in combinations(parts, equal)]
+        if max(map(len, keys)) < minimum:
+            return keys
+    return [[]]
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Pairs ``a < b`` of the different fingerprints ``fp`` that differ in at most ``max_bits`` bits."""
-    minimum = BYTES - max_bits
-    masks = []
-    for positions in combinations(range(BYTES), minimum):
-        mask = sum(0xFF << (8 * p) for p in positions)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    keys = F.array(*[F.lit(mask).cast("bigint") for mask in masks])
-    postings = fps.select("fp", F.explode(keys).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    lists = postings.groupBy("mask", "key").agg(F.collect_list("fp").alias("held")).filter(F.size("held") > 1)
-    a = lists.select("held", F.explode("held").alias("a"))
-
-    def similar(b: Column) -> Column:
-        difference = F.col("a").bitwiseXOR(b)
-        return (b > F.col("a")) & (_shared_bytes(difference) >= minimum) & (F.bit_count(difference) <= max_bits)
-
-    return a.select("a", F.explode(F.filter("held", similar)).alias("b")).distinct()
+    keys = second_keys(max_bits)
+    slots = [(i, p) for i, key in enumerate(keys) for p in range(BYTES) if p not in key]
+    masks = [_mask([*keys[i], p]) for i, p in slots]
+    long_of = lambda values: F.array(*[F.lit(_signed(value)).cast("bigint") for value in values])
+    # Per slot: its key, the second keys before its own, and how many positional bytes are still wanting.
+    earlier = F.array(*[F.array(*[F.lit(_signed(_mask(key))).cast("bigint") for key in keys[:i]]).cast("array<bigint>") for i, _ in slots])
+    wanting = F.array(*[F.lit(BYTES - max_bits - len(keys[i])) for i, _ in slots])
+    every = F.array(*[F.lit(slot) for slot in range(len(slots))])
+    postings = fps.select("fp", F.explode(every).alias("slot")).withColumn("key", F.col("fp").bitwiseAND(F.get(long_of(masks), "slot")))
+    sizes = postings.groupBy("slot", "key").agg(F.count("*").alias("n")).filter(F.col("n") > LONG)
+    lengthy = stored(sizes.select("slot", "key"), "long-lists")
+
+    def paired(lists: DataFrame, *more: str, holds: Callable[[Column], Column]) -> DataFrame:
+        """Pairs of a list's members whose difference ``holds``, under the first second key that they share."""
+        first = lambda gap: ~F.exists("earlier", lambda mask: gap.bitwiseAND(mask) == 0)
+        one = lists.withColumn("earlier", F.get(earlier, "slot")).select("slot", "earlier", "held", *more, F.explode("held").alias("a"))
+        fits = lambda b: (b > F.col("a")) & first(F.col("a").bitwiseXOR(b)) & holds(F.col("a").bitwiseXOR(b))
+        return one.select("slot", "a", F.explode(F.filter("held", fits)).alias("b"))
+
+    near = lambda gap: F.bit_count(gap) <= max_bits
+    held = F.collect_list("fp").alias("held")
+    short = postings.join(lengthy, ["slot", "key"], "left_anti").groupBy("slot", "key").agg(held).filter(F.size("held") > 1)
+    counted = (
+        paired(short, holds=lambda gap: F.lit(True))
+        .groupBy("a", "b", F.get(wanting, "slot").alias("wanting"))
+        .agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= F.col("wanting"))
+        .filter(near(F.col("a").bitwiseXOR(F.col("b"))))
+    )
+    # Long lists: two of some interleaved parts of the other bits, and of several such only the first.
+    cuts = []
+    for mask in masks:
+        parts = _parts([bit for bit in range(64) if not mask >> bit & 1], max_bits + 2)
+        cuts.append([sum(1 << bit for bit in one + other) for one, other in combinations(parts, 2)])
+    cut = F.array(*[long_of(some) for some in cuts])
+    again = (
+        postings.join(lengthy, ["slot", "key"], "left_semi")
+        .select("fp", "slot", F.posexplode(F.get(cut, "slot")).alias("cut", "bits"))
+        .withColumn("key", F.col("fp").bitwiseAND(F.get(long_of(masks), "slot").bitwiseOR(F.col("bits"))))
+        .groupBy("slot", "cut", "key")
+        .agg(held)
+        .filter(F.size("held") > 1)
+        .withColumn("before", F.slice(F.get(cut, "slot"), F.lit(1), F.col("cut")))
+    )
+    other = lambda gap: ~F.exists("before", lambda bits: gap.bitwiseAND(bits) == 0)
+    dense = paired(again, "before", holds=lambda gap: near(gap) & other(gap))
+    return counted.select("a", "b").unionByName(dense.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, number: str | None = None) -> DataFrame:

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import random
+import time
 from collections import Counter
+from itertools import combinations
 
+import pytest
 import xxhash
 from cases import DOCS, documents, lower_ascii, ordered, plain, tokens
 
@@ -56,6 +60,42 @@ def test_links_are_all_pairs_within_the_distance(spark):
     assert {tuple(row) for row in found.collect()} == expected
 
 
+def pairs_within(values, max_bits):
+    return {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= max_bits}
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("long", [2, 64])
+def test_links_of_clusters(spark, monkeypatch, max_bits, long):
+    """Random fingerprints, and clusters a few bits wide whose lists are long or, by the limit, short."""
+    monkeypatch.setattr(simhash, "LONG", long)
+    rng = random.Random(max_bits)
+    values = {rng.getrandbits(64) for _ in range(30)}
+    for _ in range(4):
+        middle = rng.getrandbits(64)
+        values |= {middle ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(max_bits + 2))) for _ in range(25)}
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), max_bits)
+    assert {tuple(row) for row in found.collect()} == pairs_within(signed, max_bits)
+
+
+def test_pairs_below_the_minimum_are_counted_and_go():
+    for max_bits in range(1, 8):
+        keys = simhash.second_keys(max_bits)
+        # Whichever bytes differ, one second key is equal, and bytes are still wanting beyond it.
+        for differ in combinations(range(8), max_bits):
+            assert any(not set(key) & set(differ) for key in keys)
+        assert all(len(key) < 8 - max_bits for key in keys)
+
+
+def test_a_full_block_of_fingerprints(spark):
+    """65,536 fingerprints that share six bytes."""
+    frame = spark.range(1 << 16).selectExpr("(id & 255) << 8 | (id >> 8) << 40 | shiftleft(7L, 56) AS fp")
+    began = time.monotonic()
+    assert simhash.links(frame, 2).count() == (1 << 16) * (16 + 120) // 2
+    assert time.monotonic() - began < 120
+
+
 def test_one_of_each_group_stays(spark):
     rows = DOCS + NEAR
     docs = documents(spark, rows)
