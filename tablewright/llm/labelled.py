@@ -14,9 +14,15 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """``key, label, text`` of at most ``sample`` labelled documents outside the held-out third.
 
-    Ids are drawn by smallest hash, so every run draws the same.  Rows without id or label are not
-    drawn.  ``key`` puts them in the same order in every run.  Only these ids, a bounded list, are broadcast to find their texts.
+    Ids are drawn by smallest hash, so every run draws the same.  Rows without id or label are not drawn.  An id
+    counts once for each different text and label that it has, and the same order cuts what the ids have in all:
+    no more than ``sample`` rows come back however often an id is repeated.  ``key`` puts them in the same order in
+    every run.  Only the drawn ids and text hashes, bounded lists, are broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
-    drawn = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("key"), "label", "text")
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    drawn = known.filter(~held_out(F.col("doc_id"))).distinct().orderBy(*order).limit(sample)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    found = texts.select("doc_id", "hash").join(F.broadcast(drawn), "doc_id").distinct().orderBy(*order, "hash").limit(sample)
+    rows = texts.join(F.broadcast(found), ["doc_id", "hash"]).dropDuplicates(["doc_id", "label", "hash"])
+    return rows.select(F.xxhash64("doc_id", "hash").alias("key"), "label", "text")

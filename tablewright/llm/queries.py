@@ -99,7 +99,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, folder, "pages"), revisit_from=0)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 def op11_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,7 +290,7 @@ SQL: dict[str, str] = {
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((parts[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
                CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN first THEN NULL ELSE first_id END AS refers_to
+               CASE WHEN first THEN NULL ELSE first_id END AS refers_to, true AS valid
         FROM d
     """,
 }

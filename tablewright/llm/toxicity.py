@@ -71,8 +71,11 @@ class Model:
         return np.add.reduceat(self.weights[np.array(slots, np.int64)], starts) + self.base
 
     def score(self, slots: list[int], sizes: list[int]) -> float:
+        return self.of_sentences(self.sentence_logits(slots, sizes))
+
+    def of_sentences(self, logits: np.ndarray) -> float:
         """The noisy-or of the sentences, moved so that ``LIMIT`` tells the labels apart best."""
-        return float(_moved(_not_any(_none(self.sentence_logits(slots, sizes)).sum()), self.shift))
+        return float(_moved(_not_any(_none(logits).sum()), self.shift))
 
 
 def _none(logits: np.ndarray) -> np.ndarray:
@@ -130,7 +133,7 @@ def fit(bags: Sequence[tuple[Sequence[int], Sequence[int]]], labels: np.ndarray,
     logits = np.bincount(sentence, weights[column], len(sizes)) + base
     chance = np.clip(_not_any(np.bincount(doc, _none(logits), n)), 1e-12, 1 - 1e-12)
     raw = np.log(chance / (1 - chance))
-    cuts = np.unique(np.quantile(raw, np.linspace(0.3, 0.999, 400)))
+    cuts = np.unique(np.quantile(raw, np.linspace(0, 1, 1001)))
     right = [np.mean((raw >= cut) == (labels == 1)) for cut in cuts]
     best = [cut for cut, value in zip(cuts, right) if value >= max(right) - 1e-12]
     everything = np.zeros(SLOTS)
@@ -157,22 +160,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``.
+    """One row per document: ``doc_id, held_out, score, predicted, worst_place, worst_chance``.
 
-    Texts without words, NULL ones too, have no sentence and score near 0.  Rows of NULL id are
-    not held out.  Repeated rows score alike.  Only the text enters a score; other columns are
-    ignored whatever their names.  An empty table gives an empty result.
+    The last two are the number, from 0, and the own chance of the sentence most likely to be toxic, the first of
+    equal ones.  Texts without words, NULL ones too, have no sentence and score near 0.  Very long texts are read
+    whole.  Rows of NULL id are not held out.  Repeated rows score alike.  Only the text enters a score; other
+    columns are ignored whatever their names.  An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.base, model.shift))
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("score double, place int, chance double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         slots, known = Slots(), Model(*sent.value)
         for batch in texts:
-            yield pd.Series([known.score(*slots.of(text)) for text in batch], dtype="float64")
+            logits = [known.sentence_logits(*slots.of(text)) for text in batch]
+            worst = [int(found.argmax()) if len(found) else None for found in logits]
+            yield pd.DataFrame(
+                {
+                    "score": pd.Series([known.of_sentences(found) for found in logits], dtype="float64"),
+                    "place": pd.array(worst, dtype="Int32"),
+                    "chance": pd.Series(
+                        [1 / (1 + np.exp(-found[at])) if at is not None else None for found, at in zip(logits, worst)], dtype="float64"
+                    ),
+                }
+            )
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("s"))
+    return rows.select(
+        "doc_id",
+        "held_out",
+        F.col("s.score").alias("score"),
+        (F.col("s.score") >= LIMIT).cast("int").alias("predicted"),
+        F.col("s.place").alias("worst_place"),
+        F.col("s.chance").alias("worst_chance"),
+    )
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -41,8 +41,6 @@ class Cascade:
         """``listed`` and ``universe`` have one column ``key`` of different values."""
         self.levels: list[tuple[DataFrame, int, int]] = []
         n_listed = listed.count()
-        if n_listed > MAX_LISTED:
-            raise ValueError(f"{n_listed} listed keys are more than {MAX_LISTED}")
         inside, count = listed, n_listed
         outside = universe.join(F.broadcast(listed), "key", "left_anti")
         hashes = math.ceil(math.log2(max(4, universe.count() / max(1, n_listed))))
@@ -81,6 +79,24 @@ class Cascade:
         return answer
 
 
+class Cascades:
+    """A list of any length: keys are dealt by hash to cascades of about ``MAX_LISTED`` listed keys at most."""
+
+    def __init__(self, listed: DataFrame, universe: DataFrame, name: str) -> None:
+        self.count = max(1, math.ceil(listed.count() / MAX_LISTED))
+        mine = lambda frame, i: frame.filter(self._part(_hashes(F.col("key"))) == i)
+        self.parts = [Cascade(mine(listed, i), mine(universe, i), f"{name}-{i}") for i in range(self.count)]
+
+    def _part(self, hashed: tuple[Column, Column]) -> Column:
+        return F.pmod(F.xxhash64(F.lit(2), hashed[0]), F.lit(self.count))
+
+    def holds(self, hashed: tuple[Column, Column]) -> Column:
+        answer = self.parts[0].holds(hashed)
+        for i, part in enumerate(self.parts[1:], start=1):
+            answer = F.when(self._part(hashed) == i, part.holds(hashed)).otherwise(answer)
+        return answer
+
+
 def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(1), key)
 
@@ -103,8 +119,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Other columns of ``pages`` are ignored whatever their names.  An empty table gives an empty result.
     """
     listed = rules.select(
-        F.lower("host").alias("host"), "path", "verdict", F.concat(F.lower("host"), "path").alias("key")
-    ).dropna()
+        F.translate("host", *UPPER_TO_LOWER).alias("host"), "path", "verdict"
+    ).withColumn("key", F.concat("host", "path")).dropna()
     shape = listed.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).distinct()
     shapes = sorted((row.labels, row.n) for row in shape.collect())
     host, path = host_and_path(F.col("url"))
@@ -124,7 +140,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     universe = keyed.select(F.explode(F.array_distinct(F.array(*found))).alias("key")).filter("key IS NOT NULL").distinct()
     universe = stored(universe, "url-keys")
     cascades = {
-        verdict: Cascade(listed.filter(F.col("verdict") == verdict).select("key").distinct(), universe, f"urls-{verdict}")
+        verdict: Cascades(listed.filter(F.col("verdict") == verdict).select("key").distinct(), universe, f"urls-{verdict}")
         for verdict in ("block", "allow")
     }
     hits = []

@@ -56,6 +56,57 @@ def test_held_out_labels_are_never_drawn(spark):
     assert training_rows(docs, labels, "quality", 20).count() == 20
 
 
+def test_the_sample_bounds_rows_and_not_only_ids(spark):
+    """One id with 5000 rows of different texts, and one with 5000 equal rows."""
+    many, equal = [i for i in range(100) if not out(i)][:2]
+    rows = spark.range(10_000).selectExpr(
+        f"CASE WHEN id < 5000 THEN {many} ELSE {equal} END AS doc_id", "CASE WHEN id < 5000 THEN concat('text ', id) ELSE 'same' END AS text"
+    )
+    docs = rows.unionByName(spark.range(100, 300).selectExpr("id AS doc_id", "concat('other ', id) AS text"))
+    labels = spark.range(300).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    found = training_rows(docs, labels, "quality", 50).collect()
+    assert len(found) == 50 and len({tuple(row) for row in found}) == 50
+    everything = training_rows(docs, labels, "quality", 100_000)
+    assert everything.filter("text = 'same'").count() == 1 and everything.filter("text LIKE 'text %'").count() == 5000
+    again = training_rows(docs.repartition(3), labels, "quality", 50).collect()
+    assert sorted(again) == sorted(found)
+
+
+def test_thresholds_are_searched_over_all_quantiles():
+    """Where most labelled rows are bad, or most are toxic, the best cut lies far up or far down."""
+    random = np.random.default_rng(2)
+    rows = random.normal(size=(1000, len(quality_ranking.FEATURES)))
+    labels = (rows[:, 0] > 1.2).astype(int)
+    ranking = quality_ranking.fit(rows, labels)
+    assert labels.mean() < 0.2 and ((ranking.scores(rows) >= 0.5) == labels).mean() > 0.97
+    slots = toxicity.Slots()
+    texts = [("You scoundrel. " if i % 8 else "") + f"Fine weather {chr(97 + i % 5)} here." for i in range(400)]
+    truth = np.array([int("scoundrel" in text) for text in texts])
+    model = toxicity.fit([slots.of(text) for text in texts], truth)
+    assert truth.mean() > 0.8 and np.mean([(model.score(*slots.of(t)) >= 0.7) == y for t, y in zip(texts, truth)]) > 0.97
+
+
+def test_the_pairwise_loss_is_at_its_minimum():
+    """No small step from the fitted weights lowers the logistic loss over all pairs drawn, ridge included."""
+    random = np.random.default_rng(4)
+    rows = random.normal(size=(60, len(quality_ranking.FEATURES)))
+    labels = (rows[:, 1] + random.normal(size=60) > 0).astype(int)
+    pairs, ridge = 4000, 0.01
+    ranking = quality_ranking.fit(rows, labels, pairs=pairs, ridge=ridge, seed=7)
+    scaled = (rows - rows.mean(axis=0)) / (rows.std(axis=0) + 1e-9)
+    draw = np.random.default_rng(7)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    n = min(pairs, len(good) * len(bad))
+    drawn = list(zip(draw.choice(good, n), draw.choice(bad, n)))
+
+    def loss(weights):
+        return sum(np.log1p(np.exp(-(scaled[g] - scaled[b]) @ weights)) for g, b in drawn) / n + ridge / 2 * weights @ weights
+
+    least = loss(ranking.weights)
+    for step in np.eye(rows.shape[1]) * 1e-3:
+        assert loss(ranking.weights + step) > least and loss(ranking.weights - step) > least
+
+
 def test_pairs_order_the_scores():
     random = np.random.default_rng(1)
     rows = random.normal(size=(400, len(quality_ranking.FEATURES)))
@@ -74,3 +125,8 @@ def test_offending_sentences_are_located(spark):
     found = toxicity.offending(docs, model).collect()
     assert {row.doc_id for row in found} == {i for i in range(12) if labels[i]}
     assert {row.sentence for row in found} == {"You are a scoundrel today."}
+    worst = {row.doc_id: row for row in toxicity.score(docs, model).collect()}
+    places = {row.doc_id: (row.place, row.chance) for row in found}
+    for i, (place, chance) in places.items():
+        assert worst[i].worst_place == place and worst[i].worst_chance == pytest.approx(chance)
+    assert worst[99].worst_place is None and worst[99].worst_chance is None

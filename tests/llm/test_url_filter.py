@@ -80,3 +80,23 @@ def test_a_cascade_is_exact_for_the_universe(spark):
 def test_empty_tables(spark):
     assert judged(spark, [], URL_RULES) == []
     assert judged(spark, PAGES[:6], []) == brute(PAGES[:6], [])
+
+
+def test_rule_hosts_are_lower_cased_as_url_hosts_are(spark):
+    rules = [("É.com", "/", "block"), ("B.com", "/", "block")]
+    pages = [(1, "http://É.com/x", None), (2, "http://é.com/x", None), (3, "http://b.COM/", None)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    found = url_filter.judge(frame, listed)
+    assert plain(found, "page_id", "rule", "verdict") == ordered([(1, "É.com/", "block"), (2, None, "allow"), (3, "b.com/", "block")])
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LISTED", 40)
+    rules = [(f"h{i}.net", "/", "block" if i % 2 else "allow") for i in range(300)]
+    pages = [(i, f"http://a.h{i}.net/p", None) for i in range(400)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    found = plain(url_filter.judge(frame, listed), "page_id", "rule", "verdict")
+    verdicts = {i: (f"h{i}.net/", "block" if i % 2 else "allow") if i < 300 else (None, "allow") for i in range(400)}
+    assert found == ordered([(i, *verdict) for i, verdict in verdicts.items()])
