@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, numbered, stored, text_or_empty, unused, without_rows, words
+from tablewright.operators.joins import id_filter
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCUMENTS = 100
@@ -135,6 +136,10 @@ def judge(
     """
     measured = stored(measures(docs, number), "line-measures")
     frequent = stored(frequent_lines(measured, min_documents, share, least), "frequent-lines")
+    return _verdicts(measured, frequent, min_left)
+
+
+def _verdicts(measured: DataFrame, frequent: DataFrame, min_left: float) -> DataFrame:
     lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(
         F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone")
@@ -159,18 +164,31 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
 
 
-def with_stripped_digest(docs: DataFrame, **limits: float) -> DataFrame:
+def with_stripped_digest(
+    docs: DataFrame,
+    min_documents: int = MIN_DOCUMENTS,
+    share: float = SHARE,
+    min_left: float = MIN_LEFT,
+    least: int = LEAST,
+) -> DataFrame:
     """What ``judge`` gives and ``stripped_sha256``, of the text without its frequent lines.
 
-    Texts that lose lines are read a second time and found by host and hash, which say all that decides on them.
+    Texts that lose lines are read a second time: a filter of their hashes leaves few others, and the frequent lines, one
+    row per host, come to the texts.  Host and text hash say all that decides on a text, so its digest is found by them.
     """
-    judged = stored(judge(docs, **limits), "line-verdicts")
+    measured = stored(measures(docs), "line-measures")
+    frequent = stored(frequent_lines(measured, min_documents, share, least), "frequent-lines")
+    judged = stored(_verdicts(measured, frequent, min_left).drop("gone"), "line-verdicts")
     key = ["host", "text_hash"]
-    lose = judged.filter("gone IS NOT NULL").groupBy(*key).agg(F.first("gone").alias("gone"))
+    lose = stored(judged.filter("removed_words > 0").select("text_hash").distinct(), "texts-to-strip")
+    of_host = stored(frequent.groupBy("host").agg(F.collect_list("line").alias("gone")), "lines-of-hosts")
     text = text_or_empty("text")
     again = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    might_lose = id_filter(lose, "text_hash", lose.count())
+    if might_lose is not None:
+        again = again.filter(might_lose(F.col("text_hash")))
     digest = F.sha2(without_lines(F.col("text"), F.col("gone")).cast("binary"), 256)
-    stripped = again.join(stored(lose, "texts-to-strip"), key).select(*key, digest.alias("digest")).groupBy(*key).agg(F.first("digest").alias("digest"))
+    stripped = again.join(of_host, "host").select(*key, digest.alias("digest")).groupBy(*key).agg(F.first("digest").alias("digest"))
     whole = F.col("text_sha256")
     return judged.join(stored(stripped, "stripped-digests"), key, "left").withColumn("stripped_sha256", F.coalesce("digest", whole))
 
