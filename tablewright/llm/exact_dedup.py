@@ -5,9 +5,10 @@ characters, then a hash of the whole), sorted with spilling in each partition so
 are neighbours, and cut into groups by comparing neighbouring whole texts.  The hash only orders and
 deals out; equality is decided on whole texts.
 
-A text with very many copies would fill one partition.  Counting rows per hash beforehand finds such
-texts: more than ``hot_rows`` rows and more than a 5000th of all, so there are fewer than 5000.  Their
-rows are split by a salt, and their totals come from an aggregate that combines before it shuffles.
+A text with very many copies would fill one partition.  Counting rows per hash beforehand finds the hashes
+of more than ``hot_rows`` rows; they are a stored table that is joined back, so there may be any number of
+them.  Their rows are split by a salt made of the row's number, which splits rows of one id or of none as
+well.  What each split found is written, and the totals of a split text come from those rows: one per split.
 """
 
 from __future__ import annotations
@@ -15,26 +16,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import lower_ascii, text_or_empty
+from tablewright.llm.common import lower_ascii, stored, text_or_empty
 
-HOT_LIST = 5000
+HOT_ROWS = 250
 PREFIX = 48
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = 250) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "smallest", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document with ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical after lower-casing A-Z; NULL counts as empty.  ``keep``
     says whether the smallest or the largest doc_id of a group stays.  NULL ids stay only where a
     group has no other, and then ``keep_id`` is NULL.  Of rows that share both text and kept id
-    exactly one is ``kept``.  Other columns of ``docs`` are ignored whatever their names.  An empty
-    table gives an empty result.
+    exactly one is ``kept``.  Very long texts are compared whole.  Other columns of ``docs`` are ignored
+    whatever their names.  An empty table gives an empty result.
     """
     return _judged(docs, keep, (), hot_rows)
 
 
-def drop_copies(docs: DataFrame, keep: str = "smallest", hot_rows: int = 250) -> DataFrame:
-    """The documents that stay, with the columns and texts they came with."""
+def drop_copies(docs: DataFrame, keep: str = "smallest", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The documents that stay, with the columns and texts they came with; rules and cases as in ``exact_dedup``."""
     judged = _judged(docs, keep, tuple(docs.columns), hot_rows).filter("kept")
     return judged.select(*[F.col(f"_c_{name}").alias(name) for name in docs.columns])
 
@@ -44,45 +45,55 @@ def _judged(docs: DataFrame, keep: str, carry: tuple[str, ...], hot_rows: int) -
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     normal = lower_ascii(text_or_empty("text"))
-    rows = docs.select("doc_id", normal.alias("_norm"), *[F.col(name).alias(f"_c_{name}") for name in carry])
-    rows = rows.withColumn("_hash", F.xxhash64("_norm"))
-    limit = max(hot_rows, docs.count() // HOT_LIST)
-    hot = rows.groupBy("_hash").agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()
-    pieces = max((row.n for row in hot), default=1) // limit + 1
-    is_hot = F.col("_hash").isin([row["_hash"] for row in hot])
-    salt = F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(pieces))).otherwise(F.lit(0)) if hot else F.lit(0)
+    carried = [f"_c_{name}" for name in carry]
+    rows = docs.select(
+        "doc_id",
+        normal.alias("_norm"),
+        F.monotonically_increasing_id().alias("_row"),
+        *[F.col(name).alias(other) for name, other in zip(carry, carried)],
+    ).withColumn("_hash", F.xxhash64("_norm"))
+    counts = rows.groupBy("_hash").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    hot = stored(counts.select("_hash", F.ceil(F.col("n") / hot_rows).alias("_pieces")), "hot-texts")
+    salt = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_pieces")))
 
-    best = F.max if keep == "largest" else F.min
     key = ["_prefix", "_hash", "_salt"]
     sorted_rows = (
-        rows.withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_salt": salt.cast("bigint")})
+        rows.join(hot, "_hash", "left")
+        .withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_salt": salt.cast("bigint")})
         .repartitionByRange(*key)
     )
     group = Window.partitionBy(*key, "_norm")
-    order = F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
-    judged = sorted_rows.select(
+    largest = keep == "largest"
+    best = F.max if largest else F.min
+    order = F.desc_nulls_last("doc_id") if largest else F.asc_nulls_last("doc_id")
+    split = sorted_rows.select(
         "doc_id",
-        "_hash",
+        "_salt",
+        F.col("_pieces").isNotNull().alias("_split"),
         best("doc_id").over(group).alias("keep_id"),
         F.count("*").over(group).alias("group_size"),
-        F.row_number().over(group.orderBy(order)).alias("_place"),
+        (F.row_number().over(group.orderBy(order)) == 1).alias("_first"),
         F.sha2("_norm", 256).alias("text_sha256"),
-        *[f"_c_{name}" for name in carry],
+        *carried,
+    )
+    split = stored(split.filter("_first") if carry else split, "judged-texts")
+
+    # A split's row of the best id, ids before NULL and the first split of those that have it.
+    known = F.col("keep_id").isNotNull() if largest else F.col("keep_id").isNull()
+    turn = -F.col("_salt") if largest else F.col("_salt")
+    totals = (
+        split.filter("_split AND _first")
+        .groupBy("text_sha256")
+        .agg(best(F.struct(known.alias("known"), "keep_id", turn.alias("turn"))).alias("_best"), F.sum("group_size").alias("_size"))
+    )
+    judged = split.join(stored(totals, "split-totals"), "text_sha256", "left")
+    whole = F.col("_best").isNull()
+    chosen = F.when(whole, F.lit(True)).otherwise(F.abs("_best.turn") == F.col("_salt"))
+    return judged.select(
+        "doc_id",
+        F.when(whole, F.col("keep_id")).otherwise(F.col("_best.keep_id")).alias("keep_id"),
+        F.coalesce("_size", "group_size").alias("group_size"),
+        (F.col("_first") & chosen).alias("kept"),
+        "text_sha256",
+        *carried,
     )
-    if hot:
-        totals = (
-            rows.filter(is_hot)
-            .groupBy("_hash", "_norm")
-            .agg(best("doc_id").alias("_all_keep"), F.count("*").alias("_all_size"))
-            .select("_hash", F.sha2("_norm", 256).alias("text_sha256"), "_all_keep", "_all_size")
-        )
-        judged = judged.join(F.broadcast(totals), ["_hash", "text_sha256"], "left")
-        judged = judged.withColumns(
-            {
-                "keep_id": F.when(F.col("_all_size").isNull(), F.col("keep_id")).otherwise(F.col("_all_keep")),
-                "group_size": F.coalesce("_all_size", "group_size"),
-            }
-        )
-    kept = (F.col("_place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    carried = [f"_c_{name}" for name in carry]
-    return judged.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *carried)

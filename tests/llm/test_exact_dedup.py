@@ -7,6 +7,7 @@ import pytest
 from cases import DOCS, documents, lower_ascii, ordered, plain
 
 from tablewright.llm import exact_dedup
+from tablewright.llm.common import stored
 
 
 def brute(rows, best):
@@ -27,6 +28,7 @@ def brute(rows, best):
 @pytest.mark.parametrize("hot_rows", [1000, 1])
 def test_against_brute_force(spark, keep, best, hot_rows):
     rows = DOCS + [(100 + i, "Copy", "en", "z", 1) for i in range(40)]
+    rows += [(None, "Nameless", "en", "z", 1)] * 30 + [(7, "Again", "en", "z", 1)] * 30 + [(None, "again", "en", "z", 1)] * 5
     found = exact_dedup.exact_dedup(documents(spark, rows), keep, hot_rows=hot_rows)
     assert plain(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute(rows, best)
 
@@ -39,6 +41,22 @@ def test_copies_go(spark):
     assert len(texts) == len(set(texts)) == len({lower_ascii(row[1]) for row in DOCS})
 
 
+@pytest.mark.parametrize("ids", [[None], [5], [5, None, 6]])
+def test_one_of_split_copies_stays(spark, ids):
+    rows = [(ids[i % len(ids)], "Same TEXT", "en", "z", i) for i in range(200)]
+    left = exact_dedup.drop_copies(documents(spark, rows), "largest", hot_rows=10).collect()
+    assert [row.doc_id for row in left] == [max((i for i in ids if i), default=None)]
+
+
+def test_rows_of_one_id_are_split_evenly(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(exact_dedup, "stored", lambda frame, name: written.setdefault(name, stored(frame, name)))
+    rows = [(None, "same", "en", "z", 1)] * 2000
+    exact_dedup.exact_dedup(documents(spark, rows), hot_rows=100)
+    sizes = [row["count"] for row in written["judged-texts"].groupBy("_salt").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_empty_table(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
