@@ -2,9 +2,10 @@
 
 1. Word counts per source give targets: a share of all words by weight, no source above
    ``max_epochs`` times its size, what is above dealt again by weight.
-2. Each source is cut into shards by a hash of the document, so that a source with a third of all
-   rows is as many shards as it needs.  The documents of a shard stand in a seeded order, end to end,
-   and are cut into blocks of equal length, as near to ``block_words`` as fits.
+2. Each source is cut into shards by a hash of the document, its text included, so that a source with a
+   third of all rows is as many shards as it needs, whether or not its ids differ.  The documents of a
+   shard stand in a seeded order, end to end, and are cut into blocks of equal length, as near to
+   ``block_words`` as fits.  Documents without words are in no shard.
 3. Blocks go to sources by highest quotients target / (2k + 1), then in the same way from a source to
    groups of shards and from a group to shards, which gives each shard a whole number of blocks.  One
    ranking sees the sources, the groups of one source, or the shards of one group.
@@ -23,9 +24,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored, word_count, words
+from tablewright.llm.common import GAP_CHARACTERS, stored, word_count
 
 GROUP = 1024
+EMPTY_PARTS = 1 << 16
+WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
@@ -96,7 +99,7 @@ def plan(
     sources = source_targets(sizes, weights, share, max_epochs)
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("bigint")
     sources = stored(sources.withColumns({"n_shards": n_shards, "source_key": F.xxhash64("source")}), "source-targets")
-    totals = placed(counted, sources, seed).groupBy("source_key", "shard").agg(F.sum("size").alias("shard_words"))
+    totals = placed(counted.filter("size > 0"), sources, seed).groupBy("source_key", "shard").agg(F.sum("size").alias("shard_words"))
     blocks = F.when(F.col("shard_words") > 0, F.greatest(F.lit(1), F.round(F.col("shard_words") / block_words)))
     shards = totals.withColumn("blocks", F.coalesce(blocks, F.lit(0)).cast("bigint"))
     shards = stored(shards.withColumn("group", F.floor(F.col("shard") / GROUP)), "shards")
@@ -138,12 +141,22 @@ def plan(
     return sources, stored(leaves, "shard-quotas")
 
 
+def counted_words(docs: DataFrame, *carry: str) -> DataFrame:
+    """``doc_id, source, size`` and the text's hash, by which rows of one id or of none are told apart."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *carry)
+
+
 def placed(counted: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """The counted documents with their source's totals and their shard."""
+    """The counted documents with their source's totals and their shard.
+
+    Documents without words, which give nothing, get negative numbers that only spread them over tasks.
+    """
     keyed = counted.withColumn("source_key", F.xxhash64("source"))
     totals = sources.select("source_key", "source_size", "target", "n_shards")
-    shard = F.pmod(_seeded(seed, "doc_id", "size"), F.col("n_shards"))
-    return keyed.join(totals, "source_key").withColumn("shard", shard)
+    shard = F.pmod(_seeded(seed, "doc_id", "size", "_text"), F.col("n_shards"))
+    apart = F.lit(-1) - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(EMPTY_PARTS))
+    keyed = keyed.withColumn("_apart", F.when(F.col("size") == 0, apart))
+    return keyed.join(totals, "source_key").withColumn("shard", F.coalesce("_apart", shard)).drop("_apart")
 
 
 def mix(
@@ -161,17 +174,17 @@ def mix(
     ``size`` counts the text's words (0 for NULL), ``taken`` the words the mix takes of it, repeats
     counted, at most ``max_epochs`` times ``size``.  Documents without words give nothing.  NULL is a
     source of its own.  Repeated rows count each by itself.  Other columns are ignored whatever their
-    names.  An empty table gives an empty result.  Columns in ``carry`` come along; with ``text`` among
-    them there are also ``passes`` (whole copies taken) and ``part`` (the words of the blocks taken
-    once more, NULL if none).
+    names.  An empty table gives an empty result.  Very long texts are cut into blocks like any other.  Columns
+    in ``carry`` come along; with ``text`` among them there are also ``passes`` (whole copies taken) and
+    ``part`` (the words of the blocks taken once more, each but the last with the gap that follows it in the
+    text, so line ends stay; NULL if none).
     """
-    counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    counted = stored(counted, "word-counts")
+    counted = stored(counted_words(docs), "word-counts")
     sources, shards = plan(counted, weights, share, max_epochs, block_words, shard_words, seed)
     if carry:
-        counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
+        counted = counted_words(docs, *carry)
     rows = placed(counted, sources, seed)
-    order = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id", "size"), "doc_id", "size")
+    order = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id", "size", "_text"), "doc_id", "size", "_text")
     rows = rows.withColumn("_to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(shards, ["source_key", "shard"], "left").withColumn("_from", F.col("_to") - F.col("size"))
     rows = rows.withColumns(
@@ -196,16 +209,18 @@ def mix(
     kept = ["doc_id", "size", "source", "source_size", "target", "taken"]
     if "text" not in carry:
         return rows.select(*kept, *carry)
-    pieces = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, int(r.start + 1), int(r.stop - r.start)))), ' ')")
+    pieces = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, int(r.start + 1), int(r.stop - r.start)))), '')")
+    pieces = F.rtrim(pieces, F.lit(GAP_CHARACTERS))
     part = F.when(F.col("_more") == 0, F.lit(None)).when(F.col("_more") == F.col("size"), F.col("text")).otherwise(pieces)
-    rows = rows.withColumn("_words", words(F.col("text")))
+    rows = rows.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)))
     return rows.select(*kept, *carry, passes.alias("passes"), part.alias("part"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself in the columns of ``documents``: a row for each whole copy and for a part.
 
-    Whole copies keep their text; a part is its words joined by single spaces.
+    Whole copies keep their text; a part keeps its words and the gaps between them, line ends included.  Documents
+    that the mix takes no word of, NULL and empty texts among them, are not in it.
     """
     rows = mix(docs, carry=("text", "lang"), **settings)
     copies = F.array_compact(F.concat(F.array_repeat("text", F.col("passes").cast("int")), F.array("part")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 
 import pytest
@@ -90,6 +91,29 @@ def test_texts_of_the_mix(spark):
     assert words == {doc_id: n for doc_id, n in taken.items() if n}
 
 
+def test_parts_keep_their_line_ends(spark):
+    rows = [(i, "\n".join(f"line {i} of\tmany  {k}" for k in range(20)), "en", "s", 1) for i in range(40)]
+    found = mixing.mixed_documents(documents(spark, rows), share=0.5, block_words=30, shard_words=400).collect()
+    parts = [row for row in found if len(tokens(row.text)) < 100]
+    assert parts
+    for row in parts:
+        left = iter(re.findall(r"\S+\s*", rows[row.doc_id][1]))
+        *pieces, last = re.findall(r"\S+\s*", row.text)
+        assert all(piece in left for piece in pieces) and any(piece.rstrip() == last for piece in left)
+
+
+def test_rows_without_id_or_words_are_spread(spark):
+    rows = [(None, f"w{i} word", "en", "s", 1) for i in range(3000)] + [(None, None, "en", "s", 1)] * 3000
+    counted = mixing.counted_words(documents(spark, rows))
+    sources = mixing.source_targets(counted.groupBy("source").agg({"size": "sum"}).toDF("source", "source_size"), (5, 2, 1), 1.5, 2)
+    extra = {"n_shards": mixing.F.lit(10), "source_key": mixing.F.xxhash64("source")}
+    shards = mixing.placed(counted, sources.withColumns(extra), 11).groupBy("shard").count().collect()
+    assert max(row["count"] for row in shards if row.shard >= 0) < 2 * 300 and sum(row["count"] for row in shards) == 6000
+    assert max(row["count"] for row in shards if row.shard < 0) < 20
+    found = mixing.mix(documents(spark, rows), shard_words=600).collect()
+    assert len(found) == 6000 and sum(row.taken for row in found) == pytest.approx(9000, abs=64)
+
+
 def test_empty_table(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.mix(documents(spark, [(1, None, None, None, 0)])).first().taken == 0
