@@ -2,20 +2,20 @@
 
 A batch's texts are cut into words (a run of blanks and what follows it; no piece of the vocabulary
 goes on past a blank that comes after something else).  Words not met before are laid out in flat
-numpy arrays of symbols, one symbol per character.  Each round looks up the rank of every neighbouring
-pair, takes the minimum per word over its segment, merges, and compacts the arrays; words without a pair
-left drop out, until none remains.  In a word all leftmost occurrences of the minimum pair that do not
-overlap merge at once where no pair with the new piece can rank before it; where one can, only
-the leftmost merges in that round, as the sequential rule demands.  Characters outside the vocabulary become
-their UTF-8 bytes.
-
-Words of over ``LONG`` symbols would need as many rounds over all their symbols; those merge by a heap, with
-the same result.  Encoded words are kept for later batches of the task, at most ``KEPT`` of them.
+numpy arrays of symbols, one symbol per character.  Where no piece holds two neighbouring characters next
+to each other, no merge can join them, so words are cut there into segments.  Each round takes the minimum
+pair rank per segment, merges, and compacts the arrays; pairs are looked up again only beside what
+merged, and segments without a pair left drop out, until none remains.  In a segment all leftmost
+occurrences of the minimum pair that do not overlap merge at once where no pair with the new piece can
+rank before it; where one can, only the leftmost merges in that round, as the sequential rule demands.
+Characters outside the vocabulary become their UTF-8 bytes.
+
+Encoded words are kept for later batches of the task, but none of over ``LONGEST_KEPT`` characters, and no more
+than ``KEPT_BYTES`` and one batch's in all.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +28,32 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 NONE = np.int32(2**31 - 1)
-LONG = 512
-KEPT = 300_000
+LONGEST_KEPT = 256
+KEPT_BYTES = 32 << 20
 ROWS_OUT = 256
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 _PROBES = ("", " ", "  a  b ", "a\tb\nc", "▁x ▁", "日本 \U00010348", "<s> <unk>", "ﬁ Å", "     the")
 
 
+class Kept(dict[str, bytes]):
+    """Encoded words and how many bytes they take, words of four bytes a character."""
+
+    size = 0
+
+    def make_room(self) -> None:
+        if self.size > KEPT_BYTES:
+            self.clear()
+            self.size = 0
+
+    def settle(self, new: list[str]) -> None:
+        """Counts the new words and lets long ones go."""
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del self[word]
+            else:
+                self.size += 100 + 4 * len(word) + len(self[word])
+
+
 @dataclass
 class Vocabulary:
     """The tables of a model: pieces, single characters, and which pairs make which piece."""
@@ -64,7 +83,8 @@ class Vocabulary:
         return found
 
     def __getstate__(self) -> dict:
-        return {name: self.__dict__[name] for name in ("pieces", "scores", "kinds", "begin", "end")}
+        """With the tables made so far, but for the large one that takes no time to make."""
+        return {name: value for name, value in self.__dict__.items() if name != "of_character"}
 
     @cached_property
     def rank(self) -> np.ndarray:
@@ -105,6 +125,19 @@ class Vocabulary:
             at_once[part[self.rank[made] <= self.rank[part]]] = False
         return keys, made, at_once
 
+    @cached_property
+    def _neighbours(self) -> np.ndarray:
+        """Sorted keys of the left and right character's ids, for characters next to each other in some piece."""
+        ids = {piece: i for i, piece in enumerate(self.pieces) if self.kinds[i] == "n" and len(piece) == 1}
+        found = {
+            ids[left] << 32 | ids[right]
+            for piece, kind in zip(self.pieces, self.kinds)
+            if kind == "n"
+            for left, right in zip(piece, piece[1:])
+            if left in ids and right in ids
+        }
+        return np.array(sorted(found) or [0], np.int64)
+
     @cached_property
     def _piece_bytes(self) -> list[bytes]:
         plain = {"n": lambda p: p.replace(BLANK, " ").encode(), "b": lambda p: bytes([int(p[3:5], 16)]), "c": lambda p: b"", "u": lambda p: " ⁇ ".encode()}
@@ -117,97 +150,95 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where((keys[at] == wanted) & (left >= 0) & (right >= 0), made[at], -1)
 
-    def merged(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols of each word after all merges: ids, or -1 - code point where there is none."""
+    def _joinable(self, symbols: np.ndarray) -> np.ndarray:
+        """Whether a piece can hold each character and the next one next to each other."""
+        wanted = symbols[:-1] << 32 | np.maximum(symbols[1:], 0)
+        at = np.minimum(np.searchsorted(self._neighbours, wanted), len(self._neighbours) - 1)
+        return (self._neighbours[at] == wanted) & (symbols[:-1] >= 0) & (symbols[1:] >= 0)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words after all merges, ids or -1 - code point where there is none, and each one's word."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.of_character[points].astype(np.int64)
         symbols = np.where(symbols < 0, -1 - points, symbols)
-        done: list[np.ndarray | None] = [None] * len(words)
         word = np.repeat(np.arange(len(words)), lengths)
-        long_words = np.flatnonzero(lengths > LONG)
-        for w in long_words:
-            done[w] = self._by_heap(symbols[word == w])
-        active = ~np.isin(word, long_words)
-        symbols, word = symbols[active], word[active]
+        segment = np.cumsum(np.r_[0, (word[1:] != word[:-1]) | ~self._joinable(symbols)])[: len(symbols)]
+        place = np.arange(len(symbols))
+        out_symbols, out_place = [symbols[:0]], [place[:0]]
+        made = self._made(symbols, segment, place)
         at_once = self._pairs[2]
-        while len(word):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            inner = np.r_[word[1:] == word[:-1], False]
-            made = np.where(inner, self._made_by(symbols, np.r_[symbols[1:], -1]), -1)
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            sizes = np.diff(np.r_[starts, len(segment)])
             ranks = np.where(made >= 0, self.rank[made], NONE)
             least = np.minimum.reduceat(ranks, starts)
-            sizes = np.diff(np.r_[starts, len(word)])
-            finished = least == NONE
-            for s, n in zip(starts[finished].tolist(), sizes[finished].tolist()):
-                done[word[s]] = symbols[s : s + n]
+            finished = np.repeat(least == NONE, sizes)
+            out_symbols.append(symbols[finished])
+            out_place.append(place[finished])
             chosen = np.flatnonzero((ranks == np.repeat(least, sizes)) & (ranks != NONE))
-            first = np.r_[True, word[chosen[1:]] != word[chosen[:-1]]] if len(chosen) else np.zeros(0, bool)
-            place = np.arange(len(chosen))
-            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(chosen) != 1][: len(chosen)], place, 0))
-            chosen = chosen[first | (at_once[made[chosen]] & ((place - run) % 2 == 0))]
+            first = np.r_[True, segment[chosen[1:]] != segment[chosen[:-1]]][: len(chosen)]
+            nth = np.arange(len(chosen))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(chosen) != 1][: len(chosen)], nth, 0))
+            chosen = chosen[first | (at_once[made[chosen]] & ((nth - run) % 2 == 0))]
             symbols[chosen] = made[chosen]
-            stay = ~np.repeat(finished, sizes)
+            stay = ~finished
             stay[chosen + 1] = False
-            symbols, word = symbols[stay], word[stay]
-        return done
-
-    def _by_heap(self, symbols: np.ndarray) -> np.ndarray:
-        """One word's merges in order of (rank, place) with a linked list of symbols."""
-        value = symbols.tolist()
-        after, before = list(range(1, len(value) + 1)), list(range(-1, len(value) - 1))
-        pieces_of = dict(zip(self._pairs[0].tolist(), self._pairs[1].tolist()))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < len(value) and value[i] >= 0 and value[j] >= 0:
-                made = pieces_of.get(value[i] << 32 | value[j])
-                if made is not None:
-                    heapq.heappush(heap, (int(self.rank[made]), i, value[i] << 32 | value[j], made))
-
-        for i in range(len(value)):
-            offer(i)
-        gone = [False] * len(value)
-        while heap:
-            _, i, key, made = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= len(value) or value[i] < 0 or value[j] < 0 or value[i] << 32 | value[j] != key:
-                continue
-            value[i], gone[j], after[i] = made, True, after[j]
-            if after[i] < len(value):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([v for v, out in zip(value, gone) if not out], np.int64)
-
-    def _with_bytes(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids, with the UTF-8 bytes of characters outside the vocabulary."""
-        if not (symbols < 0).any():
-            return symbols.astype("<u4")
-        out: list[int] = []
-        for s in symbols.tolist():
-            out.extend([s] if s >= 0 else self.byte_ids[list(chr(-1 - s).encode("utf-8", "surrogatepass"))].tolist())
-        return np.array(out, "<u4")
-
-    def encode_words(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Adds the ids of the words that are not known yet, as little-endian bytes."""
-        if words:
-            for word, symbols in zip(words, self.merged(words)):
-                known[word] = self._with_bytes(symbols).tobytes()
-
-    def encode_bytes(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+            now = (np.cumsum(stay) - 1)[chosen]
+            symbols, segment, place, made = symbols[stay], segment[stay], place[stay], made[stay]
+            changed = np.union1d(now, now[now > 0] - 1)
+            made[changed] = self._made(symbols, segment, changed)
+        symbols, place = np.concatenate(out_symbols), np.concatenate(out_place)
+        order = np.argsort(place)
+        return symbols[order], word[place[order]]
+
+    def _made(self, symbols: np.ndarray, segment: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The piece that the symbol at each place makes with the next one of its segment, or -1."""
+        after = np.minimum(at + 1, len(symbols) - 1)
+        joined = self._made_by(symbols[at], symbols[after])
+        return np.where((after > at) & (segment[after] == segment[at]), joined, -1)
+
+    def _with_bytes(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and each one's word, with the UTF-8 bytes of characters outside the vocabulary."""
+        unknown = np.flatnonzero(symbols < 0)
+        if not len(unknown):
+            return symbols, word
+        found, which = np.unique(-1 - symbols[unknown], return_inverse=True)
+        coded = [chr(point).encode("utf-8", "surrogatepass") for point in found.tolist()]
+        sizes = np.array(list(map(len, coded)))
+        counts = np.ones(len(symbols), np.int64)
+        counts[unknown] = sizes[which]
+        ids, starts = np.repeat(symbols, counts), np.cumsum(counts) - counts
+        table = np.zeros((len(coded), 4), np.int64)
+        for i, code in enumerate(coded):
+            table[i, : len(code)] = self.byte_ids[list(code)]
+        for k in range(4):
+            longer = sizes[which] > k
+            ids[starts[unknown[longer]] + k] = table[which[longer], k]
+        return ids, np.repeat(word, counts)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian bytes."""
+        if not words:
+            return []
+        ids, word = self._with_bytes(*self.merged(words))
+        whole = ids.astype("<u4").tobytes()
+        ends = (4 * np.searchsorted(word, np.arange(len(words)), "right")).tolist()
+        return [whole[begin:end] for begin, end in zip([0, *ends], ends)]
+
+    def encode_bytes(self, texts: list[str], known: Kept) -> list[bytes]:
         """Per text the ids as little-endian unsigned 32-bit integers, begin and end included."""
         cut = [_WORD.findall(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts]
-        if len(known) > KEPT:
-            known.clear()
-        self.encode_words(list({word for words in cut for word in words if word not in known}), known)
+        known.make_room()
+        new = list({word for words in cut for word in words if word not in known})
+        known.update(zip(new, self.encode_words(new)))
         begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
-        return [b"".join([begin, *map(known.__getitem__, words), end]) for words in cut]
+        encoded = [b"".join([begin, *map(known.__getitem__, words), end]) for words in cut]
+        known.settle(new)
+        return encoded
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.encode_bytes(texts, {})]
+        return [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.encode_bytes(texts, Kept())]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the pieces: control ids vanish, the blank before the first piece goes."""
@@ -227,7 +258,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = Vocabulary.load(path)
 
     def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
+        known = Kept()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)

@@ -36,6 +36,23 @@ def test_long_words_and_blanks():
     same(["-" * k + " " * k + "=" * k for k in range(60)])
 
 
+def test_texts_without_blanks():
+    random.seed(1)
+    draw = lambda alphabet: "".join(random.choices(alphabet, k=20_000))
+    same([draw("etaoinshrdlu"), draw("ABCDEFabcdef0123456789+/"), draw("日本語中文字的是不了人我在有他这"), draw("abcdefghijklmnopqrstuvwxyz")])
+    same([draw("a="), "https://" + draw("abc/?&=%20-_."), draw("привет мирдело"), "\U00010348é" * 9000])
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "KEPT_BYTES", 4000)
+    known = sentencepiece_bpe.Kept()
+    for i in range(50):
+        texts = [f"word{i} other{i} " + "long" * 100, "same words"]
+        found = VOCABULARY.encode_bytes(texts, known)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == LIBRARY.encode(texts, add_bos=True, add_eos=True)
+        assert known.size < 6000 and max(map(len, known)) <= sentencepiece_bpe.LONGEST_KEPT
+
+
 def test_whole_table(spark):
     found = sentencepiece_bpe.digests(sentencepiece_bpe.encode_and_decode(documents(spark), tokenizer_path()))
     expected = []
