@@ -8,7 +8,8 @@ Spark counts the documents per arc (shards x virtual numbers, whatever the corpu
 those counts, round by round: in round r every arc offers what it has left to the r-th point from its
 own, arcs in ring order, earlier positions first.  An arc only goes on past a shard that became full, so
 the result has at most one piece per arc and one per shard.  That list, bounded in the same way, is
-broadcast, and a document's rank within its arc says which piece it is in.
+broadcast, and a document's rank within its arc says which piece it is in.  Ranks are running counts;
+an arc with more than a task's share, as where equal rows without id share a position, is ranked in blocks.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored, text_or_empty
+from tablewright.operators.windows import keyed, running_totals
 
 OVERHEAD = 16
 
@@ -77,7 +79,8 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = 256, load_factor: f
     without gaps.  At ``load_factor`` 1 shards differ by one document at most; a larger factor bounds
     every shard by that multiple of the mean and moves fewer documents when shards are added.  Rows
     with equal id and text share a position and take neighbouring ranks; NULL ids are placed by their
-    text.  Other columns are ignored whatever their names.  An empty table gives an empty result.
+    text.  Very long texts count with all their bytes.  Other columns are ignored whatever their names.  An empty
+    table gives an empty result.
     """
     if load_factor < 1:
         raise ValueError("shards together have to hold all documents: load_factor >= 1")
@@ -89,13 +92,15 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = 256, load_factor: f
         F.crc32(body.cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
-    rows = stored(rows.withColumn("_arc", arc_of(F.col("_at"), points)), "ring-positions")
+    rows = rows.withColumns({"_arc": arc_of(F.col("_at"), points), "_number": F.monotonically_increasing_id()})
+    rows = stored(rows, "ring-positions")
     counts = {row["_arc"]: row["n"] for row in rows.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
     pieces = deal(counts, owners, capacities(sum(counts.values()), shards, load_factor))
     schema = "_arc int, _begin bigint, _end bigint, shard int, _slot bigint"
     table = docs.sparkSession.createDataFrame(pieces, schema)
-    in_arc = Window.partitionBy("_arc").orderBy("_at", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("_rank", (F.row_number().over(in_arc) - 1).cast("bigint"))
+    order = ["_at", "doc_id", "size", "text_crc32", "_number"]
+    ranked = running_totals(keyed(rows, ["_arc"], store=False), order, {"_upto": F.lit(1)})
+    ranked = ranked.withColumn("_rank", F.col("_upto").cast("bigint") - 1)
     placed = ranked.join(
         F.broadcast(table),
         (ranked["_arc"] == table["_arc"]) & (F.col("_rank") >= F.col("_begin")) & (F.col("_rank") < F.col("_end")),

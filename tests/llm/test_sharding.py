@@ -8,6 +8,7 @@ import pytest
 from cases import DOCS, documents, ordered, plain
 
 from tablewright.llm import sharding
+from tablewright.operators import windows
 
 MANY = [(i, f"text {i}", "en", "a", 1) for i in range(3000)]
 
@@ -62,6 +63,21 @@ def test_few_move_when_a_shard_is_added(spark):
     assert moved[1.25] < 0.15 and moved[1.0] < 0.5
 
 
+def test_an_arc_of_equal_rows_is_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK_ROWS", 100)
+    blocks = []
+    cut = windows._in_blocks
+    monkeypatch.setattr(windows, "_in_blocks", lambda *args: blocks.append(cut(*args)) or blocks[-1])
+    rows = MANY + [(None, "same", "en", "a", 1)] * 2000
+    found = sharding.assign(documents(spark, rows), shards=40, virtual=16).collect()
+    counts = Counter(row.shard for row in found)
+    assert len(found) == 5000 and set(counts.values()) == {125}
+    for shard in counts:
+        assert sorted(row.slot for row in found if row.shard == shard) == list(range(125))
+    hot = max(blocks[-1].groupBy("_arc", "__block").count().collect(), key=lambda row: row["count"])
+    assert hot["count"] < 2 * 5000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_reruns_agree_and_empty_table(spark):
     columns = ("doc_id", "shard", "slot")
     once = plain(sharding.assign(documents(spark, MANY)), *columns)
