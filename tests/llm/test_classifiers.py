@@ -130,3 +130,29 @@ def test_offending_sentences_are_located(spark):
     for i, (place, chance) in places.items():
         assert worst[i].worst_place == place and worst[i].worst_chance == pytest.approx(chance)
     assert worst[99].worst_place is None and worst[99].worst_chance is None
+
+
+def test_n_grams_by_plain_counting():
+    texts = ["The  cat sat\non the CAT mat é", "one", "x y", " \t ", "a" * 700]
+    word_kinds = {}
+    for text in texts:
+        found = quality_ranking.n_grams(text)
+        size = quality_ranking.BUCKETS
+        words = text.lower().split()
+        assert found[:size].round(9).any() == bool(words)
+        assert np.isclose((found**2).sum(), bool(words) + (len(text.encode()) > 2))
+        for word in set(words):
+            alone = int(quality_ranking.n_grams(word)[:size].argmax())
+            assert word_kinds.setdefault(word, alone) == alone and found[alone] > 0
+    assert np.array_equal(quality_ranking.n_grams("the cat"), quality_ranking.n_grams("THE cat"))
+    assert np.allclose(quality_ranking.n_grams("the cat")[:size], quality_ranking.n_grams(" the\n cat ")[:size])
+
+
+def test_n_grams_of_very_long_texts_are_taken_slice_by_slice(monkeypatch):
+    slice_of = "some words of a very long text "
+    monkeypatch.setattr(quality_ranking, "SLICE", len(slice_of))
+    quality_ranking._powers.cache_clear()
+    found = quality_ranking.n_grams(slice_of * 40)
+    monkeypatch.undo()
+    quality_ranking._powers.cache_clear()
+    assert np.allclose(found, quality_ranking.n_grams(slice_of))
