@@ -36,7 +36,7 @@ _PROBES = ("", " ", "  a  b ", "a\tb\nc", "▁x ▁", "日本 \U00010348", "<s>
 
 
 class Kept(dict[str, bytes]):
-    """Encoded words and how many bytes they take, words of four bytes a character."""
+    """Encoded words and a bound of the bytes they take: a character has at most four bytes and four ids."""
 
     size = 0
 
@@ -47,11 +47,9 @@ class Kept(dict[str, bytes]):
 
     def settle(self, new: list[str]) -> None:
         """Counts the new words and lets long ones go."""
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del self[word]
-            else:
-                self.size += 100 + 4 * len(word) + len(self[word])
+        for word in [word for word in new if len(word) > LONGEST_KEPT]:
+            del self[word]
+        self.size += 100 * len(new) + 20 * sum(map(len, filter(self.__contains__, new)))
 
 
 @dataclass
@@ -163,10 +161,12 @@ class Vocabulary:
         symbols = self.of_character[points].astype(np.int64)
         symbols = np.where(symbols < 0, -1 - points, symbols)
         word = np.repeat(np.arange(len(words)), lengths)
-        segment = np.cumsum(np.r_[0, (word[1:] != word[:-1]) | ~self._joinable(symbols)])[: len(symbols)]
+        apart = (word[1:] != word[:-1]) | ~self._joinable(symbols)
+        segment = np.cumsum(np.r_[0, apart])[: len(symbols)]
         place = np.arange(len(symbols))
         out_symbols, out_place = [symbols[:0]], [place[:0]]
-        made = self._made(symbols, segment, place)
+        made, joined = np.full(len(symbols), -1), np.flatnonzero(~apart)
+        made[joined] = self._made_by(symbols[joined], symbols[joined + 1])
         at_once = self._pairs[2]
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
@@ -186,7 +186,7 @@ class Vocabulary:
             stay[chosen + 1] = False
             now = (np.cumsum(stay) - 1)[chosen]
             symbols, segment, place, made = symbols[stay], segment[stay], place[stay], made[stay]
-            changed = np.union1d(now, now[now > 0] - 1)
+            changed = np.r_[now, now[now > 0] - 1]
             made[changed] = self._made(symbols, segment, changed)
         symbols, place = np.concatenate(out_symbols), np.concatenate(out_place)
         order = np.argsort(place)
