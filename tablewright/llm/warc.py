@@ -4,12 +4,13 @@ A page becomes a ``response`` record whose block is an HTTP response with a chun
 earlier choice says that another page has the same payload, a ``revisit`` record.  Blocks longer than
 ``segment_bytes`` are cut into an origin record and ``continuation`` records.  Archives go through
 Spark's own text sink, whose line separator is the two line ends that close a WARC record, so they land
-in any file system that Spark knows and a lost executor leaves no half file.  A file holds at most
-``records_per_file`` segments, so its size is bounded.
+in any file system that Spark knows and a lost executor leaves no half file.  Each task writes one file.
 
-Reading parses each file in one pass.  Whole records are decoded on the spot; segments are dealt by
-their origin's identifier, sorted by segment number, and streamed through a decoder that holds one
-segment at a time: it checks numbers and total length, takes the chunk framing off, and digests.
+Reading is by splits, so files may be of any size: the text source cuts them at the version line that begins a
+record.  No block holds that line, as a chunk ends inside each of its occurrences.  Whole records are
+decoded on the spot; segments are dealt by their origin's identifier, sorted by segment number, and streamed
+through a decoder that holds one segment at a time: it checks numbers and total length, takes the chunk
+framing off, and digests.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import numbered, stored, text_or_empty
+from tablewright.llm.common import stored, text_or_empty
 from tablewright.session import shared_folder
 
 END = b"\r\n"
+VERSION = b"WARC/1.1"
+COPIES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 FLUSH = 4 << 20
 
@@ -37,42 +40,50 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def chunked(body: bytes, size: int) -> bytes:
-    out = []
-    for at in range(0, len(body), size):
-        piece = body[at : at + size]
+    """The body in chunks of ``size`` bytes, shorter where one would hold ``VERSION``, which is cut in two."""
+    out, at = [], 0
+    while at < len(body):
+        version = body.find(VERSION, at, at + size)
+        piece = body[at : at + size if version < 0 else version + 2]
         out += [b"%x" % len(piece), END, piece, END]
+        at += len(piece)
     return b"".join([*out, b"0", END, END])
 
 
 def record(kind: str, identifier: str, fields: dict[str, object], block: bytes) -> bytes:
     """Header and block; the two closing line ends are the sink's line separator."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {DATE}"]
+    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {DATE}"]
     lines += [f"{name}: {value}" for name, value in fields.items() if value is not None]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
-def identifier_of(page_id: int | None, row: int) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{row}')}"
+def identifier_of(digest: str, size: int) -> str:
+    """The name of the one response with this payload that others revisit."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{digest}/{size}')}"
+
+
+def target_of(page_id: int | None, url: str | None) -> str:
+    target = quote(url, safe="/:?#[]@!$&'()*+,;=%~-._") if url else f"urn:page:{page_id}"
+    return target.replace(VERSION.decode(), "%57" + VERSION.decode()[1:])
 
 
 def records_of(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """All records of one page in order."""
-    body = page["body"].encode()
-    target = quote(page["url"], safe="/:?#[]@!$&'()*+,;=%~-._") if page["url"] else f"urn:page:{page['page_id']}"
-    own = identifier_of(page["page_id"], page["row"])
+    """All records of one page in order.  What no record refers to has a random identifier."""
+    shared = identifier_of(page["digest"], page["bytes"])
+    own = shared if page["kind"] == "shared" else f"urn:uuid:{uuid.uuid4()}"
     fields: dict[str, object] = {
-        "WARC-Target-URI": target,
+        "WARC-Target-URI": target_of(page["page_id"], page["url"]),
         "Page-ID": page["page_id"],
-        "WARC-Payload-Digest": f"sha1:{base32_sha1(body)}",
+        "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(page['digest'])).decode()}",
         "Content-Type": "application/http; msgtype=response",
     }
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    if page["first_row"] != page["row"]:
+    if page["kind"] == "revisit":
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        fields["WARC-Refers-To"] = f"<{identifier_of(page['first_id'], page['first_row'])}>"
+        fields["WARC-Refers-To"] = f"<{shared}>"
         yield record("revisit", own, fields, head)
         return
-    block = head + chunked(body, chunk_bytes)
+    block = head + chunked(page["body"].encode(), chunk_bytes)
     if len(block) <= segment_bytes:
         yield record("response", own, fields, block)
         return
@@ -81,7 +92,40 @@ def records_of(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[byt
     for number, at in enumerate(starts, 2):
         more = {"WARC-Segment-Origin-ID": f"<{own}>", "WARC-Segment-Number": number}
         more["WARC-Segment-Total-Length"] = len(block) if at == starts[-1] else None
-        yield record("continuation", identifier_of(page["page_id"], page["row"]) + f"-{number}", more, block[at : at + segment_bytes])
+        yield record("continuation", f"{own}-{number}", more, block[at : at + segment_bytes])
+
+
+def planned_records(pages: DataFrame, revisit_from: int) -> DataFrame:
+    """``page_id, url, body, digest, bytes, kind`` per row of ``pages``; ``kind`` is alone, shared or revisit.
+
+    Of rows with equal payloads of at least ``revisit_from`` bytes one is shared: that with the largest page_id,
+    then the largest url, NULLs last.  The choice is made by values, so the pages need no numbers and no copy;
+    rows equal in all columns are counted, and written as one shared row and the other revisits.
+    """
+    rows = pages.select("page_id", "url", text_or_empty("html").alias("body"))
+    rows = rows.withColumns({"digest": F.sha1("body"), "bytes": F.octet_length("body").cast("bigint")})
+    names = rows.groupBy("page_id", "url", "digest", "bytes").agg(F.count("*").alias("copies"))
+    first = names.groupBy("digest", "bytes").agg(
+        F.max(F.struct("page_id", "url", "copies")).alias("first"), F.sum("copies").alias("n")
+    )
+    first = first.filter((F.col("n") > 1) & (F.col("bytes") >= revisit_from)).select("digest", "bytes", "first")
+    first = stored(first, "repeated-payloads")
+    known = rows.join(first, ["digest", "bytes"], "left")
+    chosen = F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url"))
+    kind = F.when(F.col("first").isNull(), "alone").when(chosen, "shared").otherwise("revisit")
+    known = known.withColumn("kind", kind)
+    columns = ("page_id", "url", F.when(F.col("kind") != "revisit", F.col("body")).alias("body"), "digest", "bytes", "kind")
+    twins = first.filter("first.copies > 1")
+    if twins.isEmpty():
+        return known.select(*columns)
+    twin = (F.col("kind") == "shared") & (F.col("first.copies") > 1)
+    one = known.filter(twin).groupBy("page_id", "url", "digest", "bytes", "kind").agg(F.first("body").alias("body"))
+    blocks = twins.select("*", F.explode(F.expr(f"sequence(0L, (first.copies - 2) div {COPIES})")).alias("block"))
+    numbers = F.expr(f"sequence(block * {COPIES} + 1, least(first.copies - 1, (block + 1) * {COPIES}))")
+    others = blocks.repartition("digest", "block").select("*", F.explode(numbers)).select(
+        "first.page_id", "first.url", F.lit(None).cast("string").alias("body"), "digest", "bytes", F.lit("revisit").alias("kind")
+    )
+    return known.filter(~twin).select(*columns).unionByName(one).unionByName(others)
 
 
 def write_archives(
@@ -90,39 +134,28 @@ def write_archives(
     revisit_from: int = 0,
     segment_bytes: int = 1 << 15,
     chunk_bytes: int = 1 << 12,
-    records_per_file: int = 1024,
+    records_per_file: int = 0,
 ) -> None:
     """Writes one or more records per row of ``pages(page_id, url, html)``.
 
-    Of rows with equal payloads of at least ``revisit_from`` bytes the one with the largest page_id is
-    the response (NULL ids last, of equal ids the later row), the others revisit it.  NULL html is
-    an empty payload, a missing url becomes ``urn:page:`` and the id.  Rows are named by number, so the
-    pages are written once with their numbers, and both the choice and the records come from there.
+    Of rows with equal payloads of at least ``revisit_from`` bytes one is the response, the others revisit it
+    (``planned_records``).  NULL html is an empty payload, a missing url becomes ``urn:page:`` and the id.  A task
+    writes one file, or several of ``records_per_file`` segments.
     """
-    rows, number = numbered(pages.select("page_id", "url", text_or_empty("html").alias("body")), "numbered-pages")
-    rows = rows.withColumnRenamed(number, "row")
-    rows = rows.withColumns({"digest": F.sha1("body"), "bytes": F.octet_length("body").cast("bigint")})
-    first = (
-        rows.groupBy("digest", "bytes")
-        .agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n"))
-        .filter((F.col("n") > 1) & (F.col("bytes") >= revisit_from))
-        .select("digest", "bytes", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
-    )
-    known = rows.join(stored(first, "repeated-payloads"), ["digest", "bytes"], "left")
-    known = known.select("page_id", "url", "body", "row", "first_id", F.coalesce("first_row", "row").alias("first_row"))
+    known = planned_records(pages, revisit_from)
 
     def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for at in range(batch.num_rows):
                 page = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
-                held, size = [], 0
                 for part in records_of(page, segment_bytes, chunk_bytes):
                     held.append(part)
                     size += len(part)
                     if size > FLUSH:
                         yield pa.RecordBatch.from_pydict({"record": held}, pa.schema([("record", pa.binary())]))
                         held, size = [], 0
-                yield pa.RecordBatch.from_pydict({"record": held}, pa.schema([("record", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"record": held}, pa.schema([("record", pa.binary())]))
 
     records = known.mapInArrow(in_batches, "record binary").select(F.col("record").cast("string"))
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
@@ -207,12 +240,12 @@ PARSED_DDL = (
 
 
 def parse(archive: bytes) -> Iterator[dict]:
-    """The records of a file: whole ones decoded, segments with their block."""
+    """The records of a file, or one without its version line: whole ones decoded, segments with their block."""
     at = 0
     while at < len(archive):
         stop = archive.index(END + END, at)
         lines = archive[at:stop].decode().split("\r\n")
-        fields = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines[1:])}
+        fields = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
         length = int(fields["content-length"])
         block = archive[stop + 4 : stop + 4 + length]
         at = stop + 4 + length + 4
@@ -286,15 +319,23 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(reassembled(row for batch in batches for row in batch.to_pylist()))
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
     """One row per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to, valid``.
 
+    Files are read by splits.  Archives of another make, whose blocks may hold a version line, need
+    ``whole_files``: each file is then one value in one task.
+
     ``refers_to`` is the page_id of the response that a revisit names, whose payload counts as the
     revisit's.  ``valid`` is false where segments are missing, the total length or digest differs, or
     the framing is incomplete; a revisit is as valid as its response.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    parsed = files.mapInArrow(_parsed, PARSED_DDL).repartition("key").sortWithinPartitions("key", "segment")
+    reader = spark.read.option("pathGlobFilter", "part-*")
+    if whole_files:
+        pieces = reader.format("binaryFile").load(folder).select("content")
+    else:
+        lines = reader.option("lineSep", VERSION.decode() + "\r\n").text(folder)
+        pieces = lines.filter(F.octet_length("value") > 0).select(F.col("value").cast("binary").alias("content"))
+    parsed = pieces.mapInArrow(_parsed, PARSED_DDL).repartition("key").sortWithinPartitions("key", "segment")
     rows = stored(parsed.mapInArrow(_reassembled, PARSED_DDL).drop("block", "segment", "total"), "warc-records")
     responses = rows.filter("record_type = 'response'").select(
         F.col("key").alias("refers"),

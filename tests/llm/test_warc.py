@@ -47,7 +47,8 @@ def test_round_trip(spark, least, segment, chunk):
 
 
 def rows_of(body, segment):
-    page = {"page_id": 1, "url": "http://a.com", "body": body, "row": 0, "first_id": None, "first_row": 0}
+    digest = hashlib.sha1(body.encode()).hexdigest()
+    page = {"page_id": 1, "url": "http://a.com", "body": body, "digest": digest, "bytes": len(body.encode()), "kind": "alone"}
     return [row for part in warc.records_of(page, segment, 10) for row in warc.parse(part + b"\r\n\r\n")]
 
 
@@ -72,6 +73,42 @@ def test_payload_taken_byte_by_byte():
     assert plain_body.whole and plain_body.bytes == 4
 
 
+TRAPS = [
+    (1, "http://a.com/WARC/1.1", "WARC/1.1"),
+    (2, "http://b.com/", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3000),
+    (3, "http://c.com/", "x" * 4088 + "WARC/1.1" + "y" * 9 + "WARC/1.1\r\n"),
+    (4, "WARC/1.1", "WARC/1.1\r\n\r\n\r\n\r\n" + "\r\n" * 5000),
+    *[(10 + i, "http://d.com/", "WAWARC/1.1\r\n" * i) for i in range(300)],
+]
+
+
+@pytest.mark.parametrize("split", [1000, 70_001, 1 << 27])
+def test_version_lines_in_payloads_at_any_split(spark, split):
+    pages = spark.createDataFrame(TRAPS, "page_id bigint, url string, html string").coalesce(1)
+    folder = warc.shared_folder(spark, "warc")
+    warc.write_archives(pages, folder)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for name in before:
+            spark.conf.set(name, split)
+        found = plain(warc.read_archives(spark, folder), *columns)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == brute(TRAPS, 0)
+    assert plain(warc.read_archives(spark, folder, whole_files=True), *columns) == found
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_rows_equal_in_all_columns(spark, monkeypatch, least):
+    monkeypatch.setattr(warc, "COPIES", 64)
+    rows = [(None, None, None)] * 1000 + [(7, "http://a.com", "same")] * 65 + [(3, None, "same")] * 66 + [(9, "", "other text")] * 2
+    found = warc.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string"), revisit_from=least)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+    assert plain(found, *columns) == brute(rows, least)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.archive_and_read(empty).count() == 0
