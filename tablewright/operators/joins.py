@@ -78,6 +78,16 @@ def id_filter(ids: DataFrame, key: str, rows: int) -> Callable[[Column], Column]
     return might_hold
 
 
+def fits_broadcast(frame: DataFrame) -> bool:
+    """Whether the planner's own estimate of ``frame`` is within ``spark.sql.autoBroadcastJoinThreshold``.
+
+    A join to such a side cuts the other where it is read, without a shuffle.  The estimate runs no job.
+    """
+    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def with_codes(frame: DataFrame, dimension: DataFrame, on: str, key: str, chosen: Sequence) -> DataFrame:
     """Rows of ``frame`` whose code ``on`` is in ``dimension[key]`` and, if any is chosen, among ``chosen``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.dates import month_start
 from tablewright.functions.numbers import leading_digit, ratio
 from tablewright.operators.filters import as_list, recent_partitions, recent_years
-from tablewright.operators.joins import id_filter, join_splittable, keep_existing, keep_known, with_codes
+from tablewright.operators.joins import fits_broadcast, id_filter, join_splittable, keep_existing, keep_known, with_codes
 from tablewright.sources.intermediates import stored_and_counted
 
 # Tens digit of discharge codes that end a stay, and the category labels.
@@ -69,16 +69,20 @@ class Lake:
     def cohort(self, cids: Iterable[str], procedures: Iterable[str]) -> Cohort:
         """Admissions with one of ``cids``, which are mandatory, and one of ``procedures``, or any known one.
 
-        Building the plan writes the distinct ids of the chosen diagnoses, which counts them, and counts the rows of
-        the chosen procedures; without a choice of those the diagnoses are taken as the rarer.
+        Where either bridge is small enough for the planner to broadcast it, that join alone cuts the admissions.
+        Otherwise building the plan writes the distinct ids of the chosen diagnoses, which counts them, and counts the
+        rows of the chosen procedures; without a choice of those the diagnoses are taken as the rarer.
         """
         cids, procedures = as_list(cids), as_list(procedures)
         if not cids:
             return Cohort(None, None, None)
         marked = with_codes(self.diagnosis_bridge, self.diagnoses, "cid", "id_cid", cids)
-        diagnosed, n = stored_and_counted(marked.select("id_aih").distinct(), "diagnosed")
+        marked = marked.select("id_aih").distinct()
         treated = with_codes(self.procedure_bridge, self.procedures, "id_procedimento", "id_procedimento", procedures)
         treated = treated.select("id_aih")
+        if fits_broadcast(marked) or fits_broadcast(treated):
+            return Cohort(marked, treated, None)
+        diagnosed, n = stored_and_counted(marked, "diagnosed")
         rows = treated.count() if procedures else None
         rarer, n = (treated, rows) if rows is not None and rows < n else (diagnosed, n)
         return Cohort(diagnosed, treated, id_filter(rarer, "id_aih", n))

@@ -50,6 +50,22 @@ def test_cohort_is_shuffled_once_per_fact(big):
     assert len(re.findall(r"Filter [^\n]*getbit", text)) >= 2
 
 
+@pytest.mark.parametrize("name", ["q28_admissions_count", "q29_mean_cost", "q30_admissions_by_year", "q30_cohort_stays"])
+def test_small_bridges_are_broadcast_instead_of_filtered(spark, name):
+    """The planner's estimate decides; both ways give the same rows."""
+    small = contract.queries()[name](spark, FOLDER)
+    assert "getbit" not in plan(small) and "BroadcastHashJoin" in plan(small)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = sorted(map(str, small.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = contract.queries()[name](spark, FOLDER)
+        assert "getbit" in plan(large)
+        assert sorted(map(str, large.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_page_by_cursor_reads_no_more_than_the_first(spark):
     folder = shared_folder(spark, "sorted")
     rows = spark.range(200_000, numPartitions=1).selectExpr("id", "id % 7 AS other")
