@@ -3,8 +3,8 @@
 1. Word counts per source give targets: a share of all words by weight, no source above
    ``max_epochs`` times its size, what is above dealt again by weight.
 2. Each source is cut into shards by a hash of the document, its text included, so that a source with a
-   third of all rows is as many shards as it needs, whether or not its ids differ.  The documents of a
-   shard stand in a seeded order, end to end, and are cut into blocks of equal length, as near to
+   third of all rows is as many shards as it needs, whether or not its ids differ.  Of rows equal in id
+   and text every ``TWINS`` go to a shard of their own choice.  The documents of a shard stand in a seeded order, end to end, and are cut into blocks of equal length, as near to
    ``block_words`` as fits.  Documents without words are in no shard.
 3. Blocks go to sources by highest quotients target / (2k + 1), then in the same way from a source to
    groups of shards and from a group to shards, which gives each shard a whole number of blocks.  One
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import GAP_CHARACTERS, stored, word_count
+from tablewright.operators.windows import keyed, running_totals
 
 GROUP = 1024
+TWINS = 1024
 EMPTY_PARTS = 1 << 16
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
@@ -142,8 +144,24 @@ def plan(
 
 
 def counted_words(docs: DataFrame, *carry: str) -> DataFrame:
-    """``doc_id, source, size`` and the text's hash, by which rows of one id or of none are told apart."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *carry)
+    """``doc_id, source, size``, the text's hash, by which rows of one id or of none are told apart, and ``_copy`` 0."""
+    made = [word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), F.lit(0).cast("bigint").alias("_copy")]
+    return docs.select("doc_id", "source", *made, *carry)
+
+
+def with_copies(counted: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``_copy``: which ``TWINS`` of the rows equal in id and text a row belongs to; 0 for rows that are not ``crowded``.
+
+    Equal rows are told apart by ``_number``.  How many get which copy does not depend on those numbers.
+    """
+    twin = ["doc_id", "size", "_text"]
+    marked = counted.withColumn("_twin", F.xxhash64(*twin)).join(
+        crowded.select(F.xxhash64(*twin).alias("_twin")).distinct().withColumn("_crowded", F.lit(True)), "_twin", "left"
+    )
+    marked = stored(marked, "marked-rows")
+    ranked = running_totals(keyed(marked.filter("_crowded"), ["_twin"], store=False), [*twin, "_number"], {"_upto": F.lit(1)})
+    copies = ranked.withColumn("_copy", F.floor((F.col("_upto") - 1) / TWINS)).drop("_upto")
+    return marked.filter("_crowded IS NULL").unionByName(copies).drop("_twin", "_crowded", "_number")
 
 
 def placed(counted: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -151,12 +169,12 @@ def placed(counted: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
     Documents without words, which give nothing, get negative numbers that only spread them over tasks.
     """
-    keyed = counted.withColumn("source_key", F.xxhash64("source"))
+    rows = counted.withColumn("source_key", F.xxhash64("source"))
     totals = sources.select("source_key", "source_size", "target", "n_shards")
-    shard = F.pmod(_seeded(seed, "doc_id", "size", "_text"), F.col("n_shards"))
+    shard = F.pmod(_seeded(seed, "doc_id", "size", "_text", "_copy"), F.col("n_shards"))
     apart = F.lit(-1) - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(EMPTY_PARTS))
-    keyed = keyed.withColumn("_apart", F.when(F.col("size") == 0, apart))
-    return keyed.join(totals, "source_key").withColumn("shard", F.coalesce("_apart", shard)).drop("_apart")
+    rows = rows.withColumn("_apart", F.when(F.col("size") == 0, apart))
+    return rows.join(totals, "source_key").withColumn("shard", F.coalesce("_apart", shard)).drop("_apart")
 
 
 def mix(
@@ -179,11 +197,17 @@ def mix(
     ``part`` (the words of the blocks taken once more, each but the last with the gap that follows it in the
     text, so line ends stay; NULL if none).
     """
-    counted = stored(counted_words(docs), "word-counts")
+    number = F.monotonically_increasing_id().alias("_number")
+    counted = stored(counted_words(docs).select("*", number), "word-counts")
+    equal = counted.filter("size > 0").groupBy("doc_id", "size", "_text").agg(F.count("*").alias("n"))
+    crowded = stored(equal.filter(F.col("n") > TWINS), "crowded-rows")
+    if crowded.isEmpty():
+        texts = counted_words(docs, *carry) if carry else counted
+    else:
+        texts = stored(counted_words(docs, *carry).select("*", number), "words-and-texts") if carry else counted
+        counted = texts = with_copies(texts, crowded)
     sources, shards = plan(counted, weights, share, max_epochs, block_words, shard_words, seed)
-    if carry:
-        counted = counted_words(docs, *carry)
-    rows = placed(counted, sources, seed)
+    rows = placed(texts, sources, seed)
     order = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id", "size", "_text"), "doc_id", "size", "_text")
     rows = rows.withColumn("_to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(shards, ["source_key", "shard"], "left").withColumn("_from", F.col("_to") - F.col("size"))

@@ -71,6 +71,44 @@ def test_quotients(spark):
         assert all(row.quota <= cap for row in dealt) and sum(row.quota for row in dealt) <= seats
 
 
+TWIN_ROWS = [(None, "the same few words in every row", "en", "s1", 1)] * 900 + [(7, "another text", "en", None, 1)] * 301
+
+
+def shards_seen(monkeypatch, seen):
+    plan = mixing.plan
+
+    def watched(counted, weights, share, max_epochs, block_words, shard_words, seed):
+        sources, shards = plan(counted, weights, share, max_epochs, block_words, shard_words, seed)
+        seen.append([row.shard_words for row in shards.filter("shard >= 0").collect()])
+        return sources, shards
+
+    monkeypatch.setattr(mixing, "plan", watched)
+
+
+def test_rows_of_one_id_and_text_are_spread_over_shards(spark, monkeypatch):
+    columns = ("doc_id", "size", "source", "source_size", "target", "taken")
+    rows, seen = SOURCES + TWIN_ROWS, []
+    shards_seen(monkeypatch, seen)
+    monkeypatch.setattr(mixing, "TWINS", 10)
+    once = plain(mixing.mix(documents(spark, rows), block_words=8, shard_words=400), *columns)
+    assert len(once) == len(rows) and max(seen[0]) < 4 * 400
+    again = plain(mixing.mix(documents(spark, rows[::-1]).repartition(7), block_words=8, shard_words=400), *columns)
+    assert again == once
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for row in rows:
+        sizes[row[3]] += len(tokens(row[1]))
+    for _, size, source, _, _, words in once:
+        assert 0 <= words <= 2 * size
+        taken[source] += words
+    for source, target in targets(sizes, (5, 2, 1), 1.5, 2).items():
+        assert abs(taken[source] - target) <= 8 * (sizes[source] // 400 + 3) + 0.02 * target
+    mixed = mixing.mixed_documents(documents(spark, rows), block_words=8, shard_words=400).collect()
+    words = defaultdict(int)
+    for row in mixed:
+        words[row.source] += len(tokens(row.text))
+    assert words == {source: n for source, n in taken.items() if n}
+
+
 def test_reruns_and_order_do_not_matter(spark):
     columns = ("doc_id", "size", "source", "source_size", "target", "taken")
     once = plain(mixing.mix(documents(spark, SOURCES), block_words=8, shard_words=300), *columns)
