@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import GAP, GAP_CHARACTERS, let, lower_ascii, numbered, stored, text_or_empty, unused, without_rows, words
+from tablewright.llm.common import GAP, GAP_CHARACTERS, SMALL, let, lower_ascii, numbered, stored, text_or_empty, unused, without_rows, words
 from tablewright.operators.joins import id_filter
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -27,6 +27,7 @@ SHARE = 0.02
 LEAST = 5
 MIN_LEFT = 0.3
 FEW = 64
+HOST_LINES = 4096
 
 
 def _window_columns(rows: DataFrame) -> DataFrame:
@@ -202,22 +203,45 @@ def drop_rejected(docs: DataFrame, **limits: float) -> DataFrame:
     return without_rows(rows, number, judge(rows, **limits, number=number).filter(~F.col("kept")), "rejected-rows")
 
 
-def clean(docs: DataFrame, length: str | None = None, **limits: float) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    length: str | None = None,
+    min_documents: int = MIN_DOCUMENTS,
+    share: float = SHARE,
+    min_left: float = MIN_LEFT,
+    least: int = LEAST,
+) -> DataFrame:
     """The documents that pass, without their frequent lines; ``length``, if named, is the text's length in characters anew.
 
-    Judged and stripped from one written copy with row numbers, in one join with the rows that change.  A document
+    The documents are written once with what the rules need of them, so each carries its own base verdict.  The
+    frequent lines come to them, one row per host, and no text is looked up by a number; where a host has over
+    ``HOST_LINES`` of them, lines meet documents one by one, and what was found is joined by row number.  A document
     that loses every line was depleted and goes; NULL and empty texts fail the base rule and go.
     """
-    rows, number = numbered(docs, "numbered-documents")
-    gone, out = unused(rows, "_gone"), unused(rows, "_out")
-    judged = judge(rows, **limits, number=number).filter("NOT kept OR gone IS NOT NULL")
-    changes = stored(judged.select(F.col("row").alias(number), F.col("gone").alias(gone), (~F.col("kept")).alias(out)), "changes")
-    found = rows.join(changes, number, "left").filter(F.col(out).isNull() | ~F.col(out))
-    new = found.withColumn("text", without_lines(F.col("text"), F.col(gone)))
+    whole = unused(docs, "_document")
+    needed = ["row", "host", "text_hash", "n_words", "n_repeat_words", "lines"]
+    rows = measures(docs.withColumn(whole, F.struct(*docs.columns)), whole).select(*needed)
+    rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "measured-documents", **SMALL)
+    frequent = stored(frequent_lines(rows, min_documents, share, least), "frequent-lines")
+    most = frequent.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    if most <= HOST_LINES:
+        of_host = frequent.groupBy("host").agg(F.collect_list("line").alias("known"))
+        hit = F.filter("lines", lambda line: F.array_contains("known", line["line"]))
+        found = rows.join(of_host, "host", "left").withColumn("hit", hit)
+    else:
+        lines = rows.select("number", "host", F.explode("lines").alias("l")).withColumn("line", F.col("l.line"))
+        hits = lines.join(frequent, ["host", "line"]).groupBy("number").agg(F.collect_list("l").alias("hit"))
+        found = rows.join(stored(hits, "frequent-lines-of-rows"), "number", "left")
+    removed = F.coalesce(F.aggregate("hit", F.lit(0).cast("bigint"), lambda n, line: n + line["words"]), F.lit(0))
+    passed = (F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
+    found = found.filter(passed & (F.col("n_words") - removed >= min_left * F.col("n_words")))
+    gone = F.when(F.size("hit") > 0, F.transform("hit", lambda line: line["line"]))
+    found = found.withColumn("gone", gone).withColumn("stripped", without_lines(F.col("row")["text"], F.col("gone")))
+    new = {name: F.col("row")[name] for name in docs.columns} | {"text": F.col("stripped")}
     if length is not None:
-        counted = F.length("text").cast(docs.schema[length].dataType)
-        new = new.withColumn(length, F.when(F.col(gone).isNotNull(), counted).otherwise(F.col(length)))
-    return new.select(*docs.columns)
+        counted = F.length("stripped").cast(docs.schema[length].dataType)
+        new[length] = F.when(F.col("gone").isNotNull(), counted).otherwise(new[length])
+    return found.select(*[column.alias(name) for name, column in new.items()])
 
 
 def strip_lines(

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from cases import DOCS, documents, lower_ascii, ordered, plain, tokens
 
 from tablewright.llm import quality_rules
@@ -97,7 +98,9 @@ def test_either_limit_is_enough(spark):
         assert kept["removed_words"] == (6 if found else 0)
 
 
-def test_clean_drops_and_strips(spark):
+@pytest.mark.parametrize("host_lines", [0, 4096])
+def test_clean_drops_and_strips(spark, monkeypatch, host_lines):
+    monkeypatch.setattr(quality_rules, "HOST_LINES", host_lines)
     rows = DOCS + shared_lines()
     limits = (20, 0.02, 0.3)
     frequent = frequent_of(rows, *limits[:2])
