@@ -1,4 +1,4 @@
-"""Training rows for the classifiers: a bounded, seeded sample of labelled documents."""
+"""Training rows for the classifiers: the labelled documents, or a bounded, seeded sample of them."""
 
 from __future__ import annotations
 
@@ -11,18 +11,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """``key, label, text`` of at most ``sample`` labelled documents outside the held-out third.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int | None = None) -> DataFrame:
+    """``key, label, text`` of all labelled documents outside the held-out third, or of at most ``sample`` of them.
 
-    Ids are drawn by smallest hash, so every run draws the same.  Rows without id or label are not drawn.  An id
-    counts once for each different text and label that it has, and the same order cuts what the ids have in all:
-    no more than ``sample`` rows come back however often an id is repeated.  ``key`` puts them in the same order in
-    every run.  Only the drawn ids and text hashes, bounded lists, are broadcast.
+    Rows without id or label are left out.  An id counts once for each different text and label that it has.
+    ``key`` puts the rows in the same order in every run.
+
+    A sample's ids are drawn by smallest hash, so every run draws the same, and the same order cuts what the ids have
+    in all: no more than ``sample`` rows come back however often an id is repeated.  Only the drawn ids and text
+    hashes, bounded lists, are broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
-    order = [F.xxhash64("doc_id"), "doc_id", "label"]
-    drawn = known.filter(~held_out(F.col("doc_id"))).distinct().orderBy(*order).limit(sample)
+    known = known.filter(~held_out(F.col("doc_id"))).distinct()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    if sample is None:
+        rows = texts.filter(~held_out(F.col("doc_id"))).join(known, "doc_id").dropDuplicates(["doc_id", "label", "hash"])
+        return rows.select(F.xxhash64("doc_id", "hash").alias("key"), "label", "text")
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    drawn = known.orderBy(*order).limit(sample)
     found = texts.select("doc_id", "hash").join(F.broadcast(drawn), "doc_id").distinct().orderBy(*order, "hash").limit(sample)
     rows = texts.join(F.broadcast(found), ["doc_id", "hash"]).dropDuplicates(["doc_id", "label", "hash"])
     return rows.select(F.xxhash64("doc_id", "hash").alias("key"), "label", "text")

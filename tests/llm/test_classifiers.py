@@ -107,6 +107,57 @@ def test_the_pairwise_loss_is_at_its_minimum():
         assert loss(ranking.weights + step) > least and loss(ranking.weights - step) > least
 
 
+def over_all_pairs(rows, labels, ridge=1e-3):
+    """Mean, scale and weights of least loss with every pair taken on its own, and the cut that tells most labels apart."""
+    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
+    scaled = (rows - mean) / scale
+    good, bad = scaled[labels == 1], scaled[labels == 0]
+    weights = np.zeros(rows.shape[1])
+    penalty = ridge * np.where(np.arange(len(weights)) < len(quality_ranking.FEATURES), 1.0, quality_ranking.HELD_BACK)
+    for _ in range(30):
+        missed = 1 / (1 + np.exp(np.clip((good @ weights)[:, None] - bad @ weights, -500, 500)))
+        bend = missed * (1 - missed)
+        slope = (missed.sum(axis=0) @ bad - missed.sum(axis=1) @ good) / missed.size + penalty * weights
+        squares = (good.T * bend.sum(axis=1)) @ good + (bad.T * bend.sum(axis=0)) @ bad
+        across = good.T @ bend @ bad
+        weights = weights - np.linalg.solve((squares - across - across.T) / missed.size + np.diag(penalty), slope)
+    raw = (scaled @ weights).round(7)
+    cuts = np.unique(raw)
+    right = [((raw[labels == 1] >= cut).mean() + (raw[labels == 0] < cut).mean(), i) for i, cut in enumerate(cuts)]
+    at = max(right)[1]
+    return mean, scale, weights, cuts[max(0, at - 1) : at + 1].mean()
+
+
+@pytest.mark.parametrize("noise", [0.01, 1.0])
+def test_the_ranking_is_that_of_all_pairs(noise):
+    random = np.random.default_rng(6)
+    rows = random.normal(size=(900, len(quality_ranking.FEATURES) + 6))
+    rows[:, 2], rows[:, 4], rows[0, 7] = 0.1, random.random(900) < 0.01, 500.0
+    labels = (rows[:, 1] - 2 * rows[:, 3] + noise * random.normal(size=900) > 0.8).astype(int)
+    ranking = quality_ranking.fit(rows, labels)
+    mean, scale, weights, threshold = over_all_pairs(rows, labels)
+    assert np.allclose(ranking.weights, weights, atol=1e-6) and ranking.threshold == pytest.approx(threshold, abs=1e-5)
+
+
+def test_the_ranking_is_learnt_from_every_labelled_row(spark):
+    """More rows than were once drawn; ids, labels and texts that come twice count once, also with NULL beside them."""
+    n = 19_000
+    texts = [f"{'plain words stay, ' * (i % 5 + i % 3)}{'## | 12 ' * (i % 7 // 4)} Tail{i % 401}{'!!' * (i % 11 // 9)}" for i in range(n)]
+    known = [int((i % 7 < 4) != (i % 13 == 0)) for i in range(n)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows + rows[:3000] + [(None, "no id"), (2, None)], "doc_id bigint, text string").repartition(5)
+    marks = [*enumerate(known), *enumerate(known[:50]), (None, 1), (n + 5, 0)]
+    ranking = quality_ranking.train(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"))
+    learnt = [(texts[i], known[i]) for i in range(n) if not out(i)] + [(None, known[2])] * (not out(2))
+    assert len(learnt) > 12_600
+    values = np.array([quality_ranking.features(text) for text, _ in learnt])
+    labels = np.array([label for _, label in learnt])
+    plain = quality_ranking.fit(values, labels)
+    assert np.allclose(ranking.mean, plain.mean, atol=1e-6) and np.allclose(ranking.scale, plain.scale, atol=1e-6)
+    assert np.allclose(ranking.weights, plain.weights, atol=1e-4) and ranking.threshold == pytest.approx(plain.threshold, abs=1e-3)
+    assert np.array_equal(ranking.scores(values) >= 0.5, plain.scores(values) >= 0.5)
+
+
 def test_pairs_order_the_scores():
     random = np.random.default_rng(1)
     rows = random.normal(size=(400, len(quality_ranking.FEATURES)))
