@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored
-from tablewright.llm.labelled import held_out, training_rows
+from tablewright.llm.labelled import described_rows, held_out
 
 STEP = 1 / 32
 COARSE = 8
@@ -365,14 +365,20 @@ def fit_all(described: DataFrame, ridge: float = 1e-3) -> Ranking:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking:
-    """A ranking from every labelled document that is not held out, described once and stored."""
+    """A ranking from every labelled document that is not held out, described where it is read and stored."""
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "features": [np.array(features(text), np.float32) for text in batch["text"]]})
+            rows = [np.array(features(text.as_py()), np.float32) for text in batch.column("text")]
+            arrays = [batch.column("doc_id"), batch.column("hash"), pa.array(rows, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "hash", "features"])
+
+    def describe(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(described, f"doc_id {kind}, hash bigint, features array<float>")
 
-    rows = training_rows(docs, labels, label).mapInPandas(described, "label int, features array<float>")
-    return fit_all(stored(rows, "ranking-features"))
+    return fit_all(stored(described_rows(docs, labels, label, describe).select("label", "features"), "ranking-features"))
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:

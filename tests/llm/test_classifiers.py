@@ -7,7 +7,9 @@ import pytest
 from cases import documents
 
 from tablewright.llm import quality_ranking, toxicity
+from tablewright.llm.common import stored
 from tablewright.llm.labelled import training_rows
+from tablewright.operators import joins
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -158,6 +160,38 @@ def test_the_ranking_is_learnt_from_every_labelled_row(spark):
     assert np.array_equal(ranking.scores(values) >= 0.5, plain.scores(values) >= 0.5)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+@pytest.mark.parametrize("most", [joins.ID_WORDS, 0])
+def test_no_training_text_is_shuffled(spark, monkeypatch, threshold, most):
+    """Texts are described where they are read, with and without a filter of ids, whichever join meets the labels."""
+    written = {}
+    monkeypatch.setattr(joins, "ID_WORDS", most)
+    monkeypatch.setattr(quality_ranking, "stored", lambda frame, name: written.setdefault(name, frame) and stored(frame, name))
+    rows = [(i, f"text {i % 40} " + "word, " * (i % 9)) for i in range(200)] + [(None, "no id"), (3, None), (3, "other"), (5, "text 5 " + "word, " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    marks = [(i, int(i % 4 < 2)) for i in range(0, 200, 3)] + [(3, 0), (6, 1), (None, 1), (9, None)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        quality_ranking.train(docs, labels)
+        found = written["ranking-features"]
+        todo, moved = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange" and "REPARTITION" not in node.toString().split("\n")[0]:
+                moved.append(node.output().mkString(" "))
+        assert moved and not any("text#" in columns for columns in moved)
+        learnt = sorted((row.label, *row.features) for row in found.collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    expected = {(i, label, text) for i, text in rows for j, label in marks if None not in (i, label) and i == j and not out(i)}
+    assert learnt == sorted((label, *np.array(quality_ranking.features(text), np.float32).tolist()) for _, label, text in expected)
+
+
 def test_pairs_order_the_scores():
     random = np.random.default_rng(1)
     rows = random.normal(size=(400, len(quality_ranking.FEATURES)))
