@@ -57,11 +57,14 @@ def _judged(docs: DataFrame, keep: str, carry: tuple[str, ...], hot_rows: int) -
     salt = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_pieces")))
 
     key = ["_prefix", "_hash", "_salt"]
-    sorted_rows = (
-        rows.join(hot, "_hash", "left")
-        .withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_salt": salt.cast("bigint")})
-        .repartitionByRange(*key)
+    sorted_rows = rows.join(hot, "_hash", "left").withColumns(
+        {"_prefix": F.substring("_norm", 1, PREFIX), "_salt": salt.cast("bigint")}
     )
+    if "text" in carry:  # of the two forms only the one that is carried moves
+        sorted_rows = sorted_rows.drop("_norm").repartitionByRange(*key)
+        sorted_rows = sorted_rows.withColumn("_norm", lower_ascii(text_or_empty("_c_text")))
+    else:
+        sorted_rows = sorted_rows.repartitionByRange(*key)
     group = Window.partitionBy(*key, "_norm")
     largest = keep == "largest"
     best = F.max if largest else F.min
